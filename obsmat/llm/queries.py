@@ -27,6 +27,35 @@ def op7_url_filters(spark, sf_dir):
     return judge(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_mixing(spark, sf_dir):
+    from obsmat.llm.mixing import mix
+
+    return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op6_chat_formatting(spark, sf_dir):
+    import public_tokenizers
+    from obsmat.llm.chat import digests, format_conversations
+
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return digests(format_conversations(rows.unionByName(more), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op8_simhash_near_dedup(spark, sf_dir):
+    from obsmat.llm.simhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "n_links")
+
+
+def op9_packing(spark, sf_dir):
+    import public_tokenizers
+    from obsmat.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 #: line frequency by the longest line of each document, as in line_quality
 _OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, row_number() OVER () AS r FROM documents),
@@ -80,7 +109,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_fingerprints, op3_quality_rules, op7_url_filters)}
+    return {f.__name__: f for f in (op2_fingerprints, op3_quality_rules, op4_mixing, op6_chat_formatting, op7_url_filters, op8_simhash_near_dedup, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
