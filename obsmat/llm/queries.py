@@ -56,6 +56,12 @@ def op9_packing(spark, sf_dir):
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_suffix_array_dedup(spark, sf_dir):
+    from obsmat.llm.suffix_buckets import digests
+
+    return digests(read(spark, sf_dir, "documents"))
+
+
 #: line frequency by the longest line of each document, as in line_quality
 _OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, row_number() OVER () AS r FROM documents),
@@ -109,7 +115,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_fingerprints, op3_quality_rules, op4_mixing, op6_chat_formatting, op7_url_filters, op8_simhash_near_dedup, op9_packing)}
+    return {f.__name__: f for f in (op2_fingerprints, op3_quality_rules, op4_mixing, op6_chat_formatting, op7_url_filters, op8_simhash_near_dedup, op9_packing, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
