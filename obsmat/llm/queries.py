@@ -8,6 +8,12 @@ from obsmat.llm.common import read
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+def op1_license_scan(spark, sf_dir):
+    from obsmat.llm.licenses import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark, sf_dir):
     from obsmat.llm.fingerprints import fingerprints
 
@@ -62,6 +68,12 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return digests(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: line frequency by the longest line of each document, as in line_quality
 _OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, row_number() OVER () AS r FROM documents),
@@ -115,7 +127,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_fingerprints, op3_quality_rules, op4_mixing, op6_chat_formatting, op7_url_filters, op8_simhash_near_dedup, op9_packing, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_license_scan, op2_fingerprints, op3_quality_rules, op4_mixing, op6_chat_formatting, op7_url_filters, op8_simhash_near_dedup, op9_packing, op10_suffix_array_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
