@@ -39,6 +39,12 @@ def op4_mixing(spark, sf_dir):
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_lm_scoring(spark, sf_dir):
+    from obsmat.llm.context_mixing import scores
+
+    return scores(read(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark, sf_dir):
     import public_tokenizers
     from obsmat.llm.chat import digests, format_conversations
@@ -127,7 +133,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'al
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_fingerprints, op3_quality_rules, op4_mixing, op6_chat_formatting, op7_url_filters, op8_simhash_near_dedup, op9_packing, op10_suffix_array_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_fingerprints, op3_quality_rules, op4_mixing, op5_lm_scoring, op6_chat_formatting, op7_url_filters, op8_simhash_near_dedup, op9_packing, op10_suffix_array_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
