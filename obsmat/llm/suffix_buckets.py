@@ -2,20 +2,22 @@
 
 Every byte offset starts in the bucket of its 8-byte gram. Buckets are refined by the bucket identifiers of later offsets:
 the identifier at depth 2h comes from those at depth h of the offset and of the offset h further on, and each level reuses
-the one before (8, 16, 32, 64, 128, then 200 bytes). Identifiers are content hashes, so documents agree on them without a
-global renumbering, and only sorting (shuffling) by identifier compares documents. Buckets of one member are dropped as
-early as possible, so that not every offset takes part in every round:
+the one before (8, 16, 32, 64, 128, then up to 200 bytes). Identifiers are content hashes, so documents agree on them
+without a global renumbering, and only sorting (shuffling) by identifier compares documents. Buckets of one member are
+dropped as early as possible, so few offsets are refined further:
 
-1. Offsets are represented by anchors. The first 100 bytes of a 200-byte string choose one of their offsets (the least
-   16-byte identifier, the leftmost if tied), so equal strings have their anchors at the same place. A run of strings with
+1. Offsets are represented by anchors. The first 100 bytes of a 200-byte string choose one of their offsets (by the least
+   initial identifier, the leftmost if tied), so equal strings have their anchors at the same place. A run of strings with
    one anchor is one row. Anchors are bucketed by the 116 bytes that every string of theirs contains.
 2. Anchors in buckets of two or more are refined by the whole content of their run. Runs that occur twice are repeated
    from end to end.
-3. The other runs of those buckets are refined offset by offset, at depth 200.
+3. The other runs of those buckets are cut into groups of eight starts, at places that depend on the distance to the
+   anchor alone. Groups are bucketed by the bytes that all eight strings share, and refined by their whole content.
+4. Groups that share a bucket but not their content are refined start by start, at depth 200.
 
 A bitmap of fixed size (bits) of the buckets that are still alive is broadcast as a first filter; exact joins follow.
-Long texts are read in blocks; a run cut by a block's end is merely decided in step 3. Identifiers in step 2 have 128 bits,
-in step 3 96.
+Long texts are read in blocks; a run cut by a block's end is merely decided in a later step. Two identifiers together tell
+contents apart (128 bits, in step 4 96).
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from obsmat.llm.common import table
 
 DEPTH = 200
 BITS = 27
-#: Offsets from which an anchor is chosen, bytes of its own bucket, and offsets of a text that are refined at once.
-CHOICES, OWN, BLOCK = 85, 116, 1 << 20
+#: Offsets from which an anchor is chosen, bytes of an anchor's bucket, starts in a group, and bytes refined at once.
+CHOICES, OWN, GROUP, BLOCK = 93, 108, 8, 1 << 18
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -64,52 +66,93 @@ def refine(x: np.ndarray, later: np.ndarray) -> np.ndarray:
     return z
 
 
+def deep(ids: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Identifiers at depth 8, 16, 32, ... of the offsets `at`, each from two of half the depth."""
+    if depth == 8:
+        return ids.take(at)
+    return refine(deep(ids, at, depth // 2), deep(ids, at + depth // 2, depth // 2))
+
+
+def between(ids: np.ndarray, begin: np.ndarray, length) -> np.ndarray:
+    """Identifiers of strings of 128 to 256 bytes, from those of their first and last 128."""
+    return refine(deep(ids, begin, 128), deep(ids, begin + (length - 128), 128))
+
+
 class Block:
-    """The anchors of the 200-byte strings that start in one block of a text: runs [lo, hi] of starts, bucket and run identifiers."""
-
-    def __init__(self, a: np.ndarray, base: int):
-        self.base = base
-        ids = first_buckets(a)
-        id16 = refine(ids[:-8], ids[8:])
-        id32 = refine(id16[:-16], id16[16:])
-        id64 = refine(id32[:-32], id32[32:])
-        self.id128 = id128 = refine(id64[:-64], id64[64:])
-        least = (id16 >> np.uint64(32) << np.uint64(32)) | np.arange(len(id16), dtype=np.uint64)
+    """The anchors of the 200-byte strings of some pieces of texts (number of the text, offset in it, bytes).
+
+    Arrays with an element a run: piece, lo and hi (first and last start in the joined bytes), pos (the anchor).
+    """
+
+    def __init__(self, pieces: list[tuple[int, int, bytes]]):
+        a = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
+        self.ids = ids = first_buckets(a)
+        size = np.array([len(p[2]) for p in pieces])
+        ends = np.cumsum(size)
+        self.text = np.array([p[0] for p in pieces])
+        self.shift = np.array([p[1] for p in pieces]) - (ends - size)  # from joined to own offsets
+        least = ((ids >> np.uint64(52)).astype(np.uint32) << np.uint32(20)) | np.arange(len(ids), dtype=np.uint32)
         k = 1
         while 2 * k <= CHOICES:
             least = np.minimum(least[:-k], least[k:])
             k *= 2
         least = np.minimum(least[: len(least) - (CHOICES - k)], least[CHOICES - k :])
-        starts = len(a) - DEPTH + 1
-        at = (least[:starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(at)) + 1
-        self.lo, self.hi = np.concatenate([[0], cut]), np.concatenate([cut, [starts]]) - 1
-        pos = at[self.lo]
-        self.bucket = refine(id64[pos], id64[pos + OWN - 64])
-        length = self.hi - self.lo + DEPTH
-        middle = id128[self.lo + np.minimum(78, length - 128)]
-        shape = (length * 1024 + (pos - self.lo)).astype(np.uint64)
-        self.run = refine(refine(refine(id128[self.lo], middle), id128[self.lo + length - 128]), shape)
-
-    def strings(self, i: int) -> np.ndarray:
-        """The identifiers at depth 200 of the starts of run i."""
-        lo, hi = self.lo[i], self.hi[i] + 1
-        return refine(self.id128[lo:hi], self.id128[lo + DEPTH - 128 : hi + DEPTH - 128])
-
-
-def blocks(raw: bytes, size: int = 0):
+        at = (least[: len(a) - DEPTH + 1] & np.uint32((1 << 20) - 1)).astype(np.int32)
+        first = np.zeros(len(at) + 1, bool)
+        first[1:-1] = at[1:] != at[:-1]
+        first[(ends - size)[size >= DEPTH]] = True
+        first[np.minimum(ends - DEPTH + 1, len(at))] = True  # the strings that cross pieces begin here
+        self.lo = np.flatnonzero(first[:-1])
+        self.hi = np.append(self.lo[1:], len(at)) - 1
+        self.piece = np.searchsorted(ends, self.lo, side="right")
+        inside = self.lo <= ends[self.piece] - DEPTH
+        self.lo, self.hi, self.piece = self.lo[inside], self.hi[inside], self.piece[inside]
+        self.pos = at[self.lo].astype(np.int64)
+        self.bucket = refine(deep(ids, self.pos, 64), deep(ids, self.pos + (OWN - 64), 64))
+
+    def runs(self, on: np.ndarray) -> np.ndarray:
+        """Identifiers of the whole content of runs."""
+        lo, pos = self.lo[on], self.pos[on]
+        length = self.hi[on] - lo + DEPTH
+        ends = refine(between(self.ids, lo, np.minimum(length, 206)), deep(self.ids, lo + length - 128, 128))
+        return refine(ends, (length * 1024 + (pos - lo)).astype(np.uint64))
+
+    def groups(self, on: np.ndarray):
+        """Of the runs: (run's place in `on`, lo, hi, bucket, content, identifiers of the strings from lo to hi) of each group."""
+        lo, hi, pos = self.lo[on], self.hi[on], self.pos[on]
+        number = hi - lo + 1
+        run = np.repeat(np.arange(len(on)), number)
+        s = np.repeat(lo - (np.cumsum(number) - number), number) + np.arange(len(run))
+        k = pos[run] - s
+        part = k // GROUP
+        strings = between(self.ids, s, DEPTH)
+        new = np.ones(len(run), bool)
+        new[1:] = (run[1:] != run[:-1]) | (part[1:] != part[:-1])
+        a = np.flatnonzero(new)
+        b = np.append(a[1:], len(run)) - 1
+        shared = between(self.ids, pos[run[a]] - part[a] * GROUP, DEPTH - GROUP + 1)
+        content = refine(refine(strings[a], strings[b]), (k[a] * 256 + k[b]).astype(np.uint64))
+        return run[a], s[a], s[b], refine(shared, part[a].astype(np.uint64)), content, a, b + 1, strings
+
+
+def blocks(texts: list[bytes], size: int = 0):
+    """Blocks of the texts; pieces of long texts overlap so that each start is in one piece."""
     size = size or BLOCK
-    whole = np.frombuffer(raw, np.uint8)
-    for base in range(0, len(raw) - DEPTH + 1, size):
-        yield Block(whole[base : base + size + DEPTH - 1], base)
+    held, total = [], 0
+    for i, raw in enumerate(texts):
+        for base in range(0, max(0, len(raw) - DEPTH + 1), size):
+            piece = raw[base : base + size + DEPTH - 1]
+            held.append((i, base, piece))
+            total += len(piece)
+            if total >= size:
+                yield Block(held)
+                held, total = [], 0
+    if held:
+        yield Block(held)
 
 
-def _texts(batch: pa.RecordBatch):
-    for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        if text.is_valid:
-            raw = text.as_buffer().to_pybytes()
-            if len(raw) >= DEPTH:
-                yield doc_id, raw
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
 
 
 def _signed(x) -> pa.Array:
@@ -149,10 +192,7 @@ def repeated(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     def buckets(batches):
         for b in batches:
-            found = [[]]
-            for _, raw in _texts(b):
-                found[0] += [x.bucket for x in blocks(raw)]
-            yield _count(found, ["bucket"])
+            yield _count([[x.bucket for x in blocks(_texts(b))]], ["bucket"])
 
     many = table(src.mapInArrow(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket"), "repeat-buckets")
     alive = _alive(many, bits)
@@ -160,52 +200,56 @@ def repeated(docs: DataFrame, bits: int = BITS) -> DataFrame:
     def runs(batches):
         for b in batches:
             found = [[], []]
-            for _, raw in _texts(b):
-                for x in blocks(raw):
-                    on = _has(alive.value, x.bucket, bits)
-                    found[0].append(x.bucket[on])
-                    found[1].append(x.run[on])
+            for x in blocks(_texts(b)):
+                on = np.flatnonzero(_has(alive.value, x.bucket, bits))
+                found[0].append(x.bucket[on])
+                found[1].append(x.runs(on))
             yield _count(found, ["bucket", "run"])
 
     classes = table(src.mapInArrow(runs, "bucket long, run long, n long").groupBy("bucket", "run").agg(F.sum("n").alias("n")), "repeat-runs")
     whole = classes.where("n > 1").select("bucket", "run")
     partly = classes.groupBy("bucket").agg(F.count("*").alias("runs"), F.min("n").alias("least")).where("runs > 1 and least = 1").select("bucket")
     open_ = _alive(table(partly, "repeat-open"), bits)
-    schema = "doc_id long, text_hash long, bucket long, run long, lo long, hi long, strings array<long>"
 
     def members(batches):
-        sent: set = set()
+        sent: set = set()  # runs whose groups this task has sent; only saves rows
         for b in batches:
-            rows: list[list] = [[] for _ in range(6)]
-            lists: list = []
-            for doc_id, raw in _texts(b):
-                digest = np.int64(np.uint64(xxhash.xxh64_intdigest(raw, 42)).view(np.int64))
-                for x in blocks(raw):
-                    on = np.flatnonzero(_has(alive.value, x.bucket, bits))
-                    if not len(on):
-                        continue
-                    more = _has(open_.value, x.bucket[on], bits)
-                    for i, m in zip(on.tolist(), more.tolist(), strict=True):
-                        if m and (r := int(x.run[i])) not in sent:
-                            sent.add(r)
-                            lists.append(x.strings(i).view(np.int64))
-                        else:
-                            lists.append(None)
-                    for c, v in zip(rows, (np.full(len(on), -1 if doc_id is None else doc_id), np.full(len(on), digest), x.bucket[on].view(np.int64), x.run[on].view(np.int64), x.lo[on] + x.base, x.hi[on] + x.base), strict=True):
-                        c.append(v)
-                    if doc_id is None:
-                        rows[0][-1] = np.ma.masked_all(len(on), np.int64)
-            cols = [pa.concat_arrays([pa.array(v) if not isinstance(v, np.ma.MaskedArray) else pa.nulls(len(v), pa.int64()) for v in c]) if c else pa.array([], pa.int64()) for c in rows]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text_hash", "bucket", "run", "lo", "hi", "strings"])
-            if len(sent) > 2_000_000:  # only saves rows, so it may be forgotten
+            texts = _texts(b)
+            ids = b.column(0)
+            digest = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
+            for x in blocks(texts):
+                on = np.flatnonzero(_has(alive.value, x.bucket, bits))
+                if not len(on):
+                    continue
+                run, shift, text = x.runs(on), x.shift[x.piece[on]], x.text[x.piece[on]]
+                fresh = np.flatnonzero(_has(open_.value, x.bucket[on], bits))
+                fresh = np.array([i for i, r in zip(fresh.tolist(), run[fresh].tolist(), strict=True) if r not in sent and not sent.add(r)], np.int64)
+                of, lo, hi, bucket, content, a, z, strings = x.groups(on[fresh]) if len(fresh) else [np.zeros(0, np.int64)] * 8
+                of = fresh[of] if len(fresh) else of
+                at = np.concatenate([text, text[of]])
+                where = np.concatenate([shift, shift[of]])
+                edges = np.concatenate([np.zeros(len(on), np.int64), np.append(a, len(strings))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), _signed(strings)) if len(fresh) else pa.array([[]] * len(on), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(at)), pa.array(digest[at]), _signed(np.concatenate([x.bucket[on], bucket.astype(np.uint64)])), _signed(np.concatenate([run, content.astype(np.uint64)])), pa.array(np.concatenate([x.lo[on], lo]) + where), pa.array(np.concatenate([x.hi[on], hi]) + where), lists],
+                    ["doc_id", "text_hash", "bucket", "content", "lo", "hi", "strings"],
+                )
+            if len(sent) > 2_000_000:
                 sent.clear()
 
-    found = table(src.mapInArrow(members, schema), "repeat-members")
-    sure = found.join(whole, ["bucket", "run"], "left_semi").select("doc_id", "text_hash", "lo", "hi")
-    each = found.where("strings is not null").select("doc_id", "text_hash", F.expr("CAST(bucket & 2147483647 AS INT)").alias("part"), "lo", F.posexplode("strings").alias("i", "string"))
+    found = table(src.mapInArrow(members, "doc_id long, text_hash long, bucket long, content long, lo long, hi long, strings array<long>"), "repeat-members")
+    place = ["doc_id", "text_hash", "lo", "hi"]
+    sure = found.where("size(strings) = 0").join(whole.withColumnRenamed("run", "content"), ["bucket", "content"], "left_semi").select(place)
+    groups = found.where("size(strings) > 0")
+    kinds = table(groups.groupBy("bucket", "content").agg(F.count("*").alias("n")), "repeat-groups")
+    both = groups.drop("strings").join(kinds.where("n > 1"), ["bucket", "content"], "left_semi").select(place)
+    mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("bucket")
+    late = groups.join(mixed, "bucket", "left_semi")
+    each = late.select("doc_id", "text_hash", F.expr("CAST(bucket & 2147483647 AS INT)").alias("part"), "lo", F.posexplode("strings").alias("i", "string"))
+    each = table(each.select("doc_id", "text_hash", (F.col("lo") + F.col("i")).alias("lo"), "part", "string"), "repeat-late")
     twice = table(each.groupBy("part", "string").agg(F.count("*").alias("n")).where("n > 1").select("part", "string"), "repeat-strings")
-    late = each.join(twice, ["part", "string"], "left_semi").select("doc_id", "text_hash", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("i")).alias("hi"))
-    return sure.unionByName(late).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    last = each.join(twice, ["part", "string"], "left_semi").select("doc_id", "text_hash", "lo", F.col("lo").alias("hi"))
+    return sure.unionByName(both).unionByName(last).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def runs_of(spans) -> list[tuple[int, int]]:
