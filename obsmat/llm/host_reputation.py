@@ -51,17 +51,18 @@ def parents(host: Column) -> tuple[Column, Column]:
 
 
 def _strength(children: DataFrame, parent: str, low: float, high: float) -> DataFrame:
-    """For each parent its n, bad and the beta-binomial prior strength, from the children's spread; the least strength where it can't be estimated is the highest allowed."""
+    """For each parent its n, bad and the beta-binomial prior strength, from the children's spread: the highest allowed where they don't differ more than by chance, the least without labels."""
     g = children.groupBy(parent).agg(
         F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum((F.col("n") > 0).cast("long")).alias("k"),
         F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"),
         F.sum(F.when(F.col("n") > 0, F.col("bad").cast("double") * F.col("bad") / F.col("n")).otherwise(0e0)).alias("bb"),
     )
-    m = F.col("bad") / F.col("n").cast("double")
+    g = g.withColumn("_n", F.greatest("n", F.lit(1)).cast("double"))
+    m = F.col("bad") / F.col("_n")
     between = (F.col("bb") - F.col("bad") * m) / (m * (1 - m)) - (F.col("k") - 1)
-    room = F.col("n") - F.col("nn") / F.col("n") - (F.col("k") - 1)
+    room = F.col("n") - F.col("nn") / F.col("_n") - (F.col("k") - 1)
     rho = F.when((F.col("k") > 1) & (F.col("bad") > 0) & (F.col("bad") < F.col("n")), F.when(room > 0, between / room))
-    return g.select(parent, "n", "bad", F.when(rho.isNull() | (rho <= 0), F.lit(high)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), 1 / rho - 1))).alias("strength"))
+    return g.select(parent, "n", "bad", F.when(F.col("n") == 0, F.lit(low)).when(rho.isNull() | (rho <= 0), F.lit(high)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), 1 / rho - 1))).alias("strength"))
 
 
 def host_reputation(outcomes: DataFrame, *, least_strength: float = 2.0, most_strength: float = 200.0, z: float = 1.645) -> DataFrame:

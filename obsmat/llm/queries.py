@@ -102,7 +102,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 FROM base LEFT JOIN lost USING (r)
 """
 
-_STRENGTH = """CASE WHEN k > 1 AND bad > 0 AND bad < n AND n - nn / n - (k - 1) > 0 AND (bb - bad * (bad / n::DOUBLE)) / ((bad / n::DOUBLE) * (1 - bad / n::DOUBLE)) - (k - 1) > 0
+_STRENGTH = """CASE WHEN n = 0 THEN 2e0 WHEN k > 1 AND bad > 0 AND bad < n AND n - nn / n - (k - 1) > 0 AND (bb - bad * (bad / n::DOUBLE)) / ((bad / n::DOUBLE) * (1 - bad / n::DOUBLE)) - (k - 1) > 0
   THEN greatest(2e0, least(200e0, (n - nn / n - (k - 1)) / ((bb - bad * (bad / n::DOUBLE)) / ((bad / n::DOUBLE) * (1 - bad / n::DOUBLE)) - (k - 1)) - 1)) ELSE 200e0 END"""
 _SUMS = """sum(n) AS n, sum(bad) AS bad, count(*) FILTER (n > 0) AS k, sum(n::DOUBLE * n) AS nn, sum(CASE WHEN n > 0 THEN bad::DOUBLE * bad / n ELSE 0e0 END) AS bb"""
 

@@ -1,0 +1,38 @@
+"""Small frames with everything that an operator must stand."""
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "the quick brown fox jumps over one lazy dog while seven small birds sing of rain and of far hills in late may".split()
+
+
+def prose(n, seed=0):
+    out, x = [], seed * 7919 + 17
+    for _ in range(n):
+        x = (x * 1103515245 + 12345) % 2**31
+        out.append(WORDS[(x >> 8) % len(WORDS)] + str((x >> 3) % 97))
+    return " ".join(out)
+
+
+def odd_rows():
+    long_ = "\n".join(prose(40, i) for i in range(120))
+    a = prose(80, 1)
+    rows = [(1, a, "en", "s1"), (2, a, "en", "s2"), (3, a.replace("fox", "cat", 1), None, "s1"), (4, None, "en", "s1"), (5, "", None, None), (6, " \n\t ", "en", "s2"), (7, "word", "en", None),
+            (8, long_, "en", "s1"), (9, long_, "de", "s3"), (10, prose(30, 2) + "\n" + prose(60, 3), "en", "s3"), (11, prose(60, 3), "en", None), (12, "Ünïcode ß 漢字 🙂 " * 30, "xx", "s2"),
+            (13, "spam " * 50, "en", "s1"), (14, "x" * 3000, "en", "s2"), (15, prose(3, 4), "en", "s2"), (1, a, "en", "s1"), (16, prose(70, 5) + "\nAll rights reserved.", "en", "s3"), (None, prose(25, 6), "en", "s1"), (None, None, None, None)]
+    return [(*r, None if r[1] is None else len(r[1])) for r in rows]
+
+
+def odd_docs(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA)
+
+
+def empty_docs(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def clashing(df):
+    """df with columns whose names the operators use inside."""
+    from pyspark.sql import functions as F
+
+    for c in ("n_words", "kept", "fp", "bucket", "at", "size", "copies", "_row", "_id", "text_hash", "row", "sketch", "lost", "component_id", "_w", "_text"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df
