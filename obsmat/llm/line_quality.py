@@ -1,9 +1,10 @@
 """Quality rules: base rules on words and repetition, then cross-document line frequency.
 
-Lines are normalised and hashed; for each host the distinct documents with a line are counted; lines above the limit are
+Lines are normalised and hashed; for each host the distinct documents with a line are counted; lines above the limits are
 removed, and documents that lose too much are rejected. Everything is DataFrame expressions. Copies of one document count
-once: a document is known by its longest line, so a group of thousands of exact or near copies doesn't make its own lines
-look like boilerplate. Counting is distinct-then-count, both with a partial step before the shuffle, so a line that stands
+once: to a line's count, a document is known by its longest other line, so a group of thousands of exact or near copies
+doesn't make its own lines look like boilerplate, and long boilerplate is still counted. One limit is a number of
+documents, the other a share of the host's, so that short sentences don't become boilerplate as a host grows. Counting is distinct-then-count, both with a partial step before the shuffle, so a line that stands
 in a third of all documents is one row per task. The frequent lines are broadcast only after their number was checked.
 """
 
@@ -46,25 +47,36 @@ def base_statistics(docs: DataFrame, *, min_words: int = 10, max_repeat_percent:
     return d.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, at, line_key, doc_key, line_words: a row for each line with a word. line_key holds host and line."""
+#: Stands for the document itself among its lines; no normalised line can hold it.
+WHOLE = "\n"
+
+
+def lines_of(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, text_hash, at, host_key, line_key, doc_key, line_words: a row for each line with a word. line_key holds host
+    and line. doc_key is the longest other line: the document as the line's counter knows it. whole: also a row for each
+    document that has such lines, with the key of WHOLE."""
     key = F.transform(F.split(F.col("text"), "\n"), lambda x: normal_line(x))
-    longest = F.array_max(F.transform(F.col("_lines"), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    longest = F.slice(F.sort_array(F.array_distinct(F.transform(F.filter("_lines", lambda x: x != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), asc=False), 1, 2)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("source", F.lit("")).alias("_host"), key.alias("_lines"))
-    rows = rows.withColumn("doc_key", F.xxhash64(longest["x"]))
-    rows = rows.select("doc_id", "text_hash", "_host", "doc_key", F.posexplode("_lines").alias("at", "_line")).where("_line != ''")
-    return rows.select("doc_id", "text_hash", "at", F.xxhash64("_host", "_line").alias("line_key"), "doc_key", F.size(F.split("_line", " ")).alias("line_words"))
+    rows = rows.withColumn("_top", longest).where(F.size("_top") > 0)
+    rows = rows.withColumns({"_first": F.col("_top")[0]["x"], "_second": F.get("_top", 1)["x"]})
+    each = F.concat("_lines", F.array(F.lit(WHOLE))) if whole else F.col("_lines")
+    rows = rows.select("doc_id", "text_hash", "_host", "_first", "_second", F.posexplode(each).alias("at", "_line")).where("_line != ''")
+    doc_key = F.xxhash64(F.when(F.col("_line") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")))
+    return rows.select("doc_id", "text_hash", "at", F.xxhash64("_host").alias("host_key"), F.xxhash64("_host", "_line").alias("line_key"), doc_key.alias("doc_key"), F.size(F.split("_line", " ")).alias("line_words"), (F.col("_line") == WHOLE).alias("whole"))
 
 
-def frequent_lines(docs: DataFrame, *, max_docs: int) -> DataFrame:
-    """line_key of the lines that stand in more than max_docs different documents of one host."""
-    pairs = lines_of(docs).select("line_key", "doc_key").distinct()
-    return pairs.groupBy("line_key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).select("line_key")
+def frequent_lines(docs: DataFrame, *, max_docs: int, max_percent: int) -> DataFrame:
+    """line_key of the lines that stand in more than max_docs different documents of one host, and in more than max_percent of them."""
+    pairs = lines_of(docs, whole=True).select("host_key", "line_key", "doc_key", "whole").distinct()
+    counts = table(pairs.groupBy("host_key", "line_key", "whole").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs), "line-counts")
+    hosts = counts.where("whole").select("host_key", F.col("n_docs").alias("all_docs"))
+    return counts.where("not whole").join(hosts, "host_key").where(100 * F.col("n_docs") > max_percent * F.col("all_docs")).select("line_key")
 
 
-def line_losses(docs: DataFrame, *, max_docs: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+def line_losses(docs: DataFrame, *, max_docs: int, max_percent: int, broadcast_rows: int = 1_000_000) -> DataFrame:
     """doc_id, text_hash, lost (share of the words that stand in frequent lines), at (those lines' places), only for documents with such lines."""
-    found = table(frequent_lines(docs, max_docs=max_docs), "frequent-lines")
+    found = table(frequent_lines(docs, max_docs=max_docs, max_percent=max_percent), "frequent-lines")
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
     lines = lines_of(docs).join(found.withColumn("common", F.lit(1)), "line_key", "left")
@@ -75,15 +87,15 @@ def line_losses(docs: DataFrame, *, max_docs: int, broadcast_rows: int = 1_000_0
     return by_doc.where("lost > 0")
 
 
-def quality(docs: DataFrame, *, max_docs: int = 30, max_lost: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+def quality(docs: DataFrame, *, max_docs: int = 30, max_percent: int = 5, max_lost: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
     """docs with the base statistics, base_failed, lost, lines_at (places of removed lines) and kept.
 
-    Rejected: base_failed; more than max_lost of the words in lines that stand in over max_docs documents of one host; or
-    fewer than min_words words left. Null texts have no words and fail; null sources are one host; repeated rows each get
+    Rejected: base_failed; more than max_lost of the words in lines that stand in over max_docs documents of one host
+    and over max_percent of its documents; or fewer than min_words words left. Null texts have no words and fail; null sources are one host; repeated rows each get
     a row; an empty table gives an empty one. Extra columns stay unless a column of this operator has their name.
     """
     base = base_statistics(docs, min_words=min_words, max_repeat_percent=max_repeat_percent).withColumn("text_hash", F.xxhash64("text"))
-    lost = line_losses(docs, max_docs=max_docs).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "lost", "at")
+    lost = line_losses(docs, max_docs=max_docs, max_percent=max_percent).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "lost", "at")
     both = base.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash")), "left").drop("_id", "_hash")
     share = F.coalesce("lost", F.lit(0e0))
     kept = ~F.col("base_failed") & (share <= max_lost) & (F.col("n_words") * (1 - share) >= min_words)

@@ -80,7 +80,7 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-#: line frequency by the longest line of each document, as in line_quality
+#: line frequency by the longest other line of each document, as in line_quality
 _OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -90,8 +90,11 @@ covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(0, 5) AS x(k)
 lines AS (SELECT r, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 normal AS (SELECT r, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line FROM lines),
-longest AS (SELECT r, max((length(line), line)) AS k FROM normal GROUP BY r),
-common AS (SELECT host, line FROM normal JOIN longest USING (r) JOIN d USING (r) GROUP BY host, line HAVING count(DISTINCT k) > 30),
+ranked AS (SELECT r, host, line, row_number() OVER (PARTITION BY r ORDER BY length(line) DESC, line DESC) AS k FROM (SELECT DISTINCT r, line FROM normal) JOIN d USING (r)),
+tops AS (SELECT r, host, max(line) FILTER (k = 1) AS a, max(line) FILTER (k = 2) AS b FROM ranked GROUP BY r, host),
+hosts AS (SELECT host, count(DISTINCT a) AS all_docs FROM tops GROUP BY host),
+common AS (SELECT host, line FROM (SELECT x.host, line, count(DISTINCT CASE WHEN k = 1 THEN coalesce('=' || b, '') ELSE '=' || a END) AS n FROM ranked x JOIN tops USING (r) GROUP BY x.host, line) JOIN hosts USING (host)
+  WHERE n > 30 AND 100 * n > 5 * all_docs),
 lost AS (SELECT r, sum(CASE WHEN c.line IS NOT NULL THEN n ELSE 0 END)::DOUBLE / sum(n) AS share FROM
   (SELECT r, host, line, len(string_split(line, ' ')) AS n FROM normal JOIN d USING (r)) x LEFT JOIN common c USING (host, line) GROUP BY r),
 base AS (SELECT w.doc_id, w.r, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,

@@ -68,9 +68,9 @@ def test_sketches_merge_over_parts(spark):
     assert abs(est[0] - len(shingles(whole))) < 0.3 * len(shingles(whole)) and est[1] > 0.7 and abs(est[2] - 0.5) < 0.15
 
 
-def quality_by_hand(rows, max_docs):
+def quality_by_hand(rows, max_docs, max_percent=5):
     words = {}
-    lines, hosts = {}, defaultdict(set)
+    lines, hosts, known = {}, defaultdict(set), defaultdict(set)
     for n, (_, text, _, source, _) in enumerate(rows):
         w = WORD.findall(text or "")
         raw = [x for x in (text or "").split("\n") if WORD.search(x)]
@@ -81,13 +81,14 @@ def quality_by_hand(rows, max_docs):
         again = {p + k for at in wins.values() if len(at) > 1 for p in at for k in range(5)}
         words[n] = (len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(raw) - len(set(raw)), len(again))
         lines[n] = normal
-        key = max(normal, key=lambda x: (len(x), x.encode())) if normal else None
+        top = sorted(set(normal), key=lambda x: (len(x), x.encode()), reverse=True)
+        known[source or ""].update(top[:1])
         for x in normal:
-            hosts[source or "", x].add(key)
+            hosts[source or "", x].add(next((y for y in top if y != x), None))
     out = []
     for n, (doc_id, _, _, source, _) in enumerate(rows):
         total = sum(len(x.split()) for x in lines[n])
-        lost = sum(len(x.split()) for x in lines[n] if len(hosts[source or "", x]) > max_docs) / total if total else 0
+        lost = sum(len(x.split()) for x in lines[n] if len(hosts[source or "", x]) > max(max_docs, max_percent / 100 * len(known[source or ""]))) / total if total else 0
         failed = words[n][0] < 10 or 100 * words[n][4] > 20 * words[n][0]
         out.append((doc_id, *words[n], failed, not failed and lost <= 0.5 and words[n][0] * (1 - lost) >= 10))
     return sorted(out, key=str)
@@ -122,6 +123,15 @@ def test_copies_are_not_boilerplate(spark):
     assert lq.quality(df, max_docs=5).where("kept").count() == 40
 
 
+def test_limits_are_numbers_and_shares(spark):
+    """A line in 10 of 300 documents is over the number but under 5 %; the longest line of all documents is over both."""
+    long_ = "we use cookies " * 30
+    rows = [(i, ("\n".join([long_.strip() + ".", "thanks for reading"][: 1 + (i < 10)]) + "\n" + prose(50, 100 + i)), "en", "h", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.text for r in lq.clean(df, max_docs=5, max_lost=0.95, max_repeat_percent=100).collect()}
+    assert len(out) == 300 and not any("cookies" in t for t in out.values()) and all(("thanks" in t) == (i < 10) for i, t in out.items())
+
+
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 URLS = [("http://A.Example.org/es/1?x#y", "a.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/12#t", "example.org", "/en/12", "example.org/en/1", "block"), ("ftp://q.org/", "q.org", "/", "org/", "allow"),
         ("http://q.org?x", "q.org", "", None, "allow"), ("no url", "", "", None, "allow"), (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("http://b.com/de/x", "b.com", "/de/x", "com/de/", "block"),
