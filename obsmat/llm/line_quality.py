@@ -54,7 +54,7 @@ WHOLE = "\n"
 def lines_of(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, text_hash, at, host_key, line_key, doc_key, line_words: a row for each line with a word. line_key holds host
     and line. doc_key is the longest other line: the document as the line's counter knows it. whole: also a row for each
-    document that has such lines, with the key of WHOLE."""
+    document that has such lines, with the key of WHOLE; its doc_key is of the two longest lines."""
     key = F.transform(F.split(F.col("text"), "\n"), lambda x: normal_line(x))
     longest = F.slice(F.sort_array(F.array_distinct(F.transform(F.filter("_lines", lambda x: x != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), asc=False), 1, 2)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("source", F.lit("")).alias("_host"), key.alias("_lines"))
@@ -62,7 +62,7 @@ def lines_of(docs: DataFrame, whole: bool = False) -> DataFrame:
     rows = rows.withColumns({"_first": F.col("_top")[0]["x"], "_second": F.get("_top", 1)["x"]})
     each = F.concat("_lines", F.array(F.lit(WHOLE))) if whole else F.col("_lines")
     rows = rows.select("doc_id", "text_hash", "_host", "_first", "_second", F.posexplode(each).alias("at", "_line")).where("_line != ''")
-    doc_key = F.xxhash64(F.when(F.col("_line") == F.col("_first"), F.col("_second")).otherwise(F.col("_first")))
+    doc_key = F.when(F.col("_line") == WHOLE, F.xxhash64("_first", "_second")).otherwise(F.xxhash64(F.when(F.col("_line") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))))
     return rows.select("doc_id", "text_hash", "at", F.xxhash64("_host").alias("host_key"), F.xxhash64("_host", "_line").alias("line_key"), doc_key.alias("doc_key"), F.size(F.split("_line", " ")).alias("line_words"), (F.col("_line") == WHOLE).alias("whole"))
 
 

@@ -92,7 +92,7 @@ dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 normal AS (SELECT r, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line FROM lines),
 ranked AS (SELECT r, host, line, row_number() OVER (PARTITION BY r ORDER BY length(line) DESC, line DESC) AS k FROM (SELECT DISTINCT r, line FROM normal) JOIN d USING (r)),
 tops AS (SELECT r, host, max(line) FILTER (k = 1) AS a, max(line) FILTER (k = 2) AS b FROM ranked GROUP BY r, host),
-hosts AS (SELECT host, count(DISTINCT a) AS all_docs FROM tops GROUP BY host),
+hosts AS (SELECT host, count(DISTINCT a || chr(10) || coalesce(b, '')) AS all_docs FROM tops GROUP BY host),
 common AS (SELECT host, line FROM (SELECT x.host, line, count(DISTINCT CASE WHEN k = 1 THEN coalesce('=' || b, '') ELSE '=' || a END) AS n FROM ranked x JOIN tops USING (r) GROUP BY x.host, line) JOIN hosts USING (host)
   WHERE n > 30 AND 100 * n > 5 * all_docs),
 lost AS (SELECT r, sum(CASE WHEN c.line IS NOT NULL THEN n ELSE 0 END)::DOUBLE / sum(n) AS share FROM

@@ -82,7 +82,7 @@ def quality_by_hand(rows, max_docs, max_percent=5):
         words[n] = (len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(raw) - len(set(raw)), len(again))
         lines[n] = normal
         top = sorted(set(normal), key=lambda x: (len(x), x.encode()), reverse=True)
-        known[source or ""].update(top[:1])
+        known[source or ""].update([tuple(top[:2])] if top else [])
         for x in normal:
             hosts[source or "", x].add(next((y for y in top if y != x), None))
     out = []
