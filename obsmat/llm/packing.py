@@ -20,7 +20,7 @@ TIERS = (2048, 1024, 512, 256)
 END = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 250_000
 
 _tokenizers: dict = {}
 
