@@ -2,8 +2,8 @@
 
 Lines are normalised and hashed; for each host the distinct documents with a line are counted; lines above the limits are
 removed, and documents that lose too much are rejected. Everything is DataFrame expressions. Copies of one document count
-once: to a line's count, a document is known by its longest other line, so a group of thousands of exact or near copies
-doesn't make its own lines look like boilerplate, and long boilerplate is still counted. One limit is a number of
+once: a document is known by the whole of its normalised lines, so a group of thousands of copies doesn't make its own
+lines look like boilerplate, and pages that share several lines count each. Near copies are different documents. One limit is a number of
 documents, the other a share of the host's, so that short sentences don't become boilerplate as a host grows. Counting is distinct-then-count, both with a partial step before the shuffle, so a line that stands
 in a third of all documents is one row per task. The frequent lines are broadcast only after their number was checked.
 """
@@ -53,17 +53,14 @@ WHOLE = "\n"
 
 def lines_of(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, text_hash, at, host_key, line_key, doc_key, line_words: a row for each line with a word. line_key holds host
-    and line. doc_key is the longest other line: the document as the line's counter knows it. whole: also a row for each
-    document that has such lines, with the key of WHOLE; its doc_key is of the two longest lines."""
+    and line, doc_key all normalised lines of the document. whole: also a row for each document that has such lines, with
+    the key of WHOLE."""
     key = F.transform(F.split(F.col("text"), "\n"), lambda x: normal_line(x))
-    longest = F.slice(F.sort_array(F.array_distinct(F.transform(F.filter("_lines", lambda x: x != ""), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), asc=False), 1, 2)
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("source", F.lit("")).alias("_host"), key.alias("_lines"))
-    rows = rows.withColumn("_top", longest).where(F.size("_top") > 0)
-    rows = rows.withColumns({"_first": F.col("_top")[0]["x"], "_second": F.get("_top", 1)["x"]})
+    rows = rows.withColumn("_all", F.array_join(F.filter("_lines", lambda x: x != ""), "\n")).where("_all != ''").withColumn("doc_key", F.xxhash64("_all"))
     each = F.concat("_lines", F.array(F.lit(WHOLE))) if whole else F.col("_lines")
-    rows = rows.select("doc_id", "text_hash", "_host", "_first", "_second", F.posexplode(each).alias("at", "_line")).where("_line != ''")
-    doc_key = F.when(F.col("_line") == WHOLE, F.xxhash64("_first", "_second")).otherwise(F.xxhash64(F.when(F.col("_line") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))))
-    return rows.select("doc_id", "text_hash", "at", F.xxhash64("_host").alias("host_key"), F.xxhash64("_host", "_line").alias("line_key"), doc_key.alias("doc_key"), F.size(F.split("_line", " ")).alias("line_words"), (F.col("_line") == WHOLE).alias("whole"))
+    rows = rows.select("doc_id", "text_hash", "_host", "doc_key", F.posexplode(each).alias("at", "_line")).where("_line != ''")
+    return rows.select("doc_id", "text_hash", "at", F.xxhash64("_host").alias("host_key"), F.xxhash64("_host", "_line").alias("line_key"), "doc_key", F.size(F.split("_line", " ")).alias("line_words"), (F.col("_line") == WHOLE).alias("whole"))
 
 
 def frequent_lines(docs: DataFrame, *, max_docs: int, max_percent: int) -> DataFrame:

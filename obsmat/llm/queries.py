@@ -80,7 +80,8 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-#: line frequency by the longest other line of each document, as in line_quality
+#: knows a document by its longest other line, where line_quality counts different texts: the same on the given tables, not
+#: where a host's pages share two or more lines that are longer than their own
 _OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),

@@ -123,6 +123,17 @@ def test_copies_are_not_boilerplate(spark):
     assert lq.quality(df, max_docs=5).where("kept").count() == 40
 
 
+def test_all_boilerplate_of_a_page_is_counted(spark):
+    """Menu, long notice and footer of documents whose own lines are shorter than the notice and the footer."""
+    shared = ["home news sport weather", " ".join(["we use cookies on this site to count visits"] * 3) + ".", "all texts of this site belong to their authors and publishers and may not be copied"]
+    rows = [(i, "\n".join([*shared[:2], prose(4 + 7 * (i % 2), 100 + i), *([prose(11, 500 + i)] if i % 2 else []), shared[2]]), "en", "h", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    limits = {"max_lost": 0.9, "max_repeat_percent": 100}
+    out = {r.doc_id: r.text for r in lq.clean(df, **limits).collect()}
+    assert set(out) == set(range(1, 40, 2)) and not any(x in t.split("\n") for t in out.values() for x in shared)
+    assert lq.quality(df, max_repeat_percent=100).where("kept").count() == 0
+
+
 def test_limits_are_numbers_and_shares(spark):
     """A line in 10 of 300 documents is over the number but under 5 %; the longest line of all documents is over both."""
     long_ = "we use cookies " * 30
