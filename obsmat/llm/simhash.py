@@ -24,6 +24,9 @@ RADIUS = 3
 SHINGLE = 3
 #: Fingerprints at home in a shard, about, and the most that the tree is built on.
 SHARD, SAMPLE = 8192, 1 << 18
+#: The pipeline stage takes five words and a Jaccard of 80 % or more; its candidates share one of BANDS keys of ROWS minima.
+WIDE, SIMILAR, BANDS, ROWS = 5, 80, 16, 5
+MULTIPLIERS, OFFSETS = (np.random.default_rng(k).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (1, 2))
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -199,8 +202,73 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return marked.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def first_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The documents whose doc_id is the smallest of its component; of rows that share that doc_id one stays."""
-    keep = near_duplicates(docs, radius, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
+def shingle_set(text: str | None, shingle: int = WIDE) -> np.ndarray:
+    """The distinct XXH64 hashes of the word shingles of a text with A-Z lower-cased, sorted; none without words."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    runs = zip(*(w[i:] for i in range(shingle)), strict=False) if len(w) >= shingle else [w]
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in map(b" ".join, runs)], np.uint64))
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of the ROWS least values of the shingle hashes under one multiplier; a pair of Jaccard j shares one
+    with probability 1 - (1 - j^ROWS)^BANDS: 0.999 at 0.8."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(h), 1 << 12):
+        x = h[i : i + (1 << 12), None] * MULTIPLIERS[None, :] + OFFSETS[None, :]
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(0))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def similar_texts(texts: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) -> DataFrame:
+    """a, b: nodes of texts (node, text) whose shingle sets have a Jaccard of percent / 100 or more.
+
+    In each bucket of a band all are held against one member, another in each band, so a group of thousands costs BANDS
+    comparisons a text. Each candidate pair is confirmed by its exact sets.
+    """
+
+    def banded(batches):
+        for b in batches:
+            keys = [band_keys(shingle_set(t, shingle)) for t in b.column(1).to_pylist()]
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(flat.view(np.int64))], ["node", "band"])
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
+
+    def confirmed(batches):
+        for b in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(i).to_pylist()] for i in (2, 3))
+            yield b.select(["a", "b"]).filter(pa.array([alike(p, q, percent) for p, q in zip(x, y, strict=True)], pa.bool_()))
+
+    bands = table(texts.select("node", "text").mapInArrow(banded, "node long, band long").distinct(), "near-bands")
+    heads = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "node").alias("o"), F.col("node").alias("a"))).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", F.col("head")["a"].alias("a"))
+    pairs = table(bands.join(heads, "band").where("a != node").select("a", F.col("node").alias("b")).distinct(), "near-pairs")
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    once = texts.groupBy("node").agg(F.first("text").alias("text"))
+    known = table(once.join(named, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, set binary"), "near-sets")
+    with_sets = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    return with_sets.select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long")
+
+
+def near_groups(docs: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) -> DataFrame:
+    """node, root for each different text of docs: its hash and that of its group, linked by similar_texts. Null counts as ''."""
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("node"), "text")
+    roots = table(components(similar_texts(texts, percent, shingle)), "near-roots")
+    return texts.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def first_of_each(docs: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) -> DataFrame:
+    """The documents whose doc_id is the smallest of its group of similar texts; of rows that share that doc_id one stays."""
+    at = docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("node"), F.col("doc_id").cast("long").alias("_keep"))
+    keep = at.join(near_groups(docs, percent, shingle), "node").groupBy("root").agg(F.min("_keep").alias("_keep")).select("_keep").distinct()
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     return row.join(keep, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi").groupBy("_id").agg(F.first("_row").alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

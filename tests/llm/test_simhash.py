@@ -71,3 +71,20 @@ def test_one_document_of_each_group_stays(spark):
     ids = [r.doc_id for r in out.collect()]
     assert len(ids) == len(set(ids)) and {1, 4, 8, 10} <= set(ids) and not {2, 5, 6, 9} & set(ids)
     assert sh.first_of_each(empty_docs(spark)).count() == 0 and sh.near_duplicates(empty_docs(spark)).count() == 0
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_stage_takes_five_words_and_four_fifths(spark):
+    """Pairs with 1 to 8 changed words: one stays of those with a Jaccard of 0.8 or more, both of the others."""
+    rows, want = [], set()
+    for i in range(64):
+        a = prose(200, 1000 + i).split()
+        b = [f"changed{i}x{j}" if j % 24 == 5 and j // 24 <= i % 8 else w for j, w in enumerate(a)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        want |= {2 * i} if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else {2 * i, 2 * i + 1}
+    assert 64 < len(want) < 128
+    assert {r.doc_id for r in sh.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
