@@ -267,8 +267,11 @@ def near_groups(docs: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) ->
 
 
 def first_of_each(docs: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) -> DataFrame:
-    """The documents whose doc_id is the smallest of its group of similar texts; of rows that share that doc_id one stays."""
-    at = docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("node"), F.col("doc_id").cast("long").alias("_keep"))
-    keep = at.join(near_groups(docs, percent, shingle), "node").groupBy("root").agg(F.min("_keep").alias("_keep")).select("_keep").distinct()
-    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    return row.join(keep, F.col("_id").eqNullSafe(F.col("_keep")), "left_semi").groupBy("_id").agg(F.first("_row").alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """One row of each group of similar texts: of the smallest doc_id, null counting as larger than others, and of the
+    smallest text hash where that id has several texts in the group. Of rows that share both one stays."""
+    at = {"_node": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), "_null": F.col("doc_id").cast("long").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
+    marked = docs.select(*[v.alias(k) for k, v in at.items()]).groupBy("_node").agg(F.min(F.struct("_null", "_id")).alias("_low"))
+    roots = near_groups(docs, percent, shingle)
+    keep = marked.join(roots, marked["_node"] == roots["node"]).groupBy("root").agg(F.min(F.struct("_low", "_node")).alias("_k")).select("_k._node", "_k._low._null", "_k._low._id")
+    row = docs.select(F.struct(*docs.columns).alias("_row"), *[v.alias(k) for k, v in at.items()])
+    return row.join(table(keep, "near-keep"), ["_node", "_null", "_id"], "left_semi").groupBy("_node", "_null", "_id").agg(F.first("_row").alias("_row")).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -88,3 +88,11 @@ def test_stage_takes_five_words_and_four_fifths(spark):
         want |= {2 * i} if jaccard(rows[-2][1], rows[-1][1]) >= 0.8 else {2 * i, 2 * i + 1}
     assert 64 < len(want) < 128
     assert {r.doc_id for r in sh.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_rows_not_ids_are_kept(spark):
+    """Null and repeated ids with unrelated texts: each text has a row, and copies of a text have one."""
+    a, b, c, d, e = (prose(60, 2000 + i) for i in range(5))
+    rows = [(None, a), (None, b), (7, c), (7, d), (3, c), (None, b), (7, d), (None, e), (9, e)]
+    got = sorted(map(tuple, sh.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (3, c), (7, d), (9, e)], key=str)
