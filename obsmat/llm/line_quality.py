@@ -2,10 +2,11 @@
 
 Lines are normalised and hashed; for each host the distinct documents with a line are counted; lines above the limits are
 removed, and documents that lose too much are rejected. Everything is DataFrame expressions. Copies of one document count
-once: a document is known by the whole of its normalised lines, so a group of thousands of copies doesn't make its own
-lines look like boilerplate, and pages that share several lines count each. Near copies are different documents. One limit is a number of
-documents, the other a share of the host's, so that short sentences don't become boilerplate as a host grows. Counting is distinct-then-count, both with a partial step before the shuffle, so a line that stands
-in a third of all documents is one row per task. The frequent lines are broadcast only after their number was checked.
+once: a document is known by the hash of its normalised text, so a group of thousands of copies doesn't make its own lines
+look like boilerplate. Near copies are different documents. One limit is a number of documents, the other a share of the
+host's, so that short sentences don't become boilerplate as a host grows. Counting is distinct-then-count, both with a partial
+step before the shuffle, so a line that stands in a third of all documents is one row per task. The frequent lines are
+broadcast only after their number was checked. The text is read once.
 """
 
 from __future__ import annotations
@@ -34,10 +35,6 @@ def repeated_words(hashes: Column, size: int) -> Column:
     return let(hashes, covered)
 
 
-def normal_line(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, SPACES, " ")))
-
-
 def base_statistics(docs: DataFrame, *, min_words: int = 10, max_repeat_percent: int = 20, window: int = 5) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed. A null text has no words."""
     text = F.coalesce("text", F.lit(""))
@@ -47,64 +44,67 @@ def base_statistics(docs: DataFrame, *, min_words: int = 10, max_repeat_percent:
     return d.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
 
 
-#: Stands for the document itself among its lines; no normalised line can hold it.
-WHOLE = "\n"
-
+def with_lines(docs: DataFrame) -> DataFrame:
+    """docs (with text and source) and host_key, doc_key (all normalised lines of the document; null without words), line_keys
+    (host and normalised line, in the order of the text's lines; null where a line has no word) and line_words."""
+    normal = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \x09\x0B-\x0D]+", " "))
+    host = F.coalesce("source", F.lit(""))
+    d = docs.withColumn("_lines", F.transform(F.split(normal, "\n"), lambda x: F.trim(x)))
+    d = d.withColumns({"_whole": F.array_join(F.filter("_lines", lambda x: x != ""), "\n"), "host_key": F.xxhash64(host)})
+    key = F.transform("_lines", lambda x: F.when(x != "", F.xxhash64(F.col("host_key"), x)))
+    number = F.transform("_lines", lambda x: F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1))
+    return d.withColumns({"doc_key": F.when(F.col("_whole") != "", F.xxhash64("_whole")), "line_keys": key, "line_words": number}).drop("_lines", "_whole")
 
-def lines_of(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, text_hash, at, host_key, line_key, doc_key, line_words: a row for each line with a word. line_key holds host
-    and line, doc_key all normalised lines of the document. whole: also a row for each document that has such lines, with
-    the key of WHOLE."""
-    key = F.transform(F.split(F.col("text"), "\n"), lambda x: normal_line(x))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce("source", F.lit("")).alias("_host"), key.alias("_lines"))
-    rows = rows.withColumn("_all", F.array_join(F.filter("_lines", lambda x: x != ""), "\n")).where("_all != ''").withColumn("doc_key", F.xxhash64("_all"))
-    each = F.concat("_lines", F.array(F.lit(WHOLE))) if whole else F.col("_lines")
-    rows = rows.select("doc_id", "text_hash", "_host", "doc_key", F.posexplode(each).alias("at", "_line")).where("_line != ''")
-    return rows.select("doc_id", "text_hash", "at", F.xxhash64("_host").alias("host_key"), F.xxhash64("_host", "_line").alias("line_key"), "doc_key", F.size(F.split("_line", " ")).alias("line_words"), (F.col("_line") == WHOLE).alias("whole"))
 
-
-def frequent_lines(docs: DataFrame, *, max_docs: int, max_percent: int) -> DataFrame:
+def frequent_lines(lined: DataFrame, *, max_docs: int, max_percent: int) -> DataFrame:
     """line_key of the lines that stand in more than max_docs different documents of one host, and in more than max_percent of them."""
-    pairs = lines_of(docs, whole=True).select("host_key", "line_key", "doc_key", "whole").distinct()
-    counts = table(pairs.groupBy("host_key", "line_key", "whole").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs), "line-counts")
-    hosts = counts.where("whole").select("host_key", F.col("n_docs").alias("all_docs"))
-    return counts.where("not whole").join(hosts, "host_key").where(100 * F.col("n_docs") > max_percent * F.col("all_docs")).select("line_key")
+    known = lined.where("doc_key is not null")
+    lines = known.select("host_key", "doc_key", F.explode(F.array_distinct("line_keys")).alias("line_key")).where("line_key is not null")
+    lines = lines.distinct().groupBy("host_key", "line_key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
+    hosts = known.select("host_key", "doc_key").distinct().groupBy("host_key").agg(F.count("*").alias("all_docs")).where(F.col("all_docs") > max_docs)
+    return lines.join(hosts, "host_key").where(100 * F.col("n_docs") > max_percent * F.col("all_docs")).select("line_key")
 
 
-def line_losses(docs: DataFrame, *, max_docs: int, max_percent: int, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """doc_id, text_hash, lost (share of the words that stand in frequent lines), at (those lines' places), only for documents with such lines."""
-    found = table(frequent_lines(docs, max_docs=max_docs, max_percent=max_percent), "frequent-lines")
+def line_losses(lined: DataFrame, *, max_docs: int, max_percent: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """row, lost (share of the words that stand in frequent lines), lines_at (those lines' places), only for rows with such lines."""
+    found = table(frequent_lines(lined, max_docs=max_docs, max_percent=max_percent), "frequent-lines")
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
-    lines = lines_of(docs).join(found.withColumn("common", F.lit(1)), "line_key", "left")
-    gone = F.col("common").isNotNull()
-    by_doc = lines.groupBy("doc_id", "text_hash").agg(
-        (F.sum(F.when(gone, F.col("line_words")).otherwise(0)) / F.sum("line_words")).alias("lost"), F.collect_list(F.when(gone, F.col("at"))).alias("at")
-    )
-    return by_doc.where("lost > 0")
+    at = lined.where("doc_key is not null").select("row", "line_words", F.posexplode("line_keys").alias("at", "line_key")).where("line_key is not null")
+    gone = at.join(found, "line_key").select("row", "at", F.get("line_words", F.col("at")).alias("n"), F.aggregate("line_words", F.lit(0), lambda a, x: a + x).alias("of"))
+    return gone.groupBy("row").agg((F.sum("n") / F.max("of")).alias("lost"), F.collect_list("at").alias("lines_at"))
+
+
+def judged(docs: DataFrame, *, max_docs: int, max_percent: int, max_lost: float, min_words: int, max_repeat_percent: int, drop: tuple = ()) -> DataFrame:
+    """docs (text, source and others, but for `drop`) with base statistics, lost, lines_at and kept. The text is read once: statistics and keys of
+    lines are written together, and lines are counted and looked up among the keys."""
+    base = base_statistics(with_lines(docs), min_words=min_words, max_repeat_percent=max_repeat_percent)
+    base = table(base.drop(*drop).withColumn("row", F.monotonically_increasing_id()), "line-keys")
+    lost = line_losses(base, max_docs=max_docs, max_percent=max_percent)
+    both = base.drop("host_key", "doc_key", "line_keys", "line_words").join(lost, "row", "left").drop("row")
+    share = F.coalesce("lost", F.lit(0e0))
+    return both.withColumns({"lost": share, "kept": ~F.col("base_failed") & (share <= max_lost) & (F.col("n_words") * (1 - share) >= min_words)})
 
 
 def quality(docs: DataFrame, *, max_docs: int = 30, max_percent: int = 5, max_lost: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
-    """docs with the base statistics, base_failed, lost, lines_at (places of removed lines) and kept.
+    """doc_id and source of docs with the base statistics, base_failed, lost, lines_at (places of removed lines) and kept, a row
+    for each row; columns of other names aren't read.
 
-    Rejected: base_failed; more than max_lost of the words in lines that stand in over max_docs documents of one host
-    and over max_percent of its documents; or fewer than min_words words left. Null texts have no words and fail; null sources are one host; repeated rows each get
-    a row; an empty table gives an empty one. Extra columns stay unless a column of this operator has their name.
+    Rejected: base_failed; more than max_lost of the words in lines that stand in over max_docs different documents of one
+    host and over max_percent of its documents; or fewer than min_words words left. Null texts have no words and fail; null
+    and empty sources are one host; a text under two hosts is judged under each by that host's lines; repeated rows each get
+    a row and count once; an empty table gives an empty one.
     """
-    base = base_statistics(docs, min_words=min_words, max_repeat_percent=max_repeat_percent).withColumn("text_hash", F.xxhash64("text"))
-    lost = line_losses(docs, max_docs=max_docs, max_percent=max_percent).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "lost", "at")
-    both = base.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash")), "left").drop("_id", "_hash")
-    share = F.coalesce("lost", F.lit(0e0))
-    kept = ~F.col("base_failed") & (share <= max_lost) & (F.col("n_words") * (1 - share) >= min_words)
-    return both.withColumns({"lost": share, "kept": kept}).withColumnRenamed("at", "lines_at").drop("text_hash")
+    plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
+    return judged(plain, max_docs=max_docs, max_percent=max_percent, max_lost=max_lost, min_words=min_words, max_repeat_percent=max_repeat_percent, drop=("text",))
 
 
-def clean(docs: DataFrame, **limits) -> DataFrame:
-    """The kept documents, without the lines above the limit, with the columns of docs; n_chars, if there, follows the text."""
-    plain = docs.select(*[c for c in ("doc_id", "text", "source") if c in docs.columns], F.struct(*docs.columns).alias("_row"))
-    q = quality(plain, **limits).where("kept")
+def clean(docs: DataFrame, *, max_docs: int = 30, max_percent: int = 5, max_lost: float = 0.5, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
+    """The kept documents, without the lines above the limit, with the columns of docs; n_chars, if there, follows the text. Rows
+    are judged as in `quality`; extra columns stay, whatever their names."""
+    plain = docs.select(F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("_row"))
+    q = judged(plain, max_docs=max_docs, max_percent=max_percent, max_lost=max_lost, min_words=min_words, max_repeat_percent=max_repeat_percent).where("kept")
     line = F.split("text", "\n")
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(line) - 1), F.col("lines_at")), lambda i: F.get(F.col("_split"), i)), "\n")
     q = q.withColumn("_split", line).withColumn("_text", F.when(F.col("lines_at").isNull(), F.col("text")).otherwise(left))
-    out = [F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns]
-    return q.select(*out)
+    return q.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -23,7 +23,7 @@ def op2_fingerprints(spark, sf_dir):
 def op3_quality_rules(spark, sf_dir):
     from obsmat.llm.line_quality import quality
 
-    q = quality(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    q = quality(read(spark, sf_dir, "documents"))
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -80,8 +80,6 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-#: knows a document by its longest other line, where line_quality counts different texts: the same on the given tables, not
-#: where a host's pages share two or more lines that are longer than their own
 _OP3_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host, row_number() OVER () AS r FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -90,14 +88,12 @@ again AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FRO
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(0, 5) AS x(k) GROUP BY r),
 lines AS (SELECT r, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
-normal AS (SELECT r, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS line FROM lines),
-ranked AS (SELECT r, host, line, row_number() OVER (PARTITION BY r ORDER BY length(line) DESC, line DESC) AS k FROM (SELECT DISTINCT r, line FROM normal) JOIN d USING (r)),
-tops AS (SELECT r, host, max(line) FILTER (k = 1) AS a, max(line) FILTER (k = 2) AS b FROM ranked GROUP BY r, host),
-hosts AS (SELECT host, count(DISTINCT a || chr(10) || coalesce(b, '')) AS all_docs FROM tops GROUP BY host),
-common AS (SELECT host, line FROM (SELECT x.host, line, count(DISTINCT CASE WHEN k = 1 THEN coalesce('=' || b, '') ELSE '=' || a END) AS n FROM ranked x JOIN tops USING (r) GROUP BY x.host, line) JOIN hosts USING (host)
-  WHERE n > 30 AND 100 * n > 5 * all_docs),
+texts AS (SELECT r, host, [y FOR y IN [lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) FOR x IN string_split(t, chr(10))] IF y <> ''] AS ls FROM d),
+normal AS (SELECT r, host, md5(array_to_string(ls, chr(10))) AS whole, unnest(ls) AS line FROM texts),
+hosts AS (SELECT host, count(DISTINCT whole) AS all_docs FROM normal GROUP BY host),
+common AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT whole) AS n FROM normal GROUP BY host, line) JOIN hosts USING (host) WHERE n > 30 AND 100 * n > 5 * all_docs),
 lost AS (SELECT r, sum(CASE WHEN c.line IS NOT NULL THEN n ELSE 0 END)::DOUBLE / sum(n) AS share FROM
-  (SELECT r, host, line, len(string_split(line, ' ')) AS n FROM normal JOIN d USING (r)) x LEFT JOIN common c USING (host, line) GROUP BY r),
+  (SELECT r, host, line, len(string_split(line, ' ')) AS n FROM normal) x LEFT JOIN common c USING (host, line) GROUP BY r),
 base AS (SELECT w.doc_id, w.r, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN dup USING (r) LEFT JOIN covered USING (r))

@@ -81,10 +81,9 @@ def quality_by_hand(rows, max_docs, max_percent=5):
         again = {p + k for at in wins.values() if len(at) > 1 for p in at for k in range(5)}
         words[n] = (len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(raw) - len(set(raw)), len(again))
         lines[n] = normal
-        top = sorted(set(normal), key=lambda x: (len(x), x.encode()), reverse=True)
-        known[source or ""].update([tuple(top[:2])] if top else [])
+        known[source or ""].update([tuple(normal)] if normal else [])
         for x in normal:
-            hosts[source or "", x].add(next((y for y in top if y != x), None))
+            hosts[source or "", x].add(tuple(normal))
     out = []
     for n, (doc_id, _, _, source, _) in enumerate(rows):
         total = sum(len(x.split()) for x in lines[n])
@@ -134,6 +133,21 @@ def test_all_boilerplate_of_a_page_is_counted(spark):
     assert lq.quality(df, max_repeat_percent=100).where("kept").count() == 0
 
 
+def test_a_header_and_a_footer_in_all_pages_go(spark):
+    rows = [(i, f"welcome to our little site\n{prose(5 if i % 2 else 40, 900 + i)}\nall rights reserved by the owner", "en", "h", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = lq.quality(df).collect()
+    assert all(r.lost > 0 and set(r.lines_at) == {0, 2} for r in out) and all(r.kept == (r.doc_id % 2 == 0) for r in out)
+
+
+def test_one_text_under_two_hosts_is_judged_by_each(spark):
+    line = "this notice stands on every page of the first host and nowhere else at all"
+    rows = [(i, f"{line}\n{prose(12, 700 + i)}", "en", "a", 0) for i in range(40)] + [(0, f"{line}\n{prose(12, 700)}", "en", "b", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.source: r for r in lq.quality(df).where("doc_id = 0").collect()}
+    assert not out["a"].kept and abs(out["a"].lost - 15 / 27) < 1e-9 and out["b"].kept and out["b"].lost == 0
+
+
 def test_limits_are_numbers_and_shares(spark):
     """A line in 10 of 300 documents is over the number but under 5 %; the longest line of all documents is over both."""
     long_ = "we use cookies " * 30
