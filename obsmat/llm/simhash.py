@@ -11,6 +11,7 @@ are found by smallest-label passes with pointer jumping, each written to the sha
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ SHINGLE = 3
 SHARD, SAMPLE = 8192, 1 << 18
 #: The pipeline stage takes five words and a Jaccard of 80 % or more; its candidates share one of BANDS keys of ROWS minima.
 WIDE, SIMILAR, BANDS, ROWS = 5, 80, 16, 5
-MULTIPLIERS, OFFSETS = (np.random.default_rng(k).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (1, 2))
+MULTIPLIERS = np.random.default_rng(1).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -203,22 +204,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
 
 def shingle_set(text: str | None, shingle: int = WIDE) -> np.ndarray:
-    """The distinct XXH64 hashes of the word shingles of a text with A-Z lower-cased, sorted; none without words."""
+    """The distinct hashes of the word shingles of a text with A-Z lower-cased, sorted; of the whole sequence if it has fewer
+    words; none without words."""
     w = (text or "").encode().lower().split()
-    if not w:
-        return np.zeros(0, np.uint64)
-    runs = zip(*(w[i:] for i in range(shingle)), strict=False) if len(w) >= shingle else [w]
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, 42) for s in map(b" ".join, runs)], np.uint64))
+    h = np.fromiter(map(zlib.crc32, w), np.uint64, len(w)) * np.uint64(0x9E3779B97F4A7C15)
+    n = max(min(1, len(h)), len(h) - shingle + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(h))):
+        out = (out ^ out >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) + h[k : k + n]
+    out = (out ^ out >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    out = np.sort(out ^ out >> np.uint64(29))
+    return out[np.append(True, out[1:] != out[:-1])] if n else out
 
 
 def band_keys(h: np.ndarray) -> np.ndarray:
     """BANDS keys, each of the ROWS least values of the shingle hashes under one multiplier; a pair of Jaccard j shares one
     with probability 1 - (1 - j^ROWS)^BANDS: 0.999 at 0.8."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), 1 << 12):
-        x = h[i : i + (1 << 12), None] * MULTIPLIERS[None, :] + OFFSETS[None, :]
-        x ^= x >> np.uint64(32)
-        least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(0))
+    for i in range(0, len(h), 1 << 10):
+        least = np.minimum(least, (h[i : i + (1 << 10)] * MULTIPLIERS[:, None]).min(1))
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
@@ -236,9 +240,10 @@ def similar_texts(texts: DataFrame, percent: int = SIMILAR, shingle: int = WIDE)
 
     def banded(batches):
         for b in batches:
-            keys = [band_keys(shingle_set(t, shingle)) for t in b.column(1).to_pylist()]
+            node, first = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)  # copies in a batch once
+            keys = [band_keys(shingle_set(b.column(1)[i].as_py(), shingle)) for i in first.tolist()]
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), BANDS)), pa.array(flat.view(np.int64))], ["node", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, BANDS)), pa.array(flat.view(np.int64))], ["node", "band"])
 
     def sets(batches):
         for b in batches:
@@ -268,7 +273,8 @@ def near_groups(docs: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) ->
 
 def first_of_each(docs: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) -> DataFrame:
     """One row of each group of similar texts: of the smallest doc_id, null counting as larger than others, and of the
-    smallest text hash where that id has several texts in the group. Of rows that share both one stays."""
+    smallest text hash where that id has several texts in the group. Of rows that share both one stays. Null and wordless
+    texts are one group; an empty table gives an empty one; extra columns stay, whatever their names."""
     at = {"_node": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), "_null": F.col("doc_id").cast("long").isNull(), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0))}
     marked = docs.select(*[v.alias(k) for k, v in at.items()]).groupBy("_node").agg(F.min(F.struct("_null", "_id")).alias("_low"))
     roots = near_groups(docs, percent, shingle)

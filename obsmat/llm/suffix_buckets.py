@@ -301,8 +301,12 @@ def digests(docs: DataFrame, bits: int = BITS) -> DataFrame:
     return with_spans(src, bits).select("doc_id", "text", "_spans").mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """docs with the repeated bytes taken out of text; characters that lose a part of their bytes go too; n_chars, if there, follows."""
+def without_repeats(docs: DataFrame, bits: int = BITS, drop_emptied: bool = False) -> DataFrame:
+    """docs with the repeated bytes taken out of text; characters that lose a part of their bytes go too; n_chars, if there, follows.
+
+    Every occurrence goes, the first included, as in `digests`. drop_emptied: rows without a word left go too (also those that
+    had none before). Null texts stay null, repeated rows lose all they share, extra columns stay, whatever their names.
+    """
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("_row"))
     found = with_spans(plain, bits)
 
@@ -313,4 +317,5 @@ def without_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     row = found.schema["_row"].dataType
     out = found.select("text", "_spans", "_row").mapInArrow(each, f"_text string, _row {row.simpleString()}")
+    out = out.where(F.col("_text").rlike(r"[^ \x09-\x0D]")) if drop_emptied else out
     return out.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("_row")[c].alias(c) for c in docs.columns])
