@@ -1,4 +1,5 @@
-"""Communities of weighted graphs by modularity: on the driver for graphs of bounded size, as label passes beyond."""
+"""Communities of weighted graphs by modularity: moves and contraction on the cluster until the graph has a bounded number of
+edges, then level by level on the driver."""
 
 from __future__ import annotations
 
@@ -118,21 +119,31 @@ def spread_labels(graph: DataFrame, rounds: int = 12, resolution: float = 1.0) -
 def communities(edges: DataFrame, method: str = "louvain", *, resolution: float = 1.0, seed: int | None = None, local_edges: int = 1_000_000) -> DataFrame:
     """node, community of directed weighted edges (src, dst, w).
 
-    louvain: an edge and its reverse are one; leiden: they add up, communities are connected and the resolution is 1. Up to
-    local_edges edges are worked on the driver; larger graphs stay on the cluster.
+    louvain: an edge and its reverse are one; leiden: they add up, communities are connected and the resolution is 1. While a
+    graph has more than local_edges edges, its nodes move in parallel on the cluster and communities become the nodes of a
+    smaller graph; that is worked on the driver. A graph that no longer shrinks raises an error. Isolated nodes are not in
+    the edges and have no community; an empty graph gives an empty table. Communities found on the cluster may be
+    unconnected inside, with leiden too.
     """
     if method not in ("louvain", "leiden"):
         raise ValueError(f"unknown method {method}")
     graph = nn.undirected(edges, "collapse" if method == "louvain" else "sum")
     resolution = resolution if method == "louvain" else 1.0
     kind = dict(edges.dtypes)["src"]
-    rows = graph.limit(local_edges + 1).collect()
-    if len(rows) > local_edges:
-        return spread_labels(graph, resolution=resolution)
-    pairs = sorted((r.a, r.b, r.w) for r in rows)
+    whole, size = None, graph.count()
+    while size > local_edges:
+        lab = spread_labels(graph, resolution=resolution)
+        whole = lab if whole is None else whole.join(lab.select(F.col("node").alias("community"), F.col("community").alias("_to")), "community").select("node", F.col("_to").alias("community")).transform(kept)
+        a, b = lab.select(F.col("node").alias("a"), F.col("community").alias("ca")), lab.select(F.col("node").alias("b"), F.col("community").alias("cb"))
+        small = graph.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")).transform(kept)
+        graph, before, size = small, size, small.count()
+        if size == before:
+            raise ValueError(f"{size} edges between communities don't become fewer; allow more local_edges")
+    pairs = sorted((r.a, r.b, r.w) for r in graph.collect())
     nodes = sorted({x for a, b, _ in pairs for x in (a, b)})
     found = local_communities(pairs, nodes, resolution, seed, refine=method == "leiden")
-    return edges.sparkSession.createDataFrame([(v, c) for v, c in found.items()], f"node {kind}, community int")
+    top = edges.sparkSession.createDataFrame([(v, c) for v, c in found.items()], f"node {kind}, community int")
+    return top if whole is None else whole.join(top.select(F.col("node").alias("community"), F.col("community").alias("_to")), "community").select("node", F.col("_to").alias("community"))
 
 
 def split_outliers(labels: DataFrame, order: str = "pos", label: str = "label") -> DataFrame:

@@ -27,24 +27,38 @@ def robust_z_array(x: np.ndarray) -> np.ndarray:
     return (x - (lo + hi) / 2) / ((hi - lo) / QUARTILE_SPAN)
 
 
-def loess(x: np.ndarray, y: np.ndarray, span: float = 0.75, degree: int = 2) -> np.ndarray:
-    """Local polynomial fit at each x, with tricube weights over the nearest span of points."""
-    n = len(x)
+def loess(x: np.ndarray, y: np.ndarray, span: float = 0.75, degree: int = 2, knots: int = 200) -> np.ndarray:
+    """Local polynomial fit at each x, with tricube weights over the nearest span of points. It is fitted at the different x,
+    at most at `knots` of them evenly spread over their ranks, and joined between knots by cubics of the fits' slopes."""
+    n, at = len(x), np.unique(x)
+    if not n:
+        return np.zeros(0)
     q = min(n, max(degree + 1, int(np.floor(n * span))))
-    out = np.empty(n)
-    for i in range(n):
-        d = np.abs(x - x[i])
+    at = at[np.unique(np.linspace(0, len(at) - 1, min(len(at), knots)).astype(int))]
+    value, slope = np.empty(len(at)), np.zeros(len(at))
+    for i, center in enumerate(at):
+        d = np.abs(x - center)
         width = np.partition(d, q - 1)[q - 1]
         w = np.clip(1 - (d / width) ** 3, 0, None) ** 3 if width > 0 else (d == 0).astype(float)
         near = np.flatnonzero(w > 0)
-        basis = np.vander(x[near] - x[i], degree + 1, increasing=True)
+        basis = np.vander(x[near] - center, degree + 1, increasing=True)
         root = np.sqrt(w[near])
-        out[i] = np.linalg.lstsq(basis * root[:, None], y[near] * root, rcond=None)[0][0]
-    return out
+        fit = np.linalg.lstsq(basis * root[:, None], y[near] * root, rcond=None)[0]
+        value[i], slope[i] = fit[0], fit[1] if degree else 0.0
+    if len(at) == 1:
+        return np.full(n, value[0])
+    k = np.clip(np.searchsorted(at, x, side="right") - 1, 0, len(at) - 2)
+    h = at[k + 1] - at[k]
+    t = (x - at[k]) / h
+    return (1 + 2 * t) * (1 - t) ** 2 * value[k] + t * (1 - t) ** 2 * h * slope[k] + t * t * (3 - 2 * t) * value[k + 1] - t * t * (1 - t) * h * slope[k + 1]
 
 
 def highly_variable(moments: DataFrame, *, min_cells: int = 4, max_genes: int = 3000, most: int = 200_000) -> DataFrame:
-    """gene, z, p_adj, highly_variable for every gene of moments. The gene table is fitted on the driver: genes are few (most)."""
+    """gene, z (of the dispersion), p_adj (of the residual over the local fit), highly_variable for every gene of moments.
+
+    The first max_genes by (p_adj, z) with a p_adj under 1 are highly variable; genes in fewer than min_cells rows have nulls
+    and are not. The gene table is fitted on the driver: genes are few (most), more raise an error.
+    """
     spark = moments.sparkSession
     p = dispersion(moments).select("gene", "n_present", "log_mean", "dispersion").limit(most + 1).toPandas().sort_values("gene").reset_index(drop=True)
     if len(p) > most:
@@ -53,8 +67,8 @@ def highly_variable(moments: DataFrame, *, min_cells: int = 4, max_genes: int =
     schema = f"gene {moments.schema['gene'].dataType.simpleString()}, z double, p_adj double, highly_variable boolean"
     if not len(on):
         return spark.createDataFrame([(g, None, None, False) for g in p.gene.tolist()], schema)
-    z = robust_z_array(on.dispersion.to_numpy() - loess(on.log_mean.to_numpy(), on.dispersion.to_numpy()))
-    adj = bh_array(normal_tail(z))
+    z = robust_z_array(on.dispersion.to_numpy())
+    adj = bh_array(normal_tail(robust_z_array(on.dispersion.to_numpy() - loess(on.log_mean.to_numpy(), on.dispersion.to_numpy()))))
     order = [i for i in np.lexsort((on.gene.to_numpy().astype(str), -z, adj)) if adj[i] < 1][:max_genes]
     top = {on.gene.iloc[i] for i in order}
     known = {g: (float(a), float(b)) for g, a, b in zip(on.gene, z, adj, strict=True)}

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from obsmat.operators import community, hvg, merging, moments, pca
 from obsmat.operators.de import DEThresholds, Stats, cluster_pairs, de_pairs, marker_genes
-from obsmat.sources.scratch import kept
+from obsmat.sources.scratch import kept, written
 from obsmat.sources.matrix import row_form, sample_key, select_genes
 
 
@@ -104,16 +104,17 @@ def onestep(expr: DataFrame, obs: DataFrame, o: OneStep, *, known: DataFrame | N
     return merge_clusters(expr, vectors, assign.transform(kept), o)
 
 
-def iterate(expr: DataFrame, obs: DataFrame, o: OneStep, *, min_samples: int = 4, known: DataFrame | None = None, latent: DataFrame | None = None, step=onestep, depth: int = 10) -> tuple[DataFrame, set]:
-    """(obs_id, path) by splitting again and again; a leaf has one cluster or fewer rows than min_samples. Ids stay, so rows never change places."""
-    todo, done, markers = [("0", obs.select("obs_id"))], [], set()
+def iterate(expr: DataFrame, obs: DataFrame, o: OneStep, *, min_samples: int = 4, known: DataFrame | None = None, latent: DataFrame | None = None, step=onestep) -> tuple[DataFrame, set]:
+    """(obs_id, path) by splitting again and again; a leaf has one cluster or fewer rows than min_samples. Ids stay, so rows never
+    change places. A group's rows are written once, by its clusters; each cluster reads its own, so a level costs one matrix."""
+    todo, done, markers = [("0", obs.select("obs_id"), expr)], [], set()
     while todo:
-        path, part = todo.pop()
+        path, part, own = todo.pop()
         n = part.count()
-        if n < min_samples or path.count(".") >= depth:
+        if n < min_samples:
             done.append(part.select("obs_id", F.lit(path).alias("path")))
             continue
-        inside = expr.join(part, "obs_id", "left_semi")
+        inside = own.join(part, "obs_id", "left_semi") if path == "0" else own
         assign, found = step(inside, part, o, known=known, latent=latent)
         clusters = sorted(r.cluster for r in assign.select("cluster").distinct().collect())
         if len(clusters) < 2:
@@ -121,7 +122,8 @@ def iterate(expr: DataFrame, obs: DataFrame, o: OneStep, *, min_samples: int = 4
             continue
         markers |= found
         assign = assign.transform(kept)
-        todo += [(f"{path}.{c}", assign.where(F.col("cluster") == c).select("obs_id").transform(kept)) for c in clusters]
+        split = written(inside.join(assign, "obs_id"), "cluster")
+        todo += [(f"{path}.{c}", assign.where(F.col("cluster") == c).select("obs_id"), split.where(F.col("cluster") == c).drop("cluster")) for c in clusters]
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df.checkpoint(), in the folder that spark.checkpoint.dir names; a local session without one gets its own."""
-    sc = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names; a local session without one gets its own."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = f"{tempfile.gettempdir()}/obsmat-checkpoints"
         sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df.checkpoint(), in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as Parquet in the shared folder, in a folder for each value of the columns `by`, so that a filter reads its own only."""
+    path = f"{_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
