@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -532,16 +533,32 @@ def merge_clusters(spark, d):
     return assign
 
 
+#: The order matrix from genes on: two to five components, whose variances hardly differ there.
+COUNTS = clustering.OneStep(k=15, n_comps=5, pc_method=None, max_pcs=5, thresholds=T, n_markers=10, seed=5)
+
+
 @query()
 def onestep_clust(spark, d):
+    x = m1(spark, d)
+    return clustering.onestep(x, x.select("obs_id").distinct(), COUNTS)[0]
+
+
+@query()
+def onestep_clust_sampled_components(spark, d):
+    x = m1(spark, d)
+    return clustering.onestep(x, x.select("obs_id").distinct(), replace(COUNTS, pca_cells=500))[0]
+
+
+@query()
+def onestep_clust_latent(spark, d):
     v = m2(spark, d)
     return clustering.onestep(matrix.long_form(v), v, ONE, latent=v)[0]
 
 
 @query()
 def iter_clust(spark, d):
-    v = m2(spark, d)
-    return clustering.iterate(matrix.long_form(v), v, ONE, min_samples=60, latent=v)[0]
+    x = m1(spark, d)
+    return clustering.iterate(x, x.select("obs_id").distinct(), COUNTS, min_samples=600)[0]
 
 
 @query()

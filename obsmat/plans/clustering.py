@@ -21,6 +21,7 @@ class OneStep:
     min_cells: int = 4
     max_genes: int = 3000
     n_comps: int | None = None
+    pca_cells: int | None = None
     pc_method: str | None = "zscore"
     pc_z: float = 2.0
     max_pcs: int | None = 20
@@ -77,7 +78,10 @@ def merge_clusters(expr: DataFrame, reduced: DataFrame, assign: DataFrame, o: On
 
 
 def onestep(expr: DataFrame, obs: DataFrame, o: OneStep, *, known: DataFrame | None = None, latent: DataFrame | None = None) -> tuple[DataFrame, set]:
-    """(obs_id, cluster) and the marker genes. expr: normalised; latent: obs_id, features, instead of genes and components."""
+    """(obs_id, cluster) and the marker genes. expr: normalised; latent: obs_id, features, instead of genes and components.
+
+    pca_cells: components are those of a seeded sample of that many rows (all, if None); all rows are projected.
+    """
     if latent is None:
         n = obs.count()
         chosen = hvg.highly_variable(moments.gene_moments(expr, n, low=o.low), min_cells=o.min_cells, max_genes=o.max_genes).where("highly_variable")
@@ -87,7 +91,8 @@ def onestep(expr: DataFrame, obs: DataFrame, o: OneStep, *, known: DataFrame | N
             return none
         rows = obs.select("obs_id").join(row_form(select_genes(expr, chosen), genes), "obs_id", "left")
         rows = rows.select("obs_id", F.coalesce("features", F.array_repeat(F.lit(0e0), len(genes))).alias("features")).transform(kept)
-        loadings, ev, evr, mean = pca.pca(rows, o.n_comps)
+        seen = rows if o.pca_cells is None else rows.orderBy(F.xxhash64(F.lit(o.seed or 0), "obs_id"), "obs_id").limit(o.pca_cells)
+        loadings, ev, evr, mean = pca.pca(seen, o.n_comps)
         keep = kept_components(ev, evr, o)
         if not keep:
             return none

@@ -2,6 +2,7 @@
 
 import json
 import os
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -75,8 +76,10 @@ def test_one_step_from_counts_finds_planted_groups(spark):
     expr = spark.createDataFrame(rows, "obs_id long, gene string, x double").where("x > 0")
     o = clustering.OneStep(n_comps=5, pc_method=None, max_pcs=2, k=10)
     assign, _ = clustering.onestep(expr, expr.select("obs_id").distinct(), o)
-    label = {r.obs_id: r.cluster for r in assign.collect()}
-    assert len(label) == 120 and len({label[i] for i in range(60)}) == 1 and len(set(label.values())) == 2
+    sampled, _ = clustering.onestep(expr, expr.select("obs_id").distinct(), replace(o, pca_cells=50))
+    for found in (assign, sampled):
+        label = {r.obs_id: r.cluster for r in found.collect()}
+        assert len(label) == 120 and len({label[i] for i in range(60)}) == 1 and len(set(label.values())) == 2
 
 
 @pytest.mark.parametrize("dtype", sorted(fbm.DTYPES))
