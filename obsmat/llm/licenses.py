@@ -2,13 +2,15 @@
 
 Candidate blocks (sentences with a licence cue, and runs of neighbouring sentences in licence vocabulary) are compressed
 alone and with each template as a raw zstandard dictionary; templates are ranked by how much smaller they make the block,
-and the leading ones are confirmed by their exact wording differences. Texts without a cue never leave the JVM; nothing is
+and those that make it smaller are confirmed by their exact wording differences. Sentences much longer than any template
+are searched in windows around their cues. Texts without a cue never leave the JVM; nothing is
 shuffled; a worker remembers what it found for a block, so a notice that stands in a third of all documents is cheap.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -23,13 +25,18 @@ TEMPLATES = {
     "Apache-2.0 header": ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     "MIT short": ("MIT", "Released under the MIT License."),
     "MIT licensed": ("MIT", "Licensed under the MIT License."),
+    "MIT used": ("MIT", "This project uses the MIT license."),
+    "Apache-2.0 address": ("Apache-2.0", "http://www.apache.org/licenses/LICENSE-2.0"),
     "MIT grant": ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
+    "BSD three conditions": ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     "BSD conditions": ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     "ISC grant": ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     "GPL-3.0 short": ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     "GPL-2.0 short": ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     "LGPL-3.0 short": ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     "AGPL-3.0 short": ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    "GPL-2.0 header": ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    "LGPL-3.0 header": ("LGPL-3.0-or-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "GPL-3.0 header": ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     "MPL-2.0 header": ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     "CC-BY-4.0 short": ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -76,42 +83,54 @@ class Templates:
         base = len(self.alone.compress(raw))
         return sorted(((1 - len(c.compress(raw)) / base, n) for n, c in self.given.items()), key=lambda x: (-x[0], x[1]))
 
-    def differences(self, name: str, block: list[str]) -> tuple[int, int, list[str]]:
-        """(words of the template that are missing, words between its first and last that aren't its own, the differences)."""
+    def differences(self, name: str, block: list[str]) -> tuple[int, int, list[str], int, int]:
+        """(words of the template that are missing, words between its first and last that aren't its own, the differences, first
+        and last + 1 of the block's words that match), near the longest run of words that both have."""
         want = self.words[name]
-        ops = [o for o in SequenceMatcher(None, want, block, autojunk=False).get_opcodes()]
+        match = SequenceMatcher(None, want, block, autojunk=False)
+        core = match.find_longest_match()
+        if not core.size:
+            return len(want), 0, [f"-{w}" for w in want], 0, 0
+        lo = max(0, core.b - core.a - core.a // 5 - 4)
+        near = block[lo : core.b + (len(want) - core.a) * 6 // 5 + 4]
+        match.set_seq2(near)
+        ops = match.get_opcodes()
         inner = [i for i, o in enumerate(ops) if o[0] == "equal"]
-        if not inner:
-            return len(want), 0, [f"-{w}" for w in want]
         missing, extra, said = 0, 0, []
         for i, (kind, a, b, c, d) in enumerate(ops):
             if kind == "equal":
                 continue
-            gone, new = [w for w in want[a:b] if w != "{}"], block[c:d] if inner[0] < i < inner[-1] else []
+            gone, new = [w for w in want[a:b] if w != "{}"], near[c:d] if inner[0] < i < inner[-1] else []
             new = new[4 * (b - a - len(gone)) :]  # a slot takes up to four words
             missing, extra = missing + len(gone), extra + len(new)
             said += [f"-{w}" for w in gone] + [f"+{w}" for w in new]
-        return missing, extra, said
+        return missing, extra, said, lo + ops[inner[0]][3], lo + ops[inner[-1]][4]
 
-    def _classify(self, block: tuple[str, ...], leaders: int = 6, tolerance: float = 0.15):
-        """The confirmed winner for a block: (template, reduction, verdict, missing, extra, differences), or None."""
+    def _classify(self, block: tuple[str, ...], tolerance: float = 0.15):
+        """The confirmed winner for a block, of all templates that make it smaller: (template, reduction, verdict, missing, extra,
+        differences, first and last + 1 of its words), or None."""
         best = None
-        ranks = self.ranked(list(block))
-        for gain, name in [r for i, r in enumerate(ranks) if i < leaders or r[0] == ranks[leaders - 1][0]]:
-            missing, extra, said = self.differences(name, list(block))
+        for gain, name in self.ranked(list(block)):
+            if gain <= 0:
+                break
             n = len(self.words[name])
+            missing, extra, said, first, last = self.differences(name, list(block))
             other = any(w[1:] in DECISIVE or any(ch.isdigit() for ch in w) for w in said)
             if missing + extra and (other or missing + extra > tolerance * n):
                 continue
             key = ((missing + extra) / n, -n, -gain, name)
             if best is None or key < best[0]:
-                best = (key, (name, gain, "modified" if missing + extra else "exact", missing, extra, " ".join(said)))
+                best = (key, (name, gain, "modified" if missing + extra else "exact", missing, extra, " ".join(said), first, last))
         return best and best[1]
 
     def notices(self, text: str) -> list[tuple]:
         """(start, end, classification) of the notices of a text, in order. Of nested blocks the larger confirmed one stays."""
-        parts = [(m.start(), m.end(), normal(m[0]), bool(_CUE.search(m[0]))) for m in _SENTENCE.finditer(text) if m[0].strip()]
-        native = [cue or (len(w) > 0 and sum(x in self.vocabulary for x in w) >= 0.7 * len(w)) for _, _, w, cue in parts]
+        parts = []
+        for m in _SENTENCE.finditer(text):
+            if m[0].strip():
+                spans = [(m.start() + x.start(), m.start() + x.end()) for x in _WORD.finditer(m[0])]
+                parts.append((spans, [text[a:b].lower() for a, b in spans], bool(_CUE.search(m[0]))))
+        native = [cue or (len(w) > 0 and sum(x in self.vocabulary for x in w) >= 0.7 * len(w)) for _, w, cue in parts]
         found, i = [], 0
         while i < len(parts):
             if not native[i]:
@@ -120,28 +139,63 @@ class Templates:
             j = i
             while j < len(parts) and native[j]:
                 j += 1
-            if any(p[3] for p in parts[i:j]):
-                found += self._in_run(parts[i:j])
+            if any(p[2] for p in parts[i:j]):
+                found += self._in_run(text, parts[i:j])
             i = j
-        return found
-
-    def _in_run(self, parts: list[tuple]) -> list[tuple]:
-        """Groups of neighbouring sentences are tried from the longest that a template can fill down to single ones."""
+        return sorted(found, key=lambda f: f[:2])
+
+    def _piece(self, text: str, spans: list, words: list) -> list[tuple]:
+        """A run's part of some words of a sentence, if a cue stands among them."""
+        return [(spans, words, True)] if spans and _CUE.search(text, spans[0][0], spans[-1][1]) else []
+
+    def _windows(self, text: str, part: tuple) -> list[tuple]:
+        """The parts of a run with long sentences, as many words around each cue as the longest template has; windows that meet are one."""
+        spans, words, _ = part
+        reach, starts, out = self.longest + 8, [a for a, _ in part[0]], []
+        for m in _CUE.finditer(text, spans[0][0], spans[-1][1]):
+            at = bisect_right(starts, m.start()) - 1
+            lo, hi = max(0, at - reach), min(len(words), at + reach)
+            if out and lo <= out[-1][1] and hi - out[-1][0] <= 4 * reach:
+                out[-1][1] = hi
+            else:
+                out.append([lo, hi])
+        return [(spans[a:b], words[a:b], True) for a, b in out]
+
+    def _in_run(self, text: str, parts: list[tuple]) -> list[tuple]:
+        """Groups of neighbouring sentences are tried from the longest that a template can fill down to single ones. A notice ends
+        where its words do: what stands before and after it in its sentences is searched too."""
+        limit = 1.3 * self.longest + 8
+        if any(len(p[1]) > 2 * limit for p in parts):
+            parts = self._windows(text, ([s for p in parts for s in p[0]], [w for p in parts for w in p[1]], True))
         out, i = [], 0
         while i < len(parts):
             j, n = i, 0
-            while j < len(parts) and (j == i or n + len(parts[j][2]) <= 1.3 * self.longest + 8):
-                n += len(parts[j][2])
+            while j < len(parts) and (j == i or n + len(parts[j][1]) <= limit):
+                n += len(parts[j][1])
                 j += 1
-            hit = None
             for k in range(j, i, -1):
-                block = tuple(w for p in parts[i:k] for w in p[2])
-                if any(p[3] for p in parts[i:k]) and (got := self.classify(block)) and (k == i + 1 or len(self.words[got[0]]) > max(len(p[2]) for p in parts[i:k])):
-                    hit = (parts[i][0], parts[k - 1][1], got)
-                    break
-            if hit:
-                out.append(hit)
-                i = k
+                block = tuple(w for p in parts[i:k] for w in p[1])
+                if not any(p[2] for p in parts[i:k]) or not (got := self.classify(block)):
+                    continue
+                if k > i + 1 and len(self.words[got[0]]) <= max(len(p[1]) for p in parts[i:k]):
+                    continue
+                spans, (first, last) = [s for p in parts[i:k] for s in p[0]], got[6:]
+                end = spans[last - 1][1]
+                out.append((spans[first][0], end + (text[end : end + 1] in tuple(".!?")), got[:6]))
+                before, at = [], 0
+                for p in parts[i:k]:  # whole sentences and parts of sentences before the notice's first word
+                    cut = min(max(first - at, 0), len(p[1]))
+                    before += [p] if cut == len(p[1]) else self._piece(text, p[0][:cut], p[1][:cut])
+                    at += len(p[1])
+                if any(p[2] for p in before):
+                    out += self._in_run(text, before)
+                after, at = [], 0
+                for p in parts[i:k]:
+                    cut = min(max(last - at, 0), len(p[1]))
+                    after += [p] if cut == 0 else self._piece(text, p[0][cut:], p[1][cut:])
+                    at += len(p[1])
+                parts[i:k] = after
+                break
             else:
                 i += 1
         return out
@@ -153,7 +207,8 @@ _made: dict = {}
 def scan(docs: DataFrame, templates=None) -> DataFrame:
     """A row for each confirmed notice: doc_id, start and end (code points), template, license, reduction, verdict (exact or
     modified), missing, extra, differences. Texts without one have no row: null and empty ones, and an empty table.
-    Repeated rows are scanned each; null doc_ids stay null; very long texts are read whole, sentence by sentence.
+    Repeated rows are scanned each; null doc_ids stay null; very long texts are read whole, sentence by sentence. Of templates
+    that fit alike the longest is named. Words inside a notice are its own: notices never overlap.
     """
 
     def each(batches):
