@@ -1,11 +1,15 @@
 """SimHash near-duplicates by vantage-point trees.
 
-Fingerprints (not documents) are linked: copies of one fingerprint are one node. A shallow vantage-point tree, built on a
-bounded sample, deals the fingerprints into shards: each is at home in one leaf and is sent as a query to the other leaves
-that the triangle inequality can't rule out (its distance to a vantage point is within the link radius of the boundary).
-Inside a shard the same splitting goes on in memory down to small leaves, where distances are exact. So each linked pair
-meets where one of the two is at home. Shards return spanning stars of their links, never all pairs of a group. Components
-are found by smallest-label passes with pointer jumping, each written to the shared folder.
+Fingerprints (not documents) are linked: copies of one fingerprint are one node. Two within radius 3 agree in at least one of
+four parts of 16 bits, so there is a vantage-point tree for each part. A tree is shallow, built on a bounded sample, and
+deals the fingerprints into shards. It splits by the distance within its part as long as that splits: both of a pair that
+agrees there fall on one side, nothing is sent twice. Where the part no longer splits (many points agree in it), it splits
+by the distance of all 64 bits: each point is at home in one leaf and is sent as a query to the other leaves that the
+triangle inequality can't rule out (its distance to a vantage point is within the link radius of the boundary). Inside a
+shard the same splitting goes on in memory down to small leaves, where distances are exact. So each linked pair meets
+where one of the two is at home, and a fingerprint has about one row a part however many there are. Shards return spanning
+stars of their links, never all pairs of a group. Components are found by smallest-label passes with pointer jumping, each
+written to the shared folder.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from obsmat.llm.common import table
 
 RADIUS = 3
 SHINGLE = 3
-#: Fingerprints at home in a shard, about, and the most that the tree is built on.
-SHARD, SAMPLE = 8192, 1 << 18
+#: Fingerprints at home in a shard, about, the most that the trees are built on, and the least of these that a split takes.
+SHARD, SAMPLE, SPLIT = 8192, 1 << 18, 64
 #: The pipeline stage takes five words and a Jaccard of 80 % or more; its candidates share one of BANDS keys of ROWS minima.
 WIDE, SIMILAR, BANDS, ROWS = 5, 80, 16, 5
 MULTIPLIERS = np.random.default_rng(1).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -59,35 +63,44 @@ def distance(a, b) -> np.ndarray:
     return np.bitwise_count(np.bitwise_xor(a, b)).astype(np.int16)
 
 
-def choose(points: np.ndarray, rng: np.random.Generator, radius: int, tries: int = 12) -> tuple[float, int, int]:
-    """(cost, vantage point, r) of the split with the least share of pairs left to compare; cost 1 splits nothing."""
+def metrics(radius: int = RADIUS) -> list[tuple[tuple[int, int], ...]]:
+    """For each of radius + 1 parts of the bits the distances to split by, (mask, slack): points linked through the part are
+    at most slack apart in the masked bits. One part, or more, of a linked pair agrees in all its bits."""
+    ends = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [(((1 << high) - (1 << low), 0), ((1 << 64) - 1, radius)) for low, high in zip(ends, ends[1:])]
+
+
+def choose(points: np.ndarray, rng: np.random.Generator, by, tries: int = 12) -> tuple[float, int, int, int, int]:
+    """(cost, vantage point, r, mask, slack) of the split with the least share of pairs left to compare; cost 1 splits nothing."""
     seen = points if len(points) <= 512 else points[rng.integers(0, len(points), 512)]
-    best = (1.0, 0, 0)
-    for v in points[rng.integers(0, len(points), tries)]:
-        at = np.cumsum(np.bincount(distance(seen, v), minlength=65 + 2 * radius + 2)) / len(seen)
-        below = lambda r: at[r - 1] if r > 0 else 0.0
-        for r in range(1, 65):
-            if 0.05 <= below(r) <= 0.95:
-                best = min(best, (below(r) * below(r + radius) + (1 - below(r)) * (1 - below(r - radius)), int(v), r))
+    best, r = (1.0, 0, 0, 0, 0), np.arange(1, 65)
+    for mask, slack in by:
+        for v in points[rng.integers(0, len(points), tries)]:
+            at = np.cumsum(np.bincount(distance(seen & np.uint64(mask), v & np.uint64(mask)), minlength=65 + slack)) / len(seen)
+            below = np.concatenate([np.zeros(slack + 1), at])  # the share nearer than k is at k + slack
+            inner, wide, narrow = below[r + slack], below[r + 2 * slack], below[r]
+            cost = np.where((inner >= 0.05) & (inner <= 0.95), inner * wide + (1 - inner) * (1 - narrow), 1.0)
+            k = int(cost.argmin())
+            best = min(best, (float(cost[k]), int(v), int(r[k]), mask, slack))
     return best
 
 
-def build_tree(sample: np.ndarray, depth: int, radius: int = RADIUS) -> list:
-    """A nested [v, r, inner, outer], or a leaf's number."""
+def build_tree(sample: np.ndarray, depth: int, by) -> tuple | int:
+    """A nested (v, r, mask, slack, inner, outer), or a leaf's number."""
     rng, leaves = np.random.default_rng(42), [0]
 
     def grow(points, left):
-        cost, v, r = choose(points, rng, radius) if left and len(points) > 1 else (1.0, 0, 0)
+        cost, v, r, mask, slack = choose(points, rng, by) if left and len(points) >= SPLIT else (1.0, 0, 0, 0, 0)
         if cost > 0.95:
             leaves[0] += 1
             return leaves[0] - 1
-        inside = distance(points, np.uint64(v)) < r
-        return [v, r, grow(points[inside], left - 1), grow(points[~inside], left - 1)]
+        inside = distance(points & np.uint64(mask), np.uint64(v & mask)) < r
+        return v, r, mask, slack, grow(points[inside], left - 1), grow(points[~inside], left - 1)
 
     return grow(sample, depth)
 
 
-def route(tree, points: np.ndarray, radius: int = RADIUS):
+def route(tree, points: np.ndarray):
     """(leaf, indices of points, at home or not) for each leaf that may hold a partner of the points."""
     stack = [(tree, np.arange(len(points)), np.ones(len(points), bool))]
     while stack:
@@ -97,9 +110,9 @@ def route(tree, points: np.ndarray, radius: int = RADIUS):
         if isinstance(node, int):
             yield node, at, home
             continue
-        v, r, inner, outer = node
-        d = distance(points[at], np.uint64(v))
-        into, out = d < r + radius, d >= r - radius
+        v, r, mask, slack, inner, outer = node
+        d = distance(points[at] & np.uint64(mask), np.uint64(v & mask))
+        into, out = d < r + slack, d >= r - slack
         stack.append((inner, at[into], home[into] & (d[into] < r)))
         stack.append((outer, at[out], home[out] & (d[out] >= r)))
 
@@ -122,20 +135,21 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[lab[rest]], nodes[rest]
 
 
-def shard_links(home: np.ndarray, queries: np.ndarray, radius: int = RADIUS, leaf: int = 96, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars of the links of home points with each other and with the queries. Points must be distinct."""
+def shard_links(home: np.ndarray, queries: np.ndarray, by, radius: int = RADIUS, leaf: int = 96, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars of the links of home points with each other and with the queries, all that agree in the part that `by`
+    splits by and maybe others. Points must be distinct."""
     rng, found, held = np.random.default_rng(7), [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))], 0
     stack = [(home, queries)]
     while stack:
         h, q = stack.pop()
         if not len(h) or len(h) + len(q) < 2:
             continue
-        cost, v, r = choose(h, rng, radius) if len(h) > leaf else (1.0, 0, 0)
+        cost, v, r, mask, slack = choose(h, rng, by, 4) if len(h) > leaf else (1.0, 0, 0, 0, 0)
         if cost < 0.9:
-            dh, dq = distance(h, np.uint64(v)), distance(q, np.uint64(v))
+            dh, dq = (distance(x & np.uint64(mask), np.uint64(v & mask)) for x in (h, q))
             inner, outer = dh < r, dh >= r
-            stack.append((h[inner], np.concatenate([q[dq < r + radius], h[outer & (dh < r + radius)]])))
-            stack.append((h[outer], np.concatenate([q[dq >= r - radius], h[inner & (dh >= r - radius)]])))
+            stack.append((h[inner], np.concatenate([q[dq < r + slack], h[outer & (dh < r + slack)]])))
+            stack.append((h[outer], np.concatenate([q[dq >= r - slack], h[inner & (dh >= r - slack)]])))
             continue
         every, step = np.concatenate([h, q]), max(1, (1 << 20) // (len(h) + len(q)))
         for i in range(0, len(h), step):
@@ -152,24 +166,26 @@ def shard_links(home: np.ndarray, queries: np.ndarray, radius: int = RADIUS, lea
 
 def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) whose components are those of all pairs within the radius."""
-    n = fps.count()
+    n, parts = fps.count(), metrics(radius)
     depth = max(0, math.ceil(math.log2(max(1, n) / shard)))
-    bound = min(SAMPLE, 64 << depth)
+    bound = min(SAMPLE, SPLIT << depth)
     sample = np.array([r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(bound).collect()], np.int64).view(np.uint64)
-    tree = build_tree(sample, depth, radius) if len(sample) else 0
+    trees = [build_tree(sample, depth, by) for by in parts]
 
     def deal(batches):
         for b in batches:
             points = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for leaf, at, home in route(tree, points, radius):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), leaf, np.int32)), pa.array(points[at].view(np.int64)), pa.array(home)], ["leaf", "fp", "home"])
+            for part, tree in enumerate(trees):
+                for leaf, at, home in route(tree, points):
+                    key = (pa.array(np.full(len(at), k, np.int32)) for k in (part, leaf))
+                    yield pa.RecordBatch.from_arrays([*key, pa.array(points[at].view(np.int64)), pa.array(home)], ["part", "leaf", "fp", "home"])
 
     def pairs(t: pa.Table) -> pa.Table:
         fp, home = t.column("fp").to_numpy().view(np.uint64), t.column("home").to_numpy(zero_copy_only=False)
-        a, b = shard_links(fp[home], fp[~home], radius)
+        a, b = shard_links(fp[home], fp[~home], parts[t.column("part")[0].as_py()], radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return fps.select("fp").mapInArrow(deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInArrow(pairs, "a long, b long")
+    return fps.select("fp").mapInArrow(deal, "part int, leaf int, fp long, home boolean").groupBy("part", "leaf").applyInArrow(pairs, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -48,10 +48,14 @@ def test_deep_trees_lose_no_link():
     near = base[rng.integers(0, 1500, 800)] ^ (np.uint64(1) << rng.integers(0, 64, 800).astype(np.uint64))
     points = np.unique(np.concatenate([base, near, base[:1] ^ np.arange(600, dtype=np.uint64)]))
     a, b = [], []
-    for leaf, at, home in sh.route(sh.build_tree(points, 4), points):
-        x, y = sh.shard_links(points[at[home]], points[at[~home]], leaf=24, most=5000)
-        a.append(x)
-        b.append(y)
+    sent = 0
+    for by in sh.metrics():
+        for leaf, at, home in sh.route(sh.build_tree(points, 4, by), points):
+            sent += len(at)
+            x, y = sh.shard_links(points[at[home]], points[at[~home]], by, leaf=24, most=5000)
+            a.append(x)
+            b.append(y)
+    assert sent < 6 * len(points)
     root, node = sh.stars(np.concatenate(a), np.concatenate(b))
     lab = groups(points)
     assert dict(zip(node, root, strict=True)) == {points[i]: points[lab[i]] for i in range(len(points)) if lab[i] != i}
@@ -96,3 +100,26 @@ def test_rows_not_ids_are_kept(spark):
     rows = [(None, a), (None, b), (7, c), (7, d), (3, c), (None, b), (7, d), (None, e), (9, e)]
     got = sorted(map(tuple, sh.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(None, a), (None, b), (3, c), (7, d), (9, e)], key=str)
+
+
+def test_rows_a_fingerprint_stay_flat():
+    """Random fingerprints are sent to one shard a part, at any depth, and their shards are alike."""
+    points = np.random.default_rng(5).integers(0, 2**63, 1 << 16, dtype=np.uint64)
+    for depth in (2, 5, 8):
+        for by in sh.metrics():
+            sizes = [len(at) for _, at, _ in sh.route(sh.build_tree(points[: 64 << depth], depth, by), points)]
+            assert sum(sizes) < 1.1 * len(points) and max(sizes) < 8 * len(points) / 2**depth
+
+
+def test_many_points_that_agree_in_a_part_are_dealt_to_several_shards():
+    """Where the part can't split, all bits do: each linked pair meets where one of the two is at home."""
+    rng = np.random.default_rng(6)
+    points = rng.integers(0, 2**48, 3000, dtype=np.uint64) << np.uint64(16)
+    points = np.unique(np.concatenate([points, points[:500] ^ (np.uint64(7) << np.uint64(40))]))
+    by = sh.metrics()[0]
+    leaves = list(sh.route(sh.build_tree(points, 4, by), points))
+    assert len(leaves) > 4 and sum(home.sum() for _, _, home in leaves) == len(points) < sum(len(at) for _, at, _ in leaves)
+    links = [sh.shard_links(points[at[home]], points[at[~home]], by, leaf=24) for _, at, home in leaves]
+    root, node = sh.stars(*(np.concatenate(x) for x in zip(*links, strict=True)))
+    lab = groups(points)
+    assert dict(zip(node, root, strict=True)) == {points[i]: points[lab[i]] for i in range(len(points)) if lab[i] != i}
