@@ -8,7 +8,7 @@ dropped as early as possible, so few offsets are refined further:
 
 1. Offsets are represented by anchors. The first 100 bytes of a 200-byte string choose one of their offsets (by the least
    initial identifier, the leftmost if tied), so equal strings have their anchors at the same place. A run of strings with
-   one anchor is one row. Anchors are bucketed by the 116 bytes that every string of theirs contains.
+   one anchor is one row. Anchors are bucketed by the 108 bytes that every string of theirs contains.
 2. Anchors in buckets of two or more are refined by the whole content of their run. Runs that occur twice are repeated
    from end to end.
 3. The other runs of those buckets are cut into groups of eight starts, at places that depend on the distance to the
@@ -135,9 +135,8 @@ class Block:
         return run[a], s[a], s[b], refine(shared, part[a].astype(np.uint64)), content, a, b + 1, strings
 
 
-def blocks(texts: list[bytes], size: int = 0):
+def blocks(texts: list[bytes], size: int = BLOCK):
     """Blocks of the texts; pieces of long texts overlap so that each start is in one piece."""
-    size = size or BLOCK
     held, total = [], 0
     for i, raw in enumerate(texts):
         for base in range(0, max(0, len(raw) - DEPTH + 1), size):
@@ -186,13 +185,13 @@ def _count(arrays: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(_signed(c[at]) for c in cols), pa.array(n.astype(np.int64))], [*names, "n"])
 
 
-def repeated(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def repeated(docs: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """doc_id, text_hash, spans (array of lo, hi: starts of 200-byte strings that start elsewhere too), only for texts with such."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def buckets(batches):
         for b in batches:
-            yield _count([[x.bucket for x in blocks(_texts(b))]], ["bucket"])
+            yield _count([[x.bucket for x in blocks(_texts(b), block)]], ["bucket"])
 
     many = table(src.mapInArrow(buckets, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1").select("bucket"), "repeat-buckets")
     alive = _alive(many, bits)
@@ -200,7 +199,7 @@ def repeated(docs: DataFrame, bits: int = BITS) -> DataFrame:
     def runs(batches):
         for b in batches:
             found = [[], []]
-            for x in blocks(_texts(b)):
+            for x in blocks(_texts(b), block):
                 on = np.flatnonzero(_has(alive.value, x.bucket, bits))
                 found[0].append(x.bucket[on])
                 found[1].append(x.runs(on))
@@ -217,7 +216,7 @@ def repeated(docs: DataFrame, bits: int = BITS) -> DataFrame:
             texts = _texts(b)
             ids = b.column(0)
             digest = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], np.uint64).view(np.int64)
-            for x in blocks(texts):
+            for x in blocks(texts, block):
                 on = np.flatnonzero(_has(alive.value, x.bucket, bits))
                 if not len(on):
                     continue
@@ -273,14 +272,14 @@ def cut(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def with_spans(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def with_spans(docs: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """docs with _spans, null where nothing repeats. The hash of the text is XXH64 with seed 42 on both sides."""
-    found = table(repeated(docs, bits).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")), "repeat-spans")
+    found = table(repeated(docs, bits, block).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")), "repeat-spans")
     keyed = docs.withColumns({"_a": F.col("doc_id").cast("long"), "_b": F.xxhash64(F.col("text").cast("string"))})
     return keyed.join(found, F.col("_a").eqNullSafe(F.col("_id")) & (F.col("_b") == F.col("_hash")), "left").drop("_a", "_b", "_id", "_hash")
 
 
-def digests(docs: DataFrame, bits: int = BITS) -> DataFrame:
+def digests(docs: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: a row for each row of docs.
 
     Null texts count as empty and texts under 200 bytes lose nothing; rows with one text lose it wholly, if it has 200
@@ -298,7 +297,7 @@ def digests(docs: DataFrame, bits: int = BITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_spans(src, bits).select("doc_id", "text", "_spans").mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(src, bits, block).select("doc_id", "text", "_spans").mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, bits: int = BITS, drop_emptied: bool = False) -> DataFrame:

@@ -34,11 +34,10 @@ def cases():
 
 
 @pytest.mark.parametrize("block", [1 << 18, 300])
-def test_every_offset(spark, monkeypatch, block):
-    monkeypatch.setattr(sb, "BLOCK", block)
+def test_every_offset(spark, block):
     rows = odd_rows() + cases()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = sb.digests(clashing(df), bits=16).collect()
+    got = sb.digests(clashing(df), bits=16, block=block).collect()
     want = [(r[0], *d) for r, d in zip(rows, by_hand([(r[1] or "").encode() for r in rows]), strict=True)]
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
