@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Public suffixes of two labels that are common on the web. Others are taken as one label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ne.jp", "com.br", "com.cn", "com.mx", "com.ar", "com.tr", "co.in", "co.kr", "co.za", "github.io")
+#: Second labels that registries use under two-letter country domains (co.uk, com.au, ac.jp), and hosting
+#: domains whose subdomains belong to different people. Other suffixes are taken as one label.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+SHARED_DOMAINS = ("appspot.com", "blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "tumblr.com", "vercel.app", "web.app", "wordpress.com", "workers.dev")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -42,10 +44,12 @@ def rule_expr(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> t
 
 
 def parents(host: Column) -> tuple[Column, Column]:
-    """(registered domain, public suffix) of a host; user names and ports don't count. A host without a dot is its own domain, with an empty suffix."""
+    """(registered domain, public suffix) of a host; user names and ports don't count. A suffix has two labels if these are one of
+    SHARED_DOMAINS, or a country domain of two letters after one of SECOND_LABELS; else one. A host without a dot is its own
+    domain, with an empty suffix; a host that is itself a suffix is its own domain."""
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
     two = F.regexp_extract(bare, r"([^.]+\.[^.]+)$", 1)
-    suffix = F.when(two.isin(*TWO_LABEL_SUFFIXES), two).when(F.contains(bare, F.lit(".")), F.substring_index(bare, ".", -1)).otherwise("")
+    suffix = F.when(two.isin(*SHARED_DOMAINS) | two.rlike(rf"^({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}\z"), two).when(F.contains(bare, F.lit(".")), F.substring_index(bare, ".", -1)).otherwise("")
     n = F.size(F.split(suffix, r"\.")) + 1
     return F.when(suffix == "", bare).otherwise(F.array_join(F.slice(F.split(bare, r"\."), -F.least(n, F.size(F.split(bare, r"\."))), n), ".")), suffix
 

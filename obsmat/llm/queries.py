@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from obsmat.llm.common import read
+from obsmat.llm.host_reputation import SECOND_LABELS, SHARED_DOMAINS
 
 #: Rules of the URL filter: (action, host and start of path).
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -112,9 +113,11 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJ
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY 1),
 h0 AS (SELECT host, count(l.bad) AS n, coalesce(sum(l.bad), 0) AS bad FROM p LEFT JOIN l USING (page_id) GROUP BY host),
-h1 AS (SELECT *, regexp_replace(host, ':\d*$', '') AS bare FROM h0),
-h AS (SELECT host, n, bad, CASE WHEN strpos(bare, '.') > 0 THEN split_part(bare, '.', -1) ELSE '' END AS suffix,
-  CASE WHEN strpos(bare, '.') > 0 THEN split_part(bare, '.', -2) || '.' || split_part(bare, '.', -1) ELSE bare END AS domain FROM h1),
+h1 AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare FROM h0),
+h2s AS (SELECT *, string_split(bare, '.') AS labels, array_to_string(string_split(bare, '.')[-2:], '.') AS two FROM h1),
+h3 AS (SELECT *, CASE WHEN regexp_full_match(two, '({'|'.join(SECOND_LABELS)})\.[a-z]{{2}}') OR two IN {SHARED_DOMAINS} THEN 2 WHEN strpos(bare, '.') > 0 THEN 1 ELSE 0 END AS k FROM h2s),
+h AS (SELECT host, n, bad, CASE WHEN k = 0 THEN '' ELSE array_to_string(labels[-k:], '.') END AS suffix,
+  array_to_string(labels[-least(k + 1, len(labels)):], '.') AS domain FROM h3),
 d AS (SELECT domain, suffix, n, bad, {_STRENGTH} AS s FROM (SELECT domain, suffix, {_SUMS} FROM h GROUP BY domain, suffix)),
 s AS (SELECT suffix, n, bad, {_STRENGTH} AS s FROM (SELECT suffix, {_SUMS} FROM d GROUP BY suffix)),
 r AS (SELECT (bad + 1e0) / (n + 2e0) AS m, {_STRENGTH} AS s FROM (SELECT {_SUMS} FROM s)),

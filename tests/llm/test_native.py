@@ -182,3 +182,26 @@ def test_reputation_shrinks_and_blocks(spark):
     assert rep["h0.bad.net"].mean < 1 and rep["g1.good.net"].mean > 0
     out = {(r.page_id, r.verdict) for r in hr.judge(pages, labels, ()).collect()}
     assert (0, "block") in out and (500, "allow") in out and (None, "allow") in out and len(out) == len(rows)
+
+
+def test_sql_of_the_url_filter_knows_users_ports_and_suffixes(spark):
+    """Both sides agree on hosts of every kind, page by page; the suffixes change what a host inherits."""
+    import duckdb
+    import pandas as pd
+
+    from obsmat.llm.queries import URL_RULES, oracle_sql
+
+    hosts = ["a.co.uk", "b.co.uk", "www.a.co.uk", "co.uk", "uk", "x.com.au", "y.x.com.au", "me.github.io", "you.github.io", "github.io", "u@v.net", "v.net:8080", "p:q@w.v.net:1", "one", "", "a..b", "example.org", "Shop.De", "co.uk.", "1.2.3.4"]
+    rows = [(i, None if i % 97 == 5 else f"http://{hosts[i % len(hosts)]}/{i % 3}?x#y") for i in range(400)]
+    labels = [(i, (0 if (i * 7 + i // 20) % (2 + i % len(hosts)) else 1) if i % 11 else None, i % 23 == 0) for i in range(0, 400, 2)]
+    pages, marks = pd.DataFrame(rows, columns=["page_id", "url"]), pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"]).astype({"quality": "Int64", "toxic": "int"})
+    con = duckdb.connect()
+    con.register("pages", pages)
+    con.register("labels", marks)
+    want = con.execute(oracle_sql()["op7_url_filters"]).fetchall()
+    got = hr.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(a, b, int(c)) for a, b, c in labels], "doc_id long, quality int, toxic int"), URL_RULES)
+    assert sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict").collect())) == sorted(want)
+    assert {"block", "allow"} == {r[4] for r in want if r[3] is None}
+    names = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *(c.alias(n) for c, n in zip(hr.parents(F.col("host")), ("domain", "suffix"), strict=True)))
+    found = {r.host: (r.domain, r.suffix) for r in names.collect()}
+    assert found["www.a.co.uk"] == ("a.co.uk", "co.uk") and found["p:q@w.v.net:1"] == ("v.net", "net") and found["me.github.io"] == ("me.github.io", "github.io") and found["co.uk"] == ("co.uk", "co.uk")
