@@ -356,31 +356,33 @@ def filter_known_components(spark, d):
     return out.select("pc", rounded(F.col("similarity")).alias("similarity"))
 
 
-def _ratios(spark, n):
-    v = [1 / (i + 1) for i in range(n)]
-    return spark.createDataFrame([(i, x / sum(v)) for i, x in enumerate(v)], "pc int, ev double")
+_BETWEEN = _CENTRE + ", between AS (SELECT gene AS pc, var_pop(mean) AS v FROM centre GROUP BY gene), ev AS (SELECT pc, v / (SELECT sum(v) FROM between) AS ev FROM between)"
 
 
-_EV50 = "ev AS (SELECT i::INT AS pc, (1e0 / (i + 1)) / sum(1e0 / (i + 1)) OVER () AS ev FROM range(50) r(i))"
+def _shares(spark, d):
+    """Each coordinate's share of the variance between the labels' means, over the whole embeddings."""
+    v = m2_centres(spark, d).groupBy(F.col("gene").alias("pc")).agg(F.var_pop("mean").alias("v"))
+    return v.crossJoin(F.broadcast(v.agg(F.sum("v").alias("all")))).select("pc", (F.col("v") / F.col("all")).alias("ev"))
 
 
-@query(f"WITH {_EV50} SELECT pc, {_r('z')} AS z FROM (SELECT pc, (ev - avg(ev) OVER ()) / stddev_pop(ev) OVER () AS z FROM ev) WHERE z > 2")
+@query(f"WITH {_BETWEEN} SELECT pc, {_r('z')} AS z FROM (SELECT pc, (ev - avg(ev) OVER ()) / stddev_pop(ev) OVER () AS z FROM ev) WHERE z > 1")
 def filter_ev_zscore(spark, d):
-    return pca.filter_zscore(_ratios(spark, 50)).select("pc", rounded(F.col("z")).alias("z"))
+    return pca.filter_zscore(_shares(spark, d), 1.0).select("pc", rounded(F.col("z")).alias("z"))
 
 
-@query("""WITH ev AS (SELECT i::INT AS pc, pow(2e0, 8 - i) AS ev FROM range(9) r(i)), b AS (SELECT pc, ev, row_number() OVER (ORDER BY ev DESC) - 1 AS i, count(*) OVER () AS n, max(ev) OVER () AS hi, min(ev) OVER () AS lo FROM ev),
+@query(f"""WITH {_BETWEEN}, wide AS (SELECT pc, ev * 10000 AS ev FROM ev), b AS (SELECT pc, ev, row_number() OVER (ORDER BY ev DESC, pc) - 1 AS i, count(*) OVER () AS n, max(ev) OVER () AS hi, min(ev) OVER () AS lo FROM wide),
 c AS (SELECT *, (n - 1) / sqrt(pow(n - 1, 2) + pow(lo - hi, 2)) AS dx, (lo - hi) / sqrt(pow(n - 1, 2) + pow(lo - hi, 2)) AS dy, ev - hi AS dr FROM b),
 o AS (SELECT *, i - dx * sqrt(pow(i * dx, 2) + pow(dr * dy, 2)) AS ox, dr - dy * sqrt(pow(i * dx, 2) + pow(dr * dy, 2)) AS oy FROM c)
-SELECT pc, ev FROM o WHERE i <= coalesce((SELECT i FROM o WHERE ox < 0 AND oy < 0 ORDER BY ox * ox + oy * oy DESC, i LIMIT 1), n)""")
+SELECT pc, {_r('ev')} AS ev FROM o WHERE i <= coalesce((SELECT i FROM o WHERE ox < 0 AND oy < 0 ORDER BY ox * ox + oy * oy DESC, i LIMIT 1), n)""")
 def filter_ev_elbow(spark, d):
-    return pca.filter_elbow(spark.createDataFrame([(i, 2.0 ** (8 - i)) for i in range(9)], "pc int, ev double"))
+    """Shares in ten-thousandths: the elbow weighs them against ranks."""
+    return pca.filter_elbow(_shares(spark, d).withColumn("ev", F.col("ev") * 10000)).select("pc", rounded(F.col("ev")).alias("ev"))
 
 
-@query(f"WITH {_EV50} SELECT pc FROM (SELECT pc, (ev - avg(ev) OVER ()) / stddev_pop(ev) OVER () AS z FROM ev) WHERE z > 1 ORDER BY pc LIMIT 2")
+@query(f"WITH {_BETWEEN} SELECT pc FROM (SELECT pc, (ev - avg(ev) OVER ()) / stddev_pop(ev) OVER () AS z FROM ev) WHERE z > 0.5 ORDER BY pc LIMIT 5")
 def filter_components(spark, d):
-    r = _ratios(spark, 50)
-    return pca.filter_components(r, r.withColumn("evr", F.col("ev")), method="zscore", z=1.0, max_pcs=2)
+    r = _shares(spark, d)
+    return pca.filter_components(r, r.withColumn("evr", F.col("ev")), method="zscore", z=0.5, max_pcs=5)
 
 
 # --- similarity of clusters
@@ -491,9 +493,10 @@ def graph_modularity(spark, d):
     return knn.modularity(knn.undirected(_edges(spark, d)), part).select(rounded(F.col("q")).alias("q"))
 
 
-@query("WITH v(pos, label) AS (VALUES (0, -1), (1, 1), (2, -1), (3, 2), (4, -1), (5, 3)) SELECT pos, CASE WHEN label = -1 THEN (SELECT max(label) FROM v) + (sum(CASE WHEN label = -1 THEN 1 ELSE 0 END) OVER (ORDER BY pos))::INT ELSE label END AS label FROM v")
+@query("WITH v AS (SELECT c_custkey AS pos, (CASE WHEN c_acctbal < -900 THEN -1 ELSE c_nationkey END)::INT AS label FROM customer) SELECT pos, CASE WHEN label = -1 THEN (SELECT max(label) FROM v) + (sum(CASE WHEN label = -1 THEN 1 ELSE 0 END) OVER (ORDER BY pos))::INT ELSE label END AS label FROM v")
 def split_outlier_labels(spark, d):
-    return community.split_outliers(spark.createDataFrame(list(enumerate([-1, 1, -1, 2, -1, 3])), "pos int, label int"))
+    label = F.when(F.col("c_acctbal") < -900, -1).otherwise(F.col("c_nationkey")).cast("int")
+    return community.split_outliers(matrix.read(spark, d, "customer").select(F.col("c_custkey").alias("pos"), label.alias("label")))
 
 
 @query()
