@@ -190,7 +190,8 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root: the smallest node of each node's component, for the nodes of the edges (a, b)."""
-    both = table(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct(), "links")
+    ways = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = table(edges.select(F.explode(ways).alias("way")).select("way.u", "way.v").distinct(), "links")  # edges are found once
     lab = table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("lab")), "labels")
     for _ in range(rounds):
         near = both.join(lab.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("lab").alias("near"))
