@@ -32,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again, so that a lost executor costs no recomputation."""
+def table_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read again, so that a lost executor costs no recomputation, and where it is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/obsmat/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(FREE_SHUFFLES, None)
@@ -42,7 +42,18 @@ def table(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def table(df: DataFrame, label: str) -> DataFrame:
+    return table_at(df, label)[0]
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def let(value: Column, body) -> Column:

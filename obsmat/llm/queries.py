@@ -75,6 +75,27 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return digests(read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    from obsmat.llm.vector_codes import compress
+
+    return compress(read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_conversation_repair(spark, sf_dir):
+    from obsmat.llm.conversation_repair import damaged, repair
+
+    found = repair(damaged(read(spark, sf_dir, "conversations")))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def op13_byte_pairs(spark, sf_dir):
+    import public_tokenizers
+    from obsmat.llm.byte_pairs import decode, digests, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return digests(decode(encode(read(spark, sf_dir, "documents"), path), path))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -134,10 +155,78 @@ x AS (SELECT page_id, host, path, lower, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower > 0.3 THEN 'block' ELSE 'allow' END AS verdict FROM x
 """
 
+_LLOYD_HEAD = """
+WITH RECURSIVE kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, * FROM (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+x AS MATERIALIZED (SELECT r, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] AS c FROM kept, range(4) t(p)),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, c FROM x WHERE r <= 256)"""
+
+
+def _lloyd_round(t: int) -> str:
+    near = f"""near{t} AS MATERIALIZED (SELECT r, p, min(d * 256 + e) % 256 AS e, min(d) AS d FROM
+  (SELECT r, x.p, e, list_sum(list_transform(list_zip(x.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN book{t} b USING (p)) GROUP BY r, p)"""
+    if t == 4:
+        return near
+    return near + f""",
+sum{t} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, e, i, floor(sum(c)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT p, e, unnest(range(len(c))) AS i, unnest(c) AS c FROM x JOIN near{t} USING (r, p)) GROUP BY p, e, i) GROUP BY p, e),
+book{t + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(s.c, b.c) AS c FROM book{t} b LEFT JOIN sum{t} s ON s.p = b.p AND s.e = b.e)"""
+
+
+_OP11_SQL = ",\n".join([_LLOYD_HEAD, *map(_lloyd_round, range(5))]) + """,
+done AS (SELECT r, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near4 GROUP BY r),
+told AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book4)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN done USING (r), told
+"""
+
+#: A state of the repair is its cost, twelve digits, and its audit; so the least text is the least state.
+_BIG = "'900000000000'"
+
+
+def _add(state: str, cost: str, letter: str) -> str:
+    return f"(lpad((left({state}, 12)::BIGINT + {cost})::VARCHAR, 12, '0') || substr({state}, 13) || {letter})"
+
+
+def _turn(state: str, initial: str) -> str:
+    """Keep or rerole, from a state."""
+    fits = f"r.initial = '{initial}'"
+    return f"CASE WHEN r.gone THEN {_BIG} ELSE {_add(state, f'r.extra + CASE WHEN {fits} THEN 0 ELSE 1 END', f"CASE WHEN {fits} THEN 'K' ELSE 'R' END")} END"
+
+
+_DELETE = {k: _add(f"v.s{k}", "2", "'D'") for k in range(4)}
+_OP12_SQL = f"""
+WITH RECURSIVE known AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hashed AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(name, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+  lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 20 AS h FROM known),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(2) t(n) WHERE h != 0 AND (n = 0 OR h = 3)),
+ids AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+rows_ AS (SELECT ids.cid, d.turn, d.role, d.text, row_number() OVER (PARTITION BY ids.cid ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged d JOIN ids ON d.conv_id IS NOT DISTINCT FROM ids.conv_id),
+faults AS (SELECT *, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS told, row_number() OVER (PARTITION BY cid, role, text ORDER BY pos) > 1 AS again FROM rows_),
+r AS MATERIALIZED (SELECT *, told = '' AS blank, told != '' AND again AS duplicate, told != '' AND NOT again AND right(told, 1) NOT IN ('.', '!', '?') AS truncated, (told = '' OR again) AS gone,
+  CASE WHEN told != '' AND NOT again AND right(told, 1) NOT IN ('.', '!', '?') THEN 5 ELSE 0 END AS extra FROM faults),
+layers AS (SELECT cid, 0::BIGINT AS pos, '000000000000' AS s0, {_BIG} AS s1, '000000000005I' AS s2, '000000000010II' AS s3 FROM ids
+  UNION ALL SELECT cid, pos, s0, s1, least(u2, {_add('u3', '5', "'I'")}) AS s2, u3 AS s3 FROM (
+    SELECT *, least(m3, {_add('u2', '5', "'I'")}) AS u3 FROM (
+      SELECT *, least(m2, {_add('s0', '5', "'I'")}, {_add('s1', '5', "'I'")}) AS u2 FROM (
+        SELECT v.cid, r.pos, {_DELETE[0]} AS s0, least({_DELETE[1]}, CASE WHEN NOT r.gone AND r.initial = 's' THEN {_add('v.s0', 'r.extra', "'K'")} ELSE {_BIG} END) AS s1,
+          least({_DELETE[2]}, {_turn('v.s0', 'u')}, {_turn('v.s1', 'u')}, {_turn('v.s3', 'u')}) AS m2, least({_DELETE[3]}, {_turn('v.s2', 'a')}) AS m3
+        FROM layers v JOIN r ON r.cid = v.cid AND r.pos = v.pos + 1)))),
+best AS (SELECT cid, left(s, 12)::BIGINT AS cost, substr(s, 13) AS audit FROM (SELECT cid, least(s0, s3) AS s FROM layers QUALIFY row_number() OVER (PARTITION BY cid ORDER BY pos DESC) = 1)),
+letters AS (SELECT cid, i, audit[i] AS edit, i - len(replace(audit[:i], 'I', '')) AS inserted, len(replace(audit[:i], 'D', '')) AS place FROM best, unnest(range(1, len(audit) + 1)) t(i)),
+lines AS (SELECT l.cid, l.i, l.edit, l.place, r.role, r.text, r.initial FROM letters l LEFT JOIN r ON r.cid = l.cid AND l.edit != 'I' AND r.pos = l.i - l.inserted WHERE l.edit != 'D'),
+led AS (SELECT cid, count(*) FILTER (place = 1 AND edit = 'K' AND initial = 's') AS s FROM lines GROUP BY cid),
+mended AS (SELECT cid, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY i) AS whole FROM lines JOIN led USING (cid) GROUP BY cid),
+counts AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated FROM r GROUP BY cid),
+turns AS (SELECT cid, initial, lag(initial) OVER (PARTITION BY cid ORDER BY pos) AS before, pos FROM r),
+bad AS (SELECT cid, count(*) FILTER (pos > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY cid)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256 FROM ids JOIN best USING (cid) LEFT JOIN counts USING (cid) LEFT JOIN bad USING (cid) LEFT JOIN mended USING (cid)
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_fingerprints, op3_quality_rules, op4_mixing, op5_lm_scoring, op6_chat_formatting, op7_url_filters, op8_simhash_near_dedup, op9_packing, op10_suffix_array_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_fingerprints, op3_quality_rules, op4_mixing, op5_lm_scoring, op6_chat_formatting, op7_url_filters, op8_simhash_near_dedup, op9_packing, op10_suffix_array_dedup, op11_vector_codes, op12_conversation_repair, op13_byte_pairs, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _OP3_SQL, "op7_url_filters": _OP7_SQL}
+    return {"op3_quality_rules": _OP3_SQL, "op7_url_filters": _OP7_SQL, "op11_vector_codes": _OP11_SQL, "op12_conversation_repair": _OP12_SQL}
