@@ -248,12 +248,8 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def similar_texts(texts: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) -> DataFrame:
-    """a, b: nodes of texts (node, text) whose shingle sets have a Jaccard of percent / 100 or more.
-
-    In each bucket of a band all are held against one member, another in each band, so a group of thousands costs BANDS
-    comparisons a text. Each candidate pair is confirmed by its exact sets.
-    """
+def banded_texts(texts: DataFrame, shingle: int = WIDE) -> DataFrame:
+    """node, band: the band keys of each different text of texts (node, text)."""
 
     def banded(batches):
         for b in batches:
@@ -262,30 +258,96 @@ def similar_texts(texts: DataFrame, percent: int = SIMILAR, shingle: int = WIDE)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, BANDS)), pa.array(flat.view(np.int64))], ["node", "band"])
 
-    def sets(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
+    return texts.select("node", "text").mapInArrow(banded, "node long, band long").distinct()
+
+
+def links_to_heads(sets: DataFrame, pairs: DataFrame, percent: int = SIMILAR) -> DataFrame:
+    """a, b: the pairs (a, b) whose sets (node, set) have a Jaccard of percent / 100 or more."""
 
     def confirmed(batches):
         for b in batches:
             x, y = ([np.frombuffer(v, np.uint64) for v in b.column(i).to_pylist()] for i in (2, 3))
             yield b.select(["a", "b"]).filter(pa.array([alike(p, q, percent) for p, q in zip(x, y, strict=True)], pa.bool_()))
 
-    bands = table(texts.select("node", "text").mapInArrow(banded, "node long, band long").distinct(), "near-bands")
-    heads = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "node").alias("o"), F.col("node").alias("a"))).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", F.col("head")["a"].alias("a"))
-    pairs = table(bands.join(heads, "band").where("a != node").select("a", F.col("node").alias("b")).distinct(), "near-pairs")
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    once = texts.groupBy("node").agg(F.first("text").alias("text"))
-    known = table(once.join(named, "node", "left_semi").select("node", "text").mapInArrow(sets, "node long, set binary"), "near-sets")
-    with_sets = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     return with_sets.select("a", "b", "x", "y").mapInArrow(confirmed, "a long, b long")
 
 
+def matches(queries: list[np.ndarray], points: list[np.ndarray], percent: int):
+    """(query, indices of the points that are alike) for each query; sets without repetitions. The points that hold a shingle are
+    listed once, so a query costs what it has in common with the points."""
+    size = np.array([len(p) for p in points], np.int64)
+    every = np.concatenate(points) if points else np.zeros(0, np.uint64)
+    order = np.argsort(every, kind="stable")
+    holder = np.repeat(np.arange(len(points)), size)[order]
+    every = every[order]
+    for i, q in enumerate(queries):
+        low, high = np.searchsorted(every, q, "left"), np.searchsorted(every, q, "right")
+        n = high - low
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(n) else 0) + np.repeat(low - (ends - n), n)
+        both = np.bincount(holder[at], minlength=len(points))
+        yield i, np.flatnonzero((100 * both >= percent * (size + len(q) - both)) & (both > 0))
+
+
+def links_of_labels(bands: DataFrame, sets: DataFrame, roots: DataFrame, percent: int = SIMILAR, block: int = 1024) -> DataFrame:
+    """a, b: links between roots (node, root) of which a member of each shares a band and is alike.
+
+    In a bucket all members but those of its most frequent root are held against all members, in blocks: so every pair of a
+    bucket that isn't yet in one group is compared, and a bucket that is one group costs nothing. A block returns a spanning forest of what it finds.
+    """
+    at = table(bands.join(roots, "node"), "near-labels")
+    each = at.groupBy("band", "root").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "root"))
+    mixed = each.groupBy("band").agg(F.sum("n").alias("n"), F.count("*").alias("k"), most.alias("m")).where("k > 1")
+    cut = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    mixed = mixed.select("band", F.col("m.root").alias("main"), cut(F.col("n") - F.col("m.n")).alias("qs"), cut(F.col("n")).alias("ps"))
+    open_ = table(at.join(mixed, "band"), "near-mixed")
+    mine = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = table(sets.join(open_.select("node").distinct(), "node", "left_semi"), "near-mixed-sets")
+    queries = open_.where("root != main").select("band", "node", "root", mine(F.col("qs")).alias("q"), all_(F.col("ps")).alias("p")).join(held, "node")
+    points = open_.select(F.col("band").alias("in_band"), "node", F.col("root").alias("of"), mine(F.col("ps")).alias("in_p"), all_(F.col("qs")).alias("in_q")).join(held, "node").select("in_band", "in_q", "in_p", "of", F.col("set").alias("held"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y = ([np.frombuffer(v, np.uint64) for v in t.column(c).to_pylist()] for t, c in ((left, "set"), (right, "held")))
+        of_x, of_y = (t.column(c).to_numpy().view(np.uint64) for t, c in ((left, "root"), (right, "of")))
+        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for i, found in matches(x, y, percent):
+            to = np.unique(of_y[found])
+            to = to[to != of_x[i]]
+            a.append(np.full(len(to), of_x[i]))
+            b.append(to)
+        root, node = stars(np.concatenate(a), np.concatenate(b))
+        return pa.table({"a": root.view(np.int64), "b": node.view(np.int64)})
+
+    return queries.groupBy("band", "q", "p").cogroup(points.groupBy("in_band", "in_q", "in_p")).applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) -> DataFrame:
-    """node, root for each different text of docs: its hash and that of its group, linked by similar_texts. Null counts as ''."""
+    """node, root for each different text of docs: its hash and that of its group. Null counts as ''.
+
+    Texts that share a band key are candidates. All members of a bucket are first held against one of them, another in each
+    band, which joins most of a group of near copies at one comparison a member and band. Then whatever of a bucket isn't one
+    group yet is compared with all of it. So no pair of a bucket is left out; each link is confirmed by the exact sets.
+    """
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("node"), "text")
-    roots = table(components(similar_texts(texts, percent, shingle)), "near-roots")
-    return texts.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+    def as_sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "set"])
+
+    bands = table(banded_texts(texts, shingle), "near-bands")
+    heads = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "node").alias("o"), F.col("node").alias("a"))).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", F.col("head")["a"].alias("a"))
+    pairs = table(bands.join(heads, "band").where("a != node").select("a", F.col("node").alias("b")).distinct(), "near-pairs")
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    once = texts.groupBy("node").agg(F.first("text").alias("text"))
+    sets = table(once.join(named, "node", "left_semi").select("node", "text").mapInArrow(as_sets, "node long, set binary"), "near-sets")
+    found = components(links_to_heads(sets, pairs, percent))
+    roots = table(named.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "near-roots")
+    merged = components(links_of_labels(bands.join(named, "node", "left_semi"), sets, roots, percent))
+    last = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return texts.select("node").distinct().join(last, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def first_of_each(docs: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) -> DataFrame:

@@ -123,3 +123,57 @@ def test_many_points_that_agree_in_a_part_are_dealt_to_several_shards():
     root, node = sh.stars(*(np.concatenate(x) for x in zip(*links, strict=True)))
     lab = groups(points)
     assert dict(zip(node, root, strict=True)) == {points[i]: points[lab[i]] for i in range(len(points)) if lab[i] != i}
+
+
+def family(n, seed, words=90):
+    """n different texts of one text with one word replaced in each, at places that repeat."""
+    base = prose(words, seed).split()
+    return [" ".join([*base[: 4 + (7 * i + seed) % (words - 8)], f"w{seed}x{i}", *base[5 + (7 * i + seed) % (words - 8) :]]) for i in range(n)]
+
+
+def jaccard_groups(texts):
+    sets = [sh.shingle_set(t) for t in texts]
+    lab = np.arange(len(texts))
+
+    def root(i):
+        while lab[i] != i:
+            i = lab[i]
+        return i
+
+    for i, found in sh.matches(sets, sets, 80):
+        for j in found.tolist():
+            x, y = root(i), root(j)
+            lab[max(x, y)] = min(x, y)
+    return np.array([root(i) for i in range(len(texts))])
+
+
+def test_matches_are_all_pairs():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 14, rng.integers(1, 16))).astype(np.uint64) for _ in range(200)] + [np.zeros(0, np.uint64)]
+    got = {(i, j) for i, found in sh.matches(sets, sets, 80) for j in found.tolist()}
+    assert got == {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if len(a) and len(b) and sh.alike(a, b, 80)}
+    assert [len(f) for _, f in sh.matches(sets[:2], [], 80)] == [0, 0]
+
+
+def test_large_families_lose_no_link(spark):
+    """Hundreds of near copies, most of them too far from any one of them: groups are those of all pairs."""
+    texts = family(600, 0) + family(250, 1, 60) + [prose(60, 3000 + i) for i in range(50)]
+    lab = jaccard_groups(texts)
+    assert len(set(lab[:600].tolist())) == 1 and 40 < (np.bincount(lab)[lab] == 1).sum()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in sh.first_of_each(df).collect()}
+    assert kept == {int(x) for x in lab}
+
+
+def test_buckets_are_compared_in_blocks(spark):
+    texts = family(300, 5)
+    sets = [sh.shingle_set(t) for t in texts]
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "node long, set binary")
+    ids = nodes.select("node")
+    bands = ids.selectExpr("node", "7L as band").union(ids.where("node < 5").selectExpr("node", "8L as band"))
+    roots = ids.selectExpr("node", "case when node % 3 = 0 then 0L else node end as root")
+    edges = sh.links_of_labels(bands, nodes, roots, block=64)
+    merged = {r.node: r.root for r in sh.components(edges).collect()}
+    label = [0 if i % 3 == 0 else i for i in range(300)]
+    got = [merged.get(x, x) for x in label]
+    assert len(set(jaccard_groups(texts).tolist())) == 1 and set(got) == {0}
