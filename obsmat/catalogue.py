@@ -275,6 +275,14 @@ def de_pairs_ebayes(spark, d):
     return _de(spark, d, "ebayes")
 
 
+@query()
+def de_pairs_in_blocks(spark, d):
+    """All pairs of the brands' customers by nation: 25 clusters in blocks of eight."""
+    nations = matrix.read(spark, d, "customer").select(F.col("c_custkey").alias("obs_id"), F.col("c_nationkey").cast("int").alias("cluster"))
+    x = de.de_pairs_in_blocks(kept(moments.cluster_stats(m1(spark, d), nations)), T, "ebayes", block=8)
+    return x.select("a", "b", "score", "num", F.array_join("up_genes", ",").alias("up_genes"), F.array_join("down_genes", ",").alias("down_genes"))
+
+
 @query()
 def marker_genes(spark, d):
     return clustering.markers(m1(spark, d), matrix.customer_segments(spark, d), T, 5)
@@ -460,6 +468,13 @@ def knn_dot(spark, d):
     return _neighbours(spark, d, "dot")
 
 
+@query()
+def knn_approximate(spark, d):
+    """A forest of random-projection trees with leaves of 256 rows, so that a small table has many leaves."""
+    n = knn.approximate_knn(m2(spark, d).select("obs_id", "features"), K, shard_rows=256)
+    return n.select("src", "dst", F.col("rank").cast("int").alias("rank"), rounded(F.col("distance")).alias("distance"))
+
+
 _JACCARD = _EUCLID + f", sets AS (SELECT src, list(dst) AS s FROM nn GROUP BY src), edges AS (SELECT n.src, n.dst, len(list_intersect(a.s, b.s)) / (2e0 * {K} - len(list_intersect(a.s, b.s))) AS w FROM nn n JOIN sets a ON a.src = n.src JOIN sets b ON b.src = n.dst)"
 
 
@@ -509,6 +524,16 @@ def leiden_communities(spark, d):
     return community.communities(_edges(spark, d), "leiden", seed=5)
 
 
+@query()
+def leiden_communities_on_the_cluster(spark, d):
+    return community.communities(_edges(spark, d), "leiden", local_edges=2000, seed=5)
+
+
+@query()
+def phenograph_clusters(spark, d):
+    return community.phenograph(m2(spark, d), K, seed=5)[0]
+
+
 # --- merging and the pipeline
 
 ONE = clustering.OneStep(k=15, low=-1e9, thresholds=T.with_(low=0.5), n_markers=10, seed=5)

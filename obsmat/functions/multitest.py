@@ -31,6 +31,15 @@ def holm_array(p: np.ndarray) -> np.ndarray:
     return out
 
 
+def holm_rows(p: np.ndarray) -> np.ndarray:
+    """Holm within each row of p."""
+    order = np.argsort(p, axis=1, kind="stable")
+    step = np.minimum(1, np.maximum.accumulate(np.take_along_axis(p, order, 1) * np.arange(p.shape[1], 0, -1), axis=1))
+    out = np.empty_like(step)
+    np.put_along_axis(out, order, step, 1)
+    return out
+
+
 def bh_array(p: np.ndarray) -> np.ndarray:
     order = np.argsort(p, kind="stable")
     out = np.empty(len(p))

@@ -1,41 +1,45 @@
 """Communities of weighted graphs by modularity: moves and contraction on the cluster until the graph has a bounded number of
-edges, then level by level on the driver."""
+edges, then level by level in one task."""
 
 from __future__ import annotations
 
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from obsmat.operators import knn as nn
-from obsmat.sources.scratch import kept
+from obsmat.sources.scratch import kept, numbered
 
 
 def _level(adj: list[dict[int, float]], loops: np.ndarray, resolution: float, rng: np.random.Generator) -> list[int]:
     """One round of local moves; returns the community of each node."""
     n = len(adj)
-    degree = np.array([sum(a.values()) for a in adj]) + 2 * loops
-    m2 = degree.sum()
-    comm, total = list(range(n)), degree.copy()
+    degree = [sum(a.values()) + 2 * loop for a, loop in zip(adj, loops.tolist(), strict=True)]
+    m2 = sum(degree)
+    comm, total = list(range(n)), list(degree)
     if m2 == 0:
         return comm
+    near, share = [list(a.items()) for a in adj], resolution / m2
     moved = True
     while moved:
         moved = False
-        for i in rng.permutation(n):
-            to: dict[int, float] = defaultdict(float)
-            for j, w in adj[i].items():
-                to[comm[j]] += w
-            own = comm[i]
-            total[own] -= degree[i]
-            best, gain = own, to.get(own, 0.0) - resolution * degree[i] * total[own] / m2
-            for c, w in sorted(to.items()):
-                g = w - resolution * degree[i] * total[c] / m2
-                if g > gain + 1e-12:
+        for i in rng.permutation(n).tolist():
+            own, d = comm[i], degree[i]
+            to = {own: 0.0}
+            for j, w in near[i]:
+                c = comm[j]
+                to[c] = to.get(c, 0.0) + w
+            total[own] -= d
+            best, gain, pull = own, to[own] - share * d * total[own], share * d
+            for c, w in to.items():
+                g = w - pull * total[c]
+                if g > gain + 1e-12 or (c < best != own and g > gain - 1e-12):
                     best, gain = c, g
-            total[best] += degree[i]
+            total[best] += d
             if best != own:
                 comm[i], moved = best, True
     return comm
@@ -93,70 +97,138 @@ def local_communities(edges: list[tuple], nodes: list, resolution: float = 1.0,
     return {v: first[where[i]] for v, i in at.items()}
 
 
-def spread_labels(graph: DataFrame, rounds: int = 12, resolution: float = 1.0) -> DataFrame:
-    """node, community by parallel modularity moves on the cluster: half of the nodes, by hash, may move in each round.
+def spread_labels(graph: DataFrame, resolution: float = 1.0, *, rounds: int = 40, least_gain: float = 1e-4) -> DataFrame:
+    """node, community by parallel moves on the cluster: in each round half of the nodes, another half each time, may go to the
+    neighbouring community that raises modularity most.
 
-    Every round is a join of edges with labels and sums by (node, label), checkpointed; nothing is collected.
+    Each round is joins of edges with labels and sums by (node, community), checkpointed. It stops where nothing moves any more
+    or where two rounds have raised modularity by less than least_gain, and gives the labels of the best round.
     """
-    arcs = graph.where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(graph.where("a != b").select(F.col("b").alias("u"), F.col("a").alias("v"), "w"))
-    ends = graph.select(F.col("a").alias("node"), "w").unionByName(graph.select(F.col("b").alias("node"), "w"))
-    degree = ends.groupBy("node").agg(F.sum("w").alias("degree")).transform(kept)
+    ends = [graph.where("a != b").select(F.col(u).alias("u"), F.col(v).alias("v"), "w") for u, v in (("a", "b"), ("b", "a"))]
+    arcs = ends[0].unionByName(ends[1]).transform(kept)
+    sides = graph.select(F.col("a").alias("node"), "w").unionByName(graph.select(F.col("b").alias("node"), "w"))
+    degree = sides.groupBy("node").agg(F.sum("w").alias("degree")).transform(kept)
     two_m = degree.agg(F.sum("degree")).first()[0] or 1.0
-    lab = degree.select("node", F.col("node").alias("community"))
+    loops = 2 * (graph.where("a = b").agg(F.sum("w")).first()[0] or 0.0)
+    lab = degree.select("node", "degree", F.col("node").alias("community"))
+    best, best_q, idle = lab, -1.0, 0
     for r in range(rounds):
-        totals = lab.join(degree, "node").groupBy("community").agg(F.sum("degree").alias("total"))
+        totals = lab.groupBy("community").agg(F.sum("degree").alias("total"))
         to = arcs.join(lab.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("w"))
         to = to.unionByName(lab.select("node", "community", F.lit(0e0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
-        seen = to.join(totals, "community").join(degree, "node").join(lab.withColumnRenamed("community", "own"), "node")
-        rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0e0)
-        gain = F.col("w") - resolution * F.col("degree") * rest / two_m
-        best = seen.groupBy("node").agg(F.max(F.struct(gain.alias("g"), (F.col("community") == F.col("own")).alias("stay"), F.col("community").alias("c"))).alias("b"), F.first("own").alias("own"))
-        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        lab = best.select("node", F.when(turn, F.col("b.c")).otherwise(F.col("own")).alias("community")).transform(kept)
-    return lab
+        seen = to.join(totals, "community").join(lab.withColumnRenamed("community", "own"), "node")
+        stay = F.col("community") == F.col("own")
+        gain = F.col("w") - resolution * F.col("degree") * (F.col("total") - F.when(stay, F.col("degree")).otherwise(0e0)) / two_m
+        each = seen.groupBy("node", "degree", "own").agg(F.max(F.struct(gain.alias("g"), stay.alias("stay"), F.col("community").alias("c"))).alias("b"), F.sum(F.when(stay, F.col("w")).otherwise(0e0)).alias("inside"))
+        turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
+        step = each.select("node", "degree", "own", "inside", F.when(turn, F.col("b.c")).otherwise(F.col("own")).alias("community"), (F.col("b.c") != F.col("own")).alias("could")).transform(kept)
+        sums = step.groupBy("own").agg(F.sum("inside").alias("i"), F.sum("degree").alias("t"), F.max("could").alias("could"))
+        told = sums.agg(F.sum("i").alias("i"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.max("could").alias("could")).first()
+        q = ((told.i or 0.0) + loops) / two_m - resolution * (told.tt or 0.0) / (two_m * two_m)  # of the labels that this round started with
+        idle = idle + 1 if q < best_q + least_gain else 0
+        if q > best_q:
+            best, best_q = step.select("node", F.col("own").alias("community")), q
+        if not told.could or idle >= 2:
+            break
+        lab = step.select("node", "degree", "community")
+    return best.select("node", "community")
 
 
-def communities(edges: DataFrame, method: str = "louvain", *, resolution: float = 1.0, seed: int | None = None, local_edges: int = 1_000_000) -> DataFrame:
-    """node, community of directed weighted edges (src, dst, w).
+def connected_parts(graph: DataFrame, lab: DataFrame, rounds: int = 100) -> DataFrame:
+    """node, community with communities split into their connected parts, each named by its smallest node: passes of the smallest name
+    over the edges inside communities, with jumps to the name's own name, until none changes."""
+    a, b = (lab.select(F.col("node").alias(s), F.col("community").alias(f"c{s}")) for s in ("a", "b"))
+    inside = graph.where("a != b").join(a, "a").join(b, "b").where("ca = cb")
+    arcs = inside.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(inside.select(F.col("b").alias("u"), F.col("a").alias("v"))).transform(kept)
+    part = lab.select("node", F.col("node").alias("part"))
+    for _ in range(rounds):
+        near = arcs.join(part.select(F.col("node").alias("v"), "part"), "v").groupBy(F.col("u").alias("node")).agg(F.min("part").alias("near"))
+        step = part.join(near, "node", "left").select("node", F.col("part").alias("old"), F.least("part", F.coalesce("near", "part")).alias("part")).transform(kept)
+        jump = step.select(F.col("node").alias("part"), F.col("part").alias("far"))
+        new = step.join(jump, "part").select("node", F.col("far").alias("part"), (F.col("far") != F.col("old")).alias("moved")).transform(kept)
+        part = new.select("node", "part")
+        if not new.agg(F.max("moved")).first()[0]:
+            return part.withColumnRenamed("part", "community")
+    raise RuntimeError("connected parts did not settle")
+
+
+def _in_one_task(graph: DataFrame, kind: str, resolution: float, seed: int | None, refine: bool) -> DataFrame:
+    """node, community of a graph whose size has been checked, worked in a task."""
+
+    def work(t: pa.Table) -> pa.Table:
+        pairs = sorted(zip(*(t.column(c).to_pylist() for c in ("a", "b", "w")), strict=True))
+        nodes = sorted({x for a, b, _ in pairs for x in (a, b)})
+        found = local_communities(pairs, nodes, resolution, seed, refine)
+        return pa.table({"node": pa.array(list(found), t.schema.field("a").type), "community": pa.array(list(found.values()), pa.int32())})
 
-    louvain: an edge and its reverse are one; leiden: they add up, communities are connected and the resolution is 1. While a
-    graph has more than local_edges edges, its nodes move in parallel on the cluster and communities become the nodes of a
-    smaller graph; that is worked on the driver. A graph that no longer shrinks raises an error. Isolated nodes are not in
-    the edges and have no community; an empty graph gives an empty table. Communities found on the cluster may be
-    unconnected inside, with leiden too.
+    return graph.select("a", "b", "w", F.lit(0).alias("_all")).groupBy("_all").applyInArrow(work, f"node {kind}, community int")
+
+
+def communities(edges: DataFrame, method: str = "louvain", *, resolution: float = 1.0, seed: int | None = None, local_edges: int = 1_000_000) -> DataFrame:
+    """node, community (int) of directed weighted edges (src, dst, w).
+
+    louvain: an edge and its reverse are one; leiden: they add up, the resolution is 1, and every community is connected, at
+    any size of the graph. While a graph has more than local_edges edges its nodes move in parallel on the cluster until
+    modularity no longer rises; with leiden, communities are then split into their connected parts, which are united later if that is
+    worth it. Communities become the nodes of a smaller graph, and so on until nothing is united any more or the graph is small enough for one task.
+    Nodes and edges never pass through the driver. Isolated nodes are not in the edges and have no community; edges with null ends
+    or weights are ignored, repeated ones count as `undirected` says; an empty graph gives an empty table.
     """
     if method not in ("louvain", "leiden"):
         raise ValueError(f"unknown method {method}")
-    graph = nn.undirected(edges, "collapse" if method == "louvain" else "sum")
+    graph = nn.undirected(edges.where("src is not null and dst is not null and w is not null"), "collapse" if method == "louvain" else "sum").transform(kept)
     resolution = resolution if method == "louvain" else 1.0
-    kind = dict(edges.dtypes)["src"]
-    whole, size = None, graph.count()
+    kind, whole, size = dict(edges.dtypes)["src"], None, graph.count()
+    into = lambda w, lab: lab if w is None else w.join(lab.select(F.col("node").alias("community"), F.col("community").alias("_to")), "community").select("node", F.col("_to").alias("community"))
     while size > local_edges:
-        lab = spread_labels(graph, resolution=resolution)
-        whole = lab if whole is None else whole.join(lab.select(F.col("node").alias("community"), F.col("community").alias("_to")), "community").select("node", F.col("_to").alias("community")).transform(kept)
-        a, b = lab.select(F.col("node").alias("a"), F.col("community").alias("ca")), lab.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-        small = graph.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")).transform(kept)
-        graph, before, size = small, size, small.count()
-        if size == before:
-            raise ValueError(f"{size} edges between communities don't become fewer; allow more local_edges")
-    pairs = sorted((r.a, r.b, r.w) for r in graph.collect())
-    nodes = sorted({x for a, b, _ in pairs for x in (a, b)})
-    found = local_communities(pairs, nodes, resolution, seed, refine=method == "leiden")
-    top = edges.sparkSession.createDataFrame([(v, c) for v, c in found.items()], f"node {kind}, community int")
-    return top if whole is None else whole.join(top.select(F.col("node").alias("community"), F.col("community").alias("_to")), "community").select("node", F.col("_to").alias("community"))
+        lab = spread_labels(graph, resolution)
+        if method == "leiden":
+            lab = connected_parts(graph, lab)
+        if lab.where("node != community").limit(1).count() == 0:
+            names = numbered(lab.select("community").distinct(), "community").select(F.col("community").alias("node"), F.col("_n").cast("int").alias("community"))
+            return into(lab if whole is None else whole, names)
+        whole = into(whole, lab).transform(kept)
+        a, b = (lab.select(F.col("node").alias(s), F.col("community").alias(f"c{s}")) for s in ("a", "b"))
+        graph = graph.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")).transform(kept)
+        size = graph.count()
+    return into(whole, _in_one_task(graph, kind, resolution, seed, method == "leiden").transform(kept))
 
 
 def split_outliers(labels: DataFrame, order: str = "pos", label: str = "label") -> DataFrame:
-    """Each label -1 becomes a label of its own: largest + 1, + 2, ... in order. Outliers are few."""
-    from pyspark.sql.window import Window
+    """Each label -1 becomes a label of its own: largest + 1, + 2, ... in order. Null labels stay as they are."""
+    top = labels.agg(F.max(label)).first()[0]
+    new = numbered(labels.where(F.col(label) == -1), order)
+    new = new.withColumn(label, (F.lit(top or 0) + 1 + F.col("_n")).cast(labels.schema[label].dataType)).drop("_n")
+    return labels.where(F.col(label).isNull() | (F.col(label) != -1)).unionByName(new)
 
-    top = labels.agg(F.max(label).alias("_top"))
-    new = labels.where(F.col(label) == -1).withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)))
-    new = new.crossJoin(F.broadcast(top)).withColumn(label, (F.col("_top") + F.col("_n")).cast(labels.schema[label].dataType)).drop("_top", "_n")
-    return labels.where(F.col(label) != -1).unionByName(new)
 
+def phenograph(vectors: DataFrame, k: int = 15, *, metric: str = "euclidean", prune: bool = False, min_size: int = 10, resolution: float = 1.0, seed: int | None = None, neighbours: str = "approximate", local_edges: int = 1_000_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(obs_id, cluster; the graph a, b, w; its modularity q) of the rows of vectors, in the manner of phenograph.
 
-def cluster_graph(vectors: DataFrame, k: int = 15, *, metric: str = "euclidean", weighting: str = "jaccard", method: str = "louvain", resolution: float = 1.0, seed: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(obs_id, cluster) and the weighted edges of the rows of vectors."""
-    edges = nn.weighted(nn.knn(vectors, k, metric), weighting).transform(kept)
+    Edges lead to the k nearest other rows, weighted by the Jaccard similarity of the two neighbour sets. An edge and its
+    reverse are averaged, one of them missing counting 0; prune keeps only mutual ones, as the product. Communities of that graph are numbered by size,
+    the largest 0, ties by smallest obs_id. Rows of communities of at most min_size rows, and rows without an edge, are outliers:
+    each gets a cluster of its own, numbered on in the order of obs_id. Repeated obs_ids are an error of the caller; an empty table gives empty ones.
+    """
+    if neighbours not in nn.NEIGHBOURS:
+        raise ValueError(f"unknown neighbours {neighbours}")
+    near = nn.NEIGHBOURS[neighbours](vectors, k + 1, metric).where("src != dst")
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= k).transform(kept)  # k + 1 rows a node
+    ways = nn.jaccard_edges(near, k).where("w > 0")
+    both = ways.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("w").alias("s"), F.product("w").alias("p"), F.count("*").alias("n"))
+    graph = (both.where("n = 2").select("a", "b", F.col("p").alias("w")) if prune else both.select("a", "b", (F.col("s") / 2).alias("w"))).transform(kept)
+    found = communities(graph.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), "louvain", resolution=resolution, seed=seed, local_edges=local_edges).transform(kept)
+    sizes = found.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    order = numbered(sizes.where(F.col("n") > min_size), F.desc("n"), "first").select("community", F.col("_n").cast("int").alias("label"))
+    labels = vectors.select("obs_id").join(found, F.col("obs_id") == F.col("node"), "left").join(order, "community", "left").select("obs_id", F.coalesce("label", F.lit(-1)).alias("label"))
+    whole = split_outliers(labels.transform(kept), "obs_id").select("obs_id", F.col("label").alias("cluster"))
+    return whole, graph, nn.modularity(graph, found, resolution)
+
+
+def cluster_graph(vectors: DataFrame, k: int = 15, *, metric: str = "euclidean", weighting: str = "jaccard", method: str = "louvain", resolution: float = 1.0, seed: int | None = None, neighbours: str = "approximate") -> tuple[DataFrame, DataFrame]:
+    """(obs_id, cluster) and the weighted edges of the rows of vectors; neighbours: approximate or exact."""
+    if neighbours not in nn.NEIGHBOURS:
+        raise ValueError(f"unknown neighbours {neighbours}")
+    edges = nn.weighted(nn.NEIGHBOURS[neighbours](vectors, k, metric), weighting).transform(kept)
     return communities(edges, method, resolution=resolution, seed=seed).select(F.col("node").alias("obs_id"), F.col("community").alias("cluster")), edges

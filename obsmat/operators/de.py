@@ -7,10 +7,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from obsmat.functions.multitest import holm, holm_array
+from obsmat.functions.multitest import holm, holm_rows
 from obsmat.functions.special import chi2_p_value, chi2_tail, digamma, t_p_value, t_two_sided, trigamma, trigamma_inverse
 
 
@@ -176,41 +177,127 @@ class Stats:
         for name in ("n", "mean", "present", "var"):
             setattr(self, name, np.delete(getattr(self, name), i, axis=0))
 
+    def prior(self) -> tuple[np.ndarray, float]:
+        """(moderated variance of each gene, residual degrees of freedom)."""
+        df = float(self.n.sum() - len(self.labels))
+        return moderated((self.n[:, None] * self.var).sum(0) / df, df)[0], df
+
     def de(self, pairs: list[tuple], t: DEThresholds, method: str = "ebayes") -> list[dict]:
         """As de_pairs, for the loop."""
-        if method == "ebayes":
-            df = float(self.n.sum() - len(self.labels))
-            post, _, _ = moderated((self.n[:, None] * self.var).sum(0) / df, df)
-        elif method != "chisq":
-            raise ValueError(f"unknown method {method}")
-        out = []
-        for a, b in pairs:
-            i, j = self.index(a), self.index(b)
-            n1, n2, q1, q2, lfc = self.n[i], self.n[j], self.present[i], self.present[j], self.mean[i] - self.mean[j]
-            if method == "ebayes":
-                p = t_two_sided(lfc / np.sqrt(post) / math.sqrt(1 / n1 + 1 / n2), df)
-            else:
-                yes, total = q1 * n1 + q2 * n2, n1 + n2
-                bad = (yes <= 0) | (yes >= total)
-                safe = np.where(bad, total / 2, yes)
-                gap = np.abs(q1 * n1 - n1 * safe / total)
-                p = np.where(bad, 1.0, chi2_tail((gap - np.minimum(0.5, gap)) ** 2 * total**3 / (n1 * n2 * safe * (total - safe))))
-            adj, top = holm_array(p), np.maximum(q1, q2)
-            qd = np.where(top == 0, 0, np.abs(q1 - q2) / np.where(top == 0, 1, top))
-            both = {}
-            for side, sign, qa, qb, size in (("up", 1, q1, q2, n1), ("down", -1, q2, q1, n2)):
-                keep = sign * lfc > 0
-                for on, ok in ((t.padj, lambda v: adj < v), (t.lfc, lambda v: np.abs(lfc) > v), (t.q1, lambda v: qa > v), (t.cluster_size, lambda v: qa * size >= v), (t.q2, lambda v: qb < v), (t.qdiff, lambda v: qd > v)):  # noqa: B023
-                    if on:
-                        keep = keep & ok(on)
-                both[side] = np.flatnonzero(keep)
-            with np.errstate(divide="ignore"):
-                score = {s: float(-np.log10(adj[k]).sum()) + 0.0 for s, k in both.items()}
-            out.append({"a": a, "b": b, "score": score["up"] + score["down"], "up_score": score["up"], "down_score": score["down"], "num": len(both["up"]) + len(both["down"]), "up_num": len(both["up"]), "down_num": len(both["down"]), "up_genes": [self.genes[k] for k in both["up"]], "down_genes": [self.genes[k] for k in both["down"]]})
+        at = {c: k for k, c in enumerate(self.labels)}
+        prior, out = self.prior() if method == "ebayes" else None, []
+        for s in range(0, len(pairs), step := max(1, (1 << 20) // max(1, len(self.genes)))):
+            some = pairs[s : s + step]
+            i, j = (np.array([at[p[k]] for p in some], np.int64) for k in (0, 1))
+            up, down, score = compared(self.side(i), self.side(j), t, method, prior)
+            for r, (a, b) in enumerate(some):
+                u, d = np.flatnonzero(up[r]), np.flatnonzero(down[r])
+                us, ds = float(score[r, u].sum()) + 0.0, float(score[r, d].sum()) + 0.0
+                out.append({"a": a, "b": b, "score": us + ds, "up_score": us, "down_score": ds, "num": len(u) + len(d), "up_num": len(u), "down_num": len(d), "up_genes": [self.genes[k] for k in u], "down_genes": [self.genes[k] for k in d]})
         return out
 
-
-def marker_genes(de: DataFrame, n_markers: int = 20, order: str = "gene") -> DataFrame:
+    def side(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n, mean, present) of the clusters at these places."""
+        return self.n[at], self.mean[at], self.present[at]
+
+    def first_genes(self, t: DEThresholds, method: str, most: int) -> set:
+        """The first `most` up and down genes of all pairs of clusters."""
+        prior, seen = self.prior() if method == "ebayes" else None, np.zeros(len(self.genes), bool)
+        i, j = np.triu_indices(len(self.labels), 1)
+        for s in range(0, len(i), step := max(1, (1 << 20) // max(1, len(self.genes)))):
+            for mask in compared(self.side(i[s : s + step]), self.side(j[s : s + step]), t, method, prior)[:2]:
+                seen |= (mask & (mask.cumsum(1) <= most)).any(0)
+        return {g for g, on in zip(self.genes, seen.tolist(), strict=True) if on}
+
+
+def compared(a, b, t: DEThresholds, method: str = "ebayes", prior: tuple[np.ndarray, float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(up genes, down genes, -log10 of the adjusted p) of pairs of clusters, a row a pair and a column a gene. a, b: (n, mean,
+    present) of both sides; prior: moderated variances and degrees of freedom, for ebayes."""
+    (n1, mean1, q1), (n2, mean2, q2) = a, b
+    n1, n2, lfc = n1[:, None], n2[:, None], mean1 - mean2
+    if method == "ebayes":
+        post, df = prior
+        p = t_two_sided(lfc / np.sqrt(post) / np.sqrt(1 / n1 + 1 / n2), df)
+    elif method == "chisq":
+        yes, total = q1 * n1 + q2 * n2, n1 + n2
+        bad = (yes <= 0) | (yes >= total)
+        safe = np.where(bad, total / 2, yes)
+        gap = np.abs(q1 * n1 - n1 * safe / total)
+        p = np.where(bad, 1.0, chi2_tail((gap - np.minimum(0.5, gap)) ** 2 * total**3 / (n1 * n2 * safe * (total - safe))))
+    else:
+        raise ValueError(f"unknown method {method}")
+    adj, top = holm_rows(p), np.maximum(q1, q2)
+    qd = np.where(top == 0, 0, np.abs(q1 - q2) / np.where(top == 0, 1, top))
+    kept = []
+    for sign, qa, qb, size in ((1, q1, q2, n1), (-1, q2, q1, n2)):
+        keep = sign * lfc > 0
+        for on, ok in ((t.padj, lambda v: adj < v), (t.lfc, lambda v: np.abs(lfc) > v), (t.q1, lambda v: qa > v), (t.cluster_size, lambda v: qa * size >= v), (t.q2, lambda v: qb < v), (t.qdiff, lambda v: qd > v)):  # noqa: B023
+            if on:
+                keep = keep & ok(on)
+        kept.append(keep)
+    with np.errstate(divide="ignore"):
+        return kept[0], kept[1], -np.log10(adj)
+
+
+def de_pairs_in_blocks(stats: DataFrame, thresholds: DEThresholds, method: str = "ebayes", *, block: int = 32, genes_most: int = 200_000) -> DataFrame:
+    """As de_pairs, for all pairs of clusters: blocks of clusters meet in pairs, a cluster being one row with its genes in order.
+    So clusters are sent (clusters / block) times, pairs are never listed before they are compared, and Holm's correction
+    is done in the task that has the pair. Only the gene table is broadcast; its size is checked. Statistics must be complete
+    (clusters x genes), as cluster_stats gives them; an empty table gives an empty one."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}")
+    kind, gene_kind = (stats.schema[c].dataType.simpleString() for c in ("cluster", "gene"))
+    fit = linear_fit(stats).orderBy("gene").limit(genes_most + 1).toPandas()
+    if len(fit) > genes_most:
+        raise ValueError(f"more than {genes_most} genes")
+    prior = None
+    if method == "ebayes" and len(fit):
+        df = float(fit.df.max())
+        prior = moderated(fit.sigma2.to_numpy(float), df)[0], df
+    names = fit.gene.tolist()
+    shared = stats.sparkSession.sparkContext.broadcast((names, prior))
+    one = F.sort_array(F.collect_list(F.struct("gene", "mean", "present")))  # a row for each gene of one cluster
+    wide = stats.groupBy("cluster").agg(F.max("n").cast("double").alias("n"), one.alias("s")).select("cluster", "n", F.col("s.mean").alias("mean"), F.col("s.present").alias("present"))
+    blocks = F.lit(max(1, math.ceil(stats.select("cluster").distinct().count() / block)))
+    wide = wide.withColumn("block", F.pmod(F.xxhash64("cluster"), blocks).cast("int"))
+    ups = F.explode(F.sequence(F.col("block"), blocks - 1))
+    downs = F.explode(F.sequence(F.lit(0), F.col("block")))
+    left = wide.select("cluster", "n", "mean", "present", F.col("block").alias("i"), ups.alias("j"))
+    right = wide.select(F.col("cluster").alias("cluster_b"), F.col("n").alias("n_b"), F.col("mean").alias("mean_b"), F.col("present").alias("present_b"), F.col("block").alias("j_b"), downs.alias("i_b"))
+    schema = f"a {kind}, b {kind}, score double, up_score double, down_score double, num long, up_num long, down_num long, up_genes array<{gene_kind}>, down_genes array<{gene_kind}>"
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        genes, fitted = shared.value
+        rows = []
+        if x.num_rows and y.num_rows:
+            sides = []
+            for t, end in ((x, ""), (y, "_b")):
+                wide_ = [np.stack([np.asarray(v) for v in t.column(c + end).to_numpy()]) for c in ("mean", "present")]
+                sides.append((t.column(f"cluster{end}").to_pylist(), t.column(f"n{end}").to_numpy(), *wide_))
+            same = x.column("i")[0].as_py() == x.column("j")[0].as_py()
+            pairs = [(p, q) for p, a in enumerate(sides[0][0]) for q, b in enumerate(sides[1][0]) if (a < b if same else a != b)]
+            for s in range(0, len(pairs), step := max(1, (1 << 20) // max(1, len(genes)))):
+                some = pairs[s : s + step]
+                p, q = np.array(some, np.int64).T
+                flip = np.array([sides[0][0][k] > sides[1][0][m] for k, m in some])
+                va, vb = ([v[k] for v in side[1:]] for side, k in ((sides[0], p), (sides[1], q)))
+                first, second = ([np.where(flip if v.ndim == 1 else flip[:, None], w, v) for v, w in zip(m, n, strict=True)] for m, n in ((va, vb), (vb, va)))
+                up, down, score = compared(tuple(first), tuple(second), thresholds, method, fitted)
+                for r, (k, m) in enumerate(some):
+                    a, b = sorted((sides[0][0][k], sides[1][0][m]))
+                    u, d = np.flatnonzero(up[r]), np.flatnonzero(down[r])
+                    us, ds = float(score[r, u].sum()) + 0.0, float(score[r, d].sum()) + 0.0
+                    rows.append((a, b, us + ds, us, ds, len(u) + len(d), len(u), len(d), [genes[g] for g in u], [genes[g] for g in d]))
+        id_kind = x.schema.field("cluster").type if "cluster" in x.column_names else y.schema.field("cluster_b").type
+        gene_type = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[gene_kind]
+        kinds = [id_kind, id_kind, *[pa.float64()] * 3, *[pa.int64()] * 3, *[pa.list_(gene_type)] * 2]
+        names_ = [c.split()[0] for c in schema.split(", ")]
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 10, kinds, strict=True)], names=names_)
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i_b", "j_b")).applyInArrow(meet, schema)
+
+
+def marker_genes(de: DataFrame, n_markers: int = 20) -> DataFrame:
     """Union of the first n_markers up and down genes of each pair, in gene order."""
     firsts = F.concat(F.slice("up_genes", 1, n_markers), F.slice("down_genes", 1, n_markers))
     return de.select(F.explode(firsts).alias("gene")).distinct()

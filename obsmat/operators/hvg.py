@@ -53,6 +53,19 @@ def loess(x: np.ndarray, y: np.ndarray, span: float = 0.75, degree: int = 2, kno
     return (1 + 2 * t) * (1 - t) ** 2 * value[k] + t * (1 - t) ** 2 * h * slope[k] + t * t * (3 - 2 * t) * value[k + 1] - t * t * (1 - t) * h * slope[k + 1]
 
 
+def variable_genes(genes: list, n_present: np.ndarray, log_mean: np.ndarray, dispersion_: np.ndarray, min_cells: int = 4, max_genes: int = 3000) -> tuple[dict, dict, set]:
+    """(z of the dispersion, adjusted p of the residual over the local fit, the highly variable ones) of genes in at least
+    min_cells rows: the first max_genes by (p, z, name) with a p under 1."""
+    on = np.flatnonzero(n_present >= min_cells)
+    if not len(on):
+        return {}, {}, set()
+    names, d = [genes[i] for i in on], dispersion_[on]
+    z = robust_z_array(d)
+    adj = bh_array(normal_tail(robust_z_array(d - loess(log_mean[on], d))))
+    order = [i for i in np.lexsort((np.array(names).astype(str), -z, adj)) if adj[i] < 1][:max_genes]
+    return dict(zip(names, z.tolist(), strict=True)), dict(zip(names, adj.tolist(), strict=True)), {names[i] for i in order}
+
+
 def highly_variable(moments: DataFrame, *, min_cells: int = 4, max_genes: int = 3000, most: int = 200_000) -> DataFrame:
     """gene, z (of the dispersion), p_adj (of the residual over the local fit), highly_variable for every gene of moments.
 
@@ -63,13 +76,7 @@ def highly_variable(moments: DataFrame, *, min_cells: int = 4, max_genes: int =
     p = dispersion(moments).select("gene", "n_present", "log_mean", "dispersion").limit(most + 1).toPandas().sort_values("gene").reset_index(drop=True)
     if len(p) > most:
         raise ValueError(f"more than {most} genes")
-    on = p[p.n_present >= min_cells]
     schema = f"gene {moments.schema['gene'].dataType.simpleString()}, z double, p_adj double, highly_variable boolean"
-    if not len(on):
-        return spark.createDataFrame([(g, None, None, False) for g in p.gene.tolist()], schema)
-    z = robust_z_array(on.dispersion.to_numpy())
-    adj = bh_array(normal_tail(robust_z_array(on.dispersion.to_numpy() - loess(on.log_mean.to_numpy(), on.dispersion.to_numpy()))))
-    order = [i for i in np.lexsort((on.gene.to_numpy().astype(str), -z, adj)) if adj[i] < 1][:max_genes]
-    top = {on.gene.iloc[i] for i in order}
-    known = {g: (float(a), float(b)) for g, a, b in zip(on.gene, z, adj, strict=True)}
-    return spark.createDataFrame([(g, *known.get(g, (None, None)), g in top) for g in p.gene.tolist()], schema)
+    genes = p.gene.tolist()
+    z, adj, top = variable_genes(genes, p.n_present.to_numpy(), p.log_mean.to_numpy(float), p.dispersion.to_numpy(float), min_cells, max_genes)
+    return spark.createDataFrame([(g, z.get(g), adj.get(g), g in top) for g in genes], schema)

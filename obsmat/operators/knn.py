@@ -29,6 +29,42 @@ def distances(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def exact_distances(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
+    """Row by row, from differences: near rows lose no digits, and a pair's distance doesn't depend on its batch."""
+    if metric == "angular":
+        q, p = (x / np.maximum(1e-300, np.linalg.norm(x, axis=-1, keepdims=True)) for x in (q, p))
+    if metric == "dot":
+        return -(q * p).sum(-1)
+    gap = q - p
+    return np.abs(gap).sum(-1) if metric == "manhattan" else (gap != 0).sum(-1).astype(float) if metric == "hamming" else np.sqrt((gap * gap).sum(-1))
+
+
+def nearest_rows(q: np.ndarray, p: np.ndarray, k: int, metric: str, spare: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows of p, distances, neighbours each) of each row of q, flat, by distance and then by row number."""
+    n, seen = min(k, len(p)), min(k + spare, len(p))
+    middle = p.mean(0) if metric == "euclidean" else np.zeros(p.shape[1])  # far from the origin, squares would lose digits
+    to, far = [], []
+    step = max(1, (1 << 22) // len(p))
+    for i in range(0, len(q), step):
+        d = distances(q[i : i + step] - middle, p - middle, metric)
+        at = np.argpartition(d, seen - 1, axis=1)[:, :seen] if seen < len(p) else np.broadcast_to(np.arange(len(p)), d.shape)
+        at = np.sort(at, axis=1)
+        d = exact_distances(q[i : i + step, None, :], p[at], metric)
+        first = np.argsort(d, axis=1, kind="stable")[:, :n]
+        to.append(np.take_along_axis(at, first, 1).ravel())
+        far.append(np.take_along_axis(d, first, 1).ravel())
+    return np.concatenate(to), np.concatenate(far), n
+
+
+def nearest(left: pa.Table, right: pa.Table, k: int, metric: str) -> tuple:
+    """(src, dst, distance, neighbours each) of each row of left, flat, by distance and dst, among the rows of right (obs_id, features)."""
+    q, p = (np.stack([np.asarray(v) for v in t.column("features").to_numpy()]) for t in (left, right))
+    order = np.argsort(right.column("obs_id").to_numpy(zero_copy_only=False), kind="stable")
+    ids = right.column("obs_id").combine_chunks().take(pa.array(order))
+    to, far, n = nearest_rows(q, p[order], k, metric)
+    return left.column("obs_id").combine_chunks(), ids.take(pa.array(to)), far, n
+
+
 def knn(vectors: DataFrame, k: int, metric: str = "euclidean", *, block_rows: int = 4096, n_rows: int | None = None) -> DataFrame:
     """src, dst, rank (from 1), distance: the k nearest rows of each row, itself included; ties by dst.
 
@@ -48,35 +84,145 @@ def knn(vectors: DataFrame, k: int, metric: str = "euclidean", *, block_rows: in
         schema = pa.schema([("src", left.schema.field("obs_id").type), ("dst", left.schema.field("obs_id").type), ("distance", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        q, p = (np.stack([np.asarray(v) for v in t.column("features").to_numpy()]) for t in (left, right))
-        order = np.argsort(right.column("obs_id").to_numpy(zero_copy_only=False), kind="stable")
-        ids, p = right.column("obs_id").to_numpy(zero_copy_only=False)[order], p[order]
-        src, dst, far = [], [], []
-        step = max(1, (1 << 22) // len(p))
-        for i in range(0, len(q), step):
-            d = distances(q[i : i + step], p, metric)
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            src.append(np.repeat(np.arange(i, i + len(d)), at.shape[1]))
-            dst.append(at.ravel())
-            far.append(np.take_along_axis(d, at, 1).ravel())
-        s = left.column("obs_id").to_numpy(zero_copy_only=False)[np.concatenate(src)]
-        return pa.table([pa.array(s), pa.array(ids[np.concatenate(dst)]), pa.array(np.concatenate(far))], schema=schema)
+        src, dst, far, n = nearest(left, right, k, metric)
+        return pa.table([src.take(pa.array(np.repeat(np.arange(left.num_rows), n))), dst, pa.array(far)], schema=schema)
 
     found = queries.groupBy("qb", "pb").cogroup(points.groupBy("qb", "pb")).applyInArrow(best, f"src {kind}, dst {kind}, distance double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def approximate_knn(vectors: DataFrame, k: int, *, radius: float, tables: int = 4, bucket: float | None = None, seed: int = 1) -> DataFrame:
-    """As knn (euclidean) among rows within radius that share a random-projection bucket; neighbours further off are missed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def prepared(x: np.ndarray, metric: str, longest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, points) of the rows as a tree splits them, so that near means near in a straight line: angular rows have length
+    1; for products points get one more number that makes all of them `longest` long, queries get 0."""
+    if metric == "angular":
+        x = x / np.maximum(1e-300, np.linalg.norm(x, axis=1))[:, None]
+    if metric != "dot":
+        return x, x
+    rest = np.sqrt(np.maximum(0.0, longest * longest - (x * x).sum(1)))
+    return np.hstack([x, np.zeros((len(x), 1))]), np.hstack([x, rest[:, None]])
+
 
-    rows = vectors.select("obs_id", array_to_vector("features").alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket or radius, numHashTables=tables, seed=seed).fit(rows)
-    both = lsh.approxSimilarityJoin(rows, rows, radius, "distance").select(F.col("datasetA.obs_id").alias("src"), F.col("datasetB.obs_id").alias("dst"), "distance")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+class Forest:
+    """Random-projection trees, each complete and of the same depth: node i has the children 2i + 1 and 2i + 2, and the hyperplane
+    that halves the sample's points at it, across the line between two of their means."""
+
+    def __init__(self, sample: np.ndarray, trees: int, depth: int, seed: int):
+        self.depth, n = depth, (1 << depth) - 1
+        self.normals = np.zeros((trees, n, sample.shape[1]), np.float32)
+        self.middles = np.zeros((trees, n), np.float32)
+        for t in range(trees):
+            rng, level = np.random.default_rng((seed, t)), [sample]
+            for i in range(n):
+                points = level[i]
+                level[i] = None
+                across = self._across(points, rng)
+                self.normals[t, i] = across / max(1e-30, np.linalg.norm(across))
+                along = points.astype(np.float32) @ self.normals[t, i]
+                self.middles[t, i] = np.median(along) if len(along) else 0
+                tied = np.abs(along - self.middles[t, i]) <= 1e-5 * np.linalg.norm(points, axis=1)
+                right = np.where(tied, rng.random(len(points)) < 0.5, along > self.middles[t, i])
+                level += [points[~right], points[right]]
+
+    @staticmethod
+    def _across(points: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        if len(points) < 2:
+            return rng.normal(size=points.shape[1])
+        seen = points[rng.integers(0, len(points), min(len(points), 256))]
+        a, b = seen[rng.integers(0, len(seen), 2)]
+        for _ in range(4):
+            near = ((seen - a) ** 2).sum(1) < ((seen - b) ** 2).sum(1)
+            if near.all() or not near.any():
+                return rng.normal(size=points.shape[1])
+            a, b = seen[near].mean(0), seen[~near].mean(0)
+        return a - b
+
+    def _down(self, t: int, x: np.ndarray, node: np.ndarray, coin: np.ndarray, margins: np.ndarray | None = None) -> np.ndarray:
+        """The leaf (from 0) of each row that starts at its node. A row on the hyperplane itself, as copies that a median falls
+        on are, goes where its coin says; so copies spread."""
+        node, first = node.copy(), (1 << self.depth) - 1
+        none = 1e-5 * np.linalg.norm(x, axis=1)
+        for level in range(self.depth):
+            open_ = node < first
+            at = np.where(open_, node, 0)
+            margin = np.einsum("ij,ij->i", x, self.normals[t, at]) - self.middles[t, at]
+            side = np.where(np.abs(margin) <= none, coin >> level & 1, margin > 0)
+            if margins is not None:
+                margins[:, level] = np.abs(margin)
+            node = np.where(open_, 2 * node + 1 + side, node)
+        return node - first
+
+    def leaves(self, x: np.ndarray, coin: np.ndarray, probes: int = 1):
+        """(tree, leaf of each row) for each tree and probe. The first probe is the row's own leaf, the others turn the
+        decisions with the least margins."""
+        x, root = x.astype(np.float32), np.zeros(len(x), np.int64)
+        for t in range(len(self.normals)):
+            margins = np.zeros((len(x), self.depth))
+            home = self._down(t, x, root, coin, margins)
+            yield t, home
+            order = np.argsort(margins, axis=1, kind="stable")
+            for p in range(min(probes - 1, self.depth)):
+                level = order[:, p]
+                up = self.depth - level - 1  # from a leaf to the child of the decision
+                child = ((home + (1 << self.depth)) >> up) - 1
+                yield t, self._down(t, x, np.where(child % 2 == 0, child - 1, child + 1), coin)
+
+
+def approximate_knn(vectors: DataFrame, k: int, metric: str = "euclidean", *, trees: int = 6, probes: int = 4, shard_rows: int = 4096, sample_rows: int = 1 << 18, index_mb: int = 256, seed: int = 1, n_rows: int | None = None) -> DataFrame:
+    """As knn, over the rows that share a leaf of a forest of random-projection trees; exact where one leaf holds all rows.
+
+    The trees are built on a seeded sample of sample_rows rows at most (16 for each leaf where that is fewer) and every row is put into a leaf of
+    each tree. A row's neighbours are sought in its own leaf and in the probes - 1 leaves on the other side of its least certain
+    decisions, exactly within each. So the shuffle is rows x trees x (1 + probes), whatever their number. Trees are broadcast: their
+    depth is bounded by index_mb; beyond it leaves grow instead. Copies of one vector spread over leaves.
+    Hamming and manhattan split as euclidean does. Null vectors are an error as in knn; an empty table gives an empty one.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    n = vectors.count() if n_rows is None else n_rows
+    kind = vectors.schema["obs_id"].dataType.simpleString()
+    depth = max(0, math.ceil(math.log2(max(1, n) / shard_rows)))
+    order = vectors.select("features", F.xxhash64(F.lit(seed), "obs_id").alias("_o")).orderBy("_o")
+    longest = 0.0
+    if metric == "dot" and n:
+        square = F.aggregate("features", F.lit(0e0), lambda a, v: a + v * v)
+        longest = math.sqrt(vectors.agg(F.max(square)).first()[0] or 0.0)
+    seen = [r.features for r in order.limit(max(1, min(sample_rows, 16 << depth))).select("features").collect()] if n else []
+    width = len(seen[0]) + (metric == "dot") if seen else 1
+    depth = min(depth, max(0, int(math.log2(max(1, (index_mb << 20) // (4 * trees * width))))))
+    forest = Forest(prepared(np.array(seen, float).reshape(len(seen), -1), metric, longest)[1] if seen else np.zeros((0, 1)), trees if depth else 1, depth, seed)
+    shared = vectors.sparkSession.sparkContext.broadcast(forest)
+
+    def deal(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.stack([np.asarray(v) for v in b.column(1).to_numpy(zero_copy_only=False)])
+            coin = b.column(2).to_numpy(zero_copy_only=False)
+            queries, points = prepared(x, metric, longest)
+            home = np.ones(len(x), bool)
+            ways = [(t, leaf, home) for t, leaf in shared.value.leaves(points, coin)] + [(t, leaf, ~home) for t, leaf in shared.value.leaves(queries, coin, probes)]
+            for t, leaf, is_home in ways:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(leaf), pa.array(is_home), b.column(0), b.column(1)], ["tree", "leaf", "home", "obs_id", "features"])
+
+    def best(t: pa.Table) -> pa.Table:
+        out = pa.schema([("src", t.schema.field("obs_id").type), ("near", pa.list_(pa.struct([("distance", pa.float64()), ("dst", t.schema.field("obs_id").type)])))])
+        home = t.column("home").to_numpy(zero_copy_only=False)
+        left, right = t.filter(pa.array(~home)), t.filter(pa.array(home))
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        src, dst, far, n = nearest(left, right, k, metric)
+        near = pa.StructArray.from_arrays([pa.array(far), dst.cast(out.field("near").type.value_type[1].type)], ["distance", "dst"])
+        return pa.table([src, pa.ListArray.from_arrays(pa.array(np.arange(left.num_rows + 1) * n, pa.int32()), near)], schema=out)
+
+    rows = vectors.select("obs_id", "features", F.xxhash64("obs_id", F.lit(seed)).alias("coin"))
+    dealt = rows.mapInArrow(deal, f"tree int, leaf long, home boolean, obs_id {kind}, features array<double>")
+    found = dealt.groupBy("tree", "leaf").applyInArrow(best, f"src {kind}, near array<struct<distance: double, dst: {kind}>>")
+    whole = found.groupBy("src").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))  # a row for each tree and probe
+    return whole.select("src", F.posexplode("near").alias("rank", "one")).select("src", "one.dst", "one.distance", (F.col("rank") + 1).alias("rank"))
+
+
+NEIGHBOURS = {"exact": knn, "approximate": approximate_knn}
 
 
 def uniform_edges(neighbours: DataFrame) -> DataFrame:

@@ -118,6 +118,11 @@ def merge_by_de(stats: Stats, reduced: Stats, thresholds: DEThresholds, *, k: in
     return into
 
 
+def pair_markers(stats: Stats, o) -> set:
+    """The first n_markers up and down genes of all pairs of clusters."""
+    return stats.first_genes(o.thresholds, o.de_method, o.n_markers) if o.n_markers and len(stats.labels) > 1 else set()
+
+
 def relabel(assign: DataFrame, into: dict) -> DataFrame:
     kind = dict(assign.dtypes)["cluster"]
     m = assign.sparkSession.createDataFrame([(k, v) for k, v in into.items()] or [], f"cluster {kind}, _into {kind}")

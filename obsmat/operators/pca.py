@@ -40,7 +40,11 @@ def gramian(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
 
 def pca(vectors: DataFrame, n_comps: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(loadings: features x components, explained variances with ddof 1, their ratios, means). Signs: the largest loading is positive."""
-    n, sums, xx = gramian(vectors)
+    return components(*gramian(vectors), n_comps)
+
+
+def components(n: int, sums: np.ndarray, xx: np.ndarray, n_comps: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same from the number of rows, their sums and their Gramian."""
     mean = sums / n
     cov = (xx - n * np.outer(mean, mean)) / max(1, n - 1)
     most = max(1, min(n, len(mean)) - 1)

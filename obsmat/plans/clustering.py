@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from obsmat.operators import community, hvg, merging, moments, pca
-from obsmat.operators.de import DEThresholds, Stats, cluster_pairs, de_pairs, marker_genes
+from obsmat.operators.de import DEThresholds, Stats, de_pairs_in_blocks, marker_genes
+from obsmat.plans import local
 from obsmat.sources.scratch import kept, written
 from obsmat.sources.matrix import row_form, sample_key, select_genes
 
@@ -28,6 +32,7 @@ class OneStep:
     known_threshold: float = 0.7
     k: int = 15
     metric: str = "euclidean"
+    neighbours: str = "approximate"
     weighting: str = "jaccard"
     community: str = "louvain"
     resolution: float = 1.0
@@ -70,11 +75,7 @@ def merge_clusters(expr: DataFrame, reduced: DataFrame, assign: DataFrame, o: On
     full = Stats.collect(moments.cluster_stats(expr, assign, low=o.thresholds.low))
     into = merging.merge_by_de(full, near, o.thresholds, k=o.nearest, method=o.de_method)
     assign = merging.relabel(assign, into).transform(kept)
-    if not o.n_markers or len(full.labels) < 2:
-        return assign, set()
-    pairs = [(a, b) for i, a in enumerate(full.labels) for b in full.labels[i + 1 :]]
-    found = full.de(pairs, o.thresholds, o.de_method)
-    return assign, {g for d in found for side in ("up_genes", "down_genes") for g in d[side][: o.n_markers]}
+    return assign, merging.pair_markers(full, o)
 
 
 def onestep(expr: DataFrame, obs: DataFrame, o: OneStep, *, known: DataFrame | None = None, latent: DataFrame | None = None) -> tuple[DataFrame, set]:
@@ -105,34 +106,79 @@ def onestep(expr: DataFrame, obs: DataFrame, o: OneStep, *, known: DataFrame | N
     width = vectors.select(F.size("features").alias("n")).first()
     if width is None or width.n == 0:
         return obs.select("obs_id", F.lit(0).alias("cluster")), set()
-    assign, _ = community.cluster_graph(vectors, min(o.k, width.n) if latent is None else o.k, metric=o.metric, weighting=o.weighting, method=o.community, resolution=o.resolution, seed=o.seed)
+    assign, _ = community.cluster_graph(vectors, min(o.k, width.n) if latent is None else o.k, metric=o.metric, neighbours=o.neighbours, weighting=o.weighting, method=o.community, resolution=o.resolution, seed=o.seed)
     return merge_clusters(expr, vectors, assign.transform(kept), o)
 
 
-def iterate(expr: DataFrame, obs: DataFrame, o: OneStep, *, min_samples: int = 4, known: DataFrame | None = None, latent: DataFrame | None = None, step=onestep) -> tuple[DataFrame, set]:
+def iterate(expr: DataFrame, obs: DataFrame, o: OneStep, *, min_samples: int = 4, known: DataFrame | None = None, latent: DataFrame | None = None, step=onestep, local_values: int = 4_000_000) -> tuple[DataFrame, set]:
     """(obs_id, path) by splitting again and again; a leaf has one cluster or fewer rows than min_samples. Ids stay, so rows never
-    change places. A group's rows are written once, by its clusters; each cluster reads its own, so a level costs one matrix."""
-    todo, done, markers = [("0", obs.select("obs_id"), expr)], [], set()
-    while todo:
-        path, part, own = todo.pop()
-        n = part.count()
-        if n < min_samples:
-            done.append(part.select("obs_id", F.lit(path).alias("path")))
-            continue
-        inside = own.join(part, "obs_id", "left_semi") if path == "0" else own
-        assign, found = step(inside, part, o, known=known, latent=latent)
-        clusters = sorted(r.cluster for r in assign.select("cluster").distinct().collect())
-        if len(clusters) < 2:
-            done.append(part.select("obs_id", F.lit(path).alias("path")))
-            continue
-        markers |= found
-        assign = assign.transform(kept)
-        split = written(inside.join(assign, "obs_id"), "cluster")
-        todo += [(f"{path}.{c}", assign.where(F.col("cluster") == c).select("obs_id"), split.where(F.col("cluster") == c).drop("cluster")) for c in clusters]
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out, markers
+    change places.
+
+    A level is worked at once. All its groups with at most local_values values of the matrix are groups of one grouped job,
+    each of which goes on to its leaves; larger groups are split by jobs of their own, and what is left of the matrix is
+    written once a level, by group. Paths are a column; the driver holds a row for each group of a level. Known modes, and any other
+    step than `onestep`, are worked by jobs alone. Rows without values are rows of zeros; null ids are ignored.
+    """
+    in_tasks = known is None and step is onestep
+    each = expr.groupBy("obs_id").agg(F.count("*").alias("k"))
+    members = obs.where("obs_id is not null").select("obs_id").distinct().join(each, "obs_id", "left").select("obs_id", F.lit("0").alias("path"), F.coalesce("k", F.lit(0)).alias("k")).transform(kept)
+    matrix, done, markers = expr, [], set()
+    while True:
+        sizes = [(r.path, r.n, r.k) for r in members.groupBy("path").agg(F.count("*").alias("n"), F.sum("k").alias("k")).orderBy("path").collect()]
+        kind = {p: "leaf" if n < min_samples else "small" if in_tasks and k <= local_values else "large" for p, n, k in sizes}
+        if not kind:
+            break
+        kinds = members.sparkSession.createDataFrame(list(kind.items()), "path string, kind string")
+        members = members.join(F.broadcast(kinds), "path")
+        done.append(members.where("kind = 'leaf'").select("obs_id", "path"))
+        mine = matrix.join(members.select("obs_id", "path", "kind"), "obs_id")
+        if "small" in kind.values():
+            ended = _small_groups(mine.where("kind = 'small'"), members.where("kind = 'small'"), latent, o, min_samples).transform(kept)
+            done.append(ended.where("obs_id is not null").select("obs_id", "path"))
+            markers |= {r.marker for r in ended.where("obs_id is null").select("marker").distinct().collect()}
+        large, children = [p for p, what in kind.items() if what == "large"], []
+        split = written(mine.where("kind = 'large'").drop("kind"), "path") if large else None
+        for path in large:
+            part = members.where(F.col("path") == path).select("obs_id", "k")
+            assign, found = step(split.where(F.col("path") == path).drop("path"), part.select("obs_id"), o, known=known, latent=latent)
+            assign = assign.transform(kept)
+            if assign.select("cluster").distinct().limit(2).count() < 2:
+                done.append(part.select("obs_id", F.lit(path).alias("path")))
+                continue
+            markers |= found
+            children.append(part.join(assign, "obs_id").select("obs_id", F.concat(F.lit(f"{path}."), F.col("cluster").cast("string")).alias("path"), "k"))
+        if not children:
+            break
+        members, matrix = reduce(DataFrame.unionByName, children).transform(kept), split.drop("path")
+    if not done:
+        return obs.select("obs_id", F.lit("0").alias("path")).limit(0), markers
+    return reduce(DataFrame.unionByName, done), markers
+
+
+def _small_groups(values: DataFrame, members: DataFrame, latent: DataFrame | None, o: OneStep, min_samples: int) -> DataFrame:
+    """obs_id, path, marker: a row for each member with its path, and one without obs_id for each marker."""
+    rows = members.select("path", "obs_id", F.xxhash64(F.lit(o.seed or 0), "obs_id").alias("_o"))
+    if latent is not None:
+        rows = rows.join(latent.select("obs_id", "features"), "obs_id")
+    kind = members.schema["obs_id"].dataType.simpleString()
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = pa.schema([("obs_id", left.schema.field("obs_id").type), ("path", pa.string()), ("marker", pa.string())])
+        if not left.num_rows:
+            return out.empty_table()
+        left = left.sort_by("obs_id")
+        ids = left.column("obs_id").combine_chunks()
+        genes = right.column("gene").combine_chunks().dictionary_encode()
+        names = genes.dictionary.to_pylist()
+        row = pc.index_in(right.column("obs_id").combine_chunks(), value_set=ids).to_numpy()
+        vectors = np.stack([np.asarray(v) for v in left.column("features").to_numpy()]) if "features" in left.column_names else None
+        g = local.Group(ids.to_numpy(zero_copy_only=False), names, row.astype(np.int64), genes.indices.to_numpy(zero_copy_only=False).astype(np.int64), right.column("x").to_numpy().astype(float), left.column("_o").to_numpy(), vectors)
+        paths, markers = local.iterate(g, left.column("path")[0].as_py(), o, min_samples)
+        markers = sorted(map(str, markers))
+        return pa.table([pa.concat_arrays([ids, pa.nulls(len(markers), ids.type)]), pa.array(paths + [None] * len(markers), pa.string()), pa.array([None] * len(paths) + markers, pa.string())], schema=out)
+
+    other = values.select(F.col("path").alias("in_path"), "obs_id", F.col("gene").cast("string").alias("gene"), "x")
+    return rows.groupBy("path").cogroup(other.groupBy("in_path")).applyInArrow(work, f"obs_id {kind}, path string, marker string")
 
 
 def sample_clusters(assign: DataFrame, n: int = 20, seed: int = 123) -> DataFrame:
@@ -142,8 +188,11 @@ def sample_clusters(assign: DataFrame, n: int = 20, seed: int = 123) -> DataFram
 
 
 def final_merge(expr: DataFrame, assign: DataFrame, markers: set, o: OneStep, *, n_samples: int = 20, seed: int = 123, known: DataFrame | None = None) -> tuple[DataFrame, set]:
-    """Components of a sample of each cluster over the marker genes; then all rows are projected and clusters merged."""
+    """Components of a sample of each cluster over the marker genes; then all rows are projected and clusters merged. Without
+    markers, as a recursion that splits nothing gives them, and for fewer than two clusters, nothing is merged."""
     genes = sorted(markers)
+    if not genes or assign.select("cluster").distinct().limit(2).count() < 2:
+        return assign.select("obs_id", "cluster"), set()
     marked = expr.where(F.col("gene").isin(genes))
     rows = assign.select("obs_id").join(row_form(marked, genes), "obs_id", "left")
     rows = rows.select("obs_id", F.coalesce("features", F.array_repeat(F.lit(0e0), len(genes))).alias("features")).transform(kept)
@@ -158,9 +207,9 @@ def final_merge(expr: DataFrame, assign: DataFrame, markers: set, o: OneStep, *,
 def summarize(expr: DataFrame, assign: DataFrame, thresholds: DEThresholds, method: str = "ebayes") -> tuple[DataFrame, DataFrame]:
     """(differential expression of all pairs, linkage of the means)."""
     stats = moments.cluster_stats(expr, assign, low=thresholds.low).transform(kept)
-    return de_pairs(stats, cluster_pairs(assign), thresholds, method), merging.hclust(stats)
+    return de_pairs_in_blocks(stats, thresholds, method), merging.hclust(stats)
 
 
 def markers(expr: DataFrame, assign: DataFrame, thresholds: DEThresholds, n_markers: int = 20, method: str = "ebayes") -> DataFrame:
     stats = moments.cluster_stats(expr, assign, low=thresholds.low)
-    return marker_genes(de_pairs(stats, cluster_pairs(assign), thresholds, method), n_markers)
+    return marker_genes(de_pairs_in_blocks(stats.transform(kept), thresholds, method), n_markers)

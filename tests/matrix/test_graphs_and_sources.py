@@ -12,6 +12,7 @@ import __spark_entry__
 from obsmat.operators import community, knn
 from obsmat.plans import clustering
 from obsmat.sources import fbm, matrix
+from obsmat.sources.scratch import numbered
 from obsmat.streaming import moments as streaming
 
 
@@ -23,18 +24,54 @@ def planted(groups=8, size=25, seed=0):
     return edges, {i: i // size for i in range(n)}
 
 
+def connected(edges, label):
+    """Whether each community is one part of the graph."""
+    parts = {v: v for v in label}
+
+    def root(v):
+        while parts[v] != v:
+            v = parts[v]
+        return v
+
+    for i, j, _ in edges:
+        if label[i] == label[j]:
+            parts[root(i)] = root(j)
+    return len({root(v) for v in label}) == len(set(label.values()))
+
+
 @pytest.mark.parametrize("method", ["louvain", "leiden"])
-@pytest.mark.parametrize("local_edges", [1_000_000, 600])
+@pytest.mark.parametrize("local_edges", [300])
 def test_communities_reach_the_planted_modularity(spark, method, local_edges):
-    """On the driver, and by moves and contraction on the cluster first."""
+    """In one task, and by moves and contraction on the cluster first or to the end."""
     edges, truth = planted()
     df = spark.createDataFrame(edges, "src long, dst long, w double")
     found = community.communities(df, method, seed=1, local_edges=local_edges).cache()
     graph = knn.undirected(df, "collapse" if method == "louvain" else "sum").cache()
-    planted_q = knn.modularity(graph, spark.createDataFrame(list(truth.items()), "node long, community int")).first().q
-    q = knn.modularity(graph, found).first().q
+    q = lambda frame: knn.modularity(graph, frame).first().q
+    planted_q = q(spark.createDataFrame(list(truth.items()), "node long, community int"))
+    local = community.communities(df, method, seed=1)
     assert found.count() == len(truth) and found.select("node").distinct().count() == len(truth)
-    assert q > 0.95 * planted_q
+    assert q(found) > 0.95 * planted_q and q(found) >= 0.98 * q(local)
+    if method == "leiden":
+        assert connected(edges, {r.node: r.community for r in found.collect()})
+
+
+@pytest.mark.parametrize("local_edges", [0])
+def test_leiden_is_connected_on_the_cluster(spark, local_edges):
+    """A sparse graph of paths and bridges, on which communities that only moves have made fall apart, with names as nodes."""
+    rng = np.random.default_rng(4)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 300, (420, 2)) if a != b}
+    edges = [(f"n{a:03d}", f"n{b:03d}", float(rng.integers(1, 4))) for a, b in sorted(pairs)]
+    df = spark.createDataFrame(edges + edges[:20] + [(None, "n001", 1.0), ("n001", "n002", None)], "src string, dst string, w double")
+    label = {r.node: r.community for r in community.communities(df, "leiden", seed=2, local_edges=local_edges).collect()}
+    assert connected(edges, label) and set(label) == {v for e in edges for v in e[:2]}
+
+
+def test_parts_of_communities(spark):
+    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40) if i % 10 != 9] + [(3, 3, 1.0)], "a long, b long, w double")
+    lab = spark.createDataFrame([(i, i // 20) for i in range(41)], "node long, community long")
+    got = {r.node: r.community for r in community.connected_parts(graph, lab).collect()}
+    assert got == {i: 10 * (i // 10) for i in range(41)}
 
 
 def test_no_edges_no_communities(spark):
@@ -46,9 +83,99 @@ def test_connected_parts():
 
 
 def test_outliers_get_labels_of_their_own(spark):
-    rows = list(enumerate([-1, 1, -1, 2, -1, 3]))
-    got = community.split_outliers(spark.createDataFrame(rows, "pos int, label int")).orderBy("pos")
-    assert [r.label for r in got.collect()] == [4, 1, 5, 2, 6, 3]
+    rows = list(enumerate([-1, 1, -1, 2, -1, 3, None]))
+    got = community.split_outliers(spark.createDataFrame(rows, "pos int, label int").repartition(3)).orderBy("pos")
+    assert [r.label for r in got.collect()] == [4, 1, 5, 2, 6, 3, None]
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(0, 1000, 1, 7).selectExpr("(id * 37) % 1000 as x", "'clash' as _part")
+    assert all(r._n == 999 - r.x for r in numbered(df.drop("_part"), F.desc("x")).collect())
+    assert numbered(spark.createDataFrame([], "x int"), "x").count() == 0
+
+
+def gaussians(n=60, groups=4, width=8, seed=1, noise=0.3):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(0, 3, (groups, width))
+    return [(int(i), (centre[i % groups] + rng.normal(0, noise, width)).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("prune", [False, True])
+def test_phenograph_against_all_pairs(spark, prune):
+    """Four groups, a small one and two single rows: the graph by hand, and clusters by size with outliers on their own."""
+    rng = np.random.default_rng(3)
+    rows = gaussians(160) + [(200 + i, (np.full(8, 40.0) + rng.normal(0, 0.1, 8)).tolist()) for i in range(7)] + [(300, [-60.0] * 8), (301, [90.0] * 8)]
+    k = 5
+    assign, graph, q = community.phenograph(spark.createDataFrame(rows, "obs_id long, features array<double>"), k, prune=prune, min_size=10, seed=1)
+    ids, x = [r[0] for r in rows], np.array([r[1] for r in rows])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    sets = {ids[i]: [ids[j] for j in np.lexsort((ids, d[i])) if j != i][:k] for i in range(len(ids))}
+    w = {(i, j): len(set(sets[i]) & set(sets[j])) / (2 * k - len(set(sets[i]) & set(sets[j]))) for i in sets for j in sets[i]}
+    want = {}
+    for i, j in w:
+        a, b = w[i, j], w.get((j, i), 0.0)
+        if (v := a * b if prune else (a + b) / 2) > 0:
+            want[min(i, j), max(i, j)] = v
+    got = {(r.a, r.b): r.w for r in graph.collect()}
+    assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-12 for e in want)
+    label = {r.obs_id: r.cluster for r in assign.collect()}
+    assert set(label) == set(ids) and q.first().q > 0.5
+    big = [c for c in set(label.values()) if sum(v == c for v in label.values()) > 10]
+    assert sorted(big) == list(range(len(big))) and all(len({i % 4 for i in label if label[i] == c and i < 200}) == 1 for c in big)
+    alone = [label[i] for i in sorted(label) if label[i] not in big]
+    assert alone == list(range(len(big), len(big) + len(alone))) and {*range(200, 207)} <= {i for i in label if label[i] not in big}
+
+
+def test_phenograph_separates_groups(spark):
+    """Ten tight groups: modularity over 0.8, as a graph of such groups has."""
+    rows = gaussians(400, 10, 20, 5)
+    assign, _, q = community.phenograph(spark.createDataFrame(rows, "obs_id long, features array<double>"), 10, seed=1)
+    assert q.first().q > 0.8 and len({r.cluster for r in assign.collect()}) >= 10
+    empty = community.phenograph(spark.createDataFrame([], "obs_id long, features array<double>"), 10)
+    assert empty[0].count() == empty[1].count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "angular", "dot", "manhattan"])
+def test_approximate_neighbours(spark, metric):
+    """Recall of at least 0.9 with leaves that hold a sixteenth of the rows, and distances that are right."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(0, 1, (12, 24))
+    x = centre[rng.integers(0, 12, 2400)] + rng.normal(0, 0.8, (2400, 24))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "obs_id long, features array<double>").repartition(4).cache()
+    true = {(r.src, r.dst): r.distance for r in knn.knn(df, 15, metric).collect()}
+    rows = knn.approximate_knn(df, 15, metric, shard_rows=150).collect()
+    got = {(r.src, r.dst): r.distance for r in rows}
+    assert len(got) == len(rows) == len(true) == 2400 * 15
+    assert len(got.keys() & true.keys()) >= 0.9 * len(true)
+    assert all(got[e] == true[e] for e in got.keys() & true.keys())
+    assert all(r.rank == 1 for r in rows if r.src == r.dst) or metric == "dot"
+    again = {(r.src, r.dst) for r in knn.approximate_knn(df.repartition(7), 15, metric, shard_rows=150).collect()}
+    assert again == got.keys()
+
+
+def test_neighbours_of_few_rows_are_exact(spark):
+    df = spark.createDataFrame(gaussians(90), "obs_id long, features array<double>")
+    as_rows = lambda f: sorted(map(tuple, f.select("src", "dst", "rank", "distance").collect()))
+    assert as_rows(knn.approximate_knn(df, 7)) == as_rows(knn.knn(df, 7))
+    names = df.select(F.concat(F.lit("c"), "obs_id").alias("obs_id"), "features")
+    assert as_rows(knn.approximate_knn(names, 7, shard_rows=16)) != [] and knn.approximate_knn(df.limit(0), 7).count() == 0
+
+
+def test_copies_spread_over_leaves():
+    """Half of the rows are one vector: no leaf gets all of them."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 6))
+    x[:2000] = x[0]
+    f = knn.Forest(x, 3, 5, 1)
+    for _, leaf in f.leaves(x, rng.integers(0, 1 << 62, len(x))):
+        assert np.bincount(leaf).max() < 800
+
+
+def test_near_rows_keep_their_digits(spark):
+    """Rows that differ far behind the point, far from the origin."""
+    df = spark.createDataFrame([(i, [1e6 + i * 1e-5, 1e6]) for i in range(12)], "obs_id long, features array<double>")
+    got = {(r.src, r.dst): r.distance for r in knn.knn(df, 3).collect()}
+    assert got[0, 1] == pytest.approx(1e-5, rel=1e-3) and got.keys() >= {(i, i + 1) for i in range(11)}
 
 
 def test_iterating_keeps_all_rows_and_has_no_depth_limit(spark):
@@ -82,6 +209,72 @@ def test_one_step_from_counts_finds_planted_groups(spark):
         assert len(label) == 120 and len({label[i] for i in range(60)}) == 1 and len(set(label.values())) == 2
 
 
+def nested_counts(seed=0, n=120):
+    """Log counts of two groups, the first of which has two parts of its own, told by other genes; a row without values."""
+    rng = np.random.default_rng(seed)
+    mean = lambda i, j: 60 if (j < 12) == (i < n // 2) and j < 24 else 50 if 24 <= j < 36 and i < n // 2 and (j < 30) == (i < n // 4) else 1
+    rows = [(i, f"g{j:02d}", float(np.log1p(rng.poisson(mean(i, j))))) for i in range(n) for j in range(36)]
+    return [r for r in rows if r[2] > 0], list(range(n)) + [n]
+
+
+def partition(rows):
+    """Rows by path, whatever the paths are called."""
+    out = {}
+    for r in rows:
+        out.setdefault(r.path, set()).add(r.obs_id)
+    return sorted(map(sorted, out.values()))
+
+
+@pytest.mark.parametrize("names", [False, True])
+def test_groups_in_tasks_give_the_paths_of_the_loop(spark, names):
+    rows, ids = nested_counts()
+    expr, obs = spark.createDataFrame(rows, "obs_id long, gene string, x double"), spark.createDataFrame([(i,) for i in ids], "obs_id long")
+    if names:
+        expr, obs = (f.withColumn("obs_id", F.format_string("c%03d", "obs_id")) for f in (expr, obs))
+    o = clustering.OneStep(n_comps=5, pc_method=None, max_pcs=3, k=8, pca_cells=90, seed=3)
+    found, markers = clustering.iterate(expr, obs, o, min_samples=20)
+    got = found.collect()
+    assert len(got) == len(ids) == len({r.obs_id for r in got}) and markers
+    if not names:
+        loop, its_markers = clustering.iterate(expr, obs, o, min_samples=20, local_values=0)
+        assert {r.obs_id: r.path for r in loop.collect()} == {r.obs_id: r.path for r in got} and its_markers == markers
+        mixed, _ = clustering.iterate(expr, obs, o, min_samples=20, local_values=2200)
+        assert partition(mixed.collect()) == partition(got)
+        assert max(r.path.count(".") for r in got) >= 1
+
+
+def test_recursion_over_a_latent_space_and_nothing(spark):
+    rows = gaussians(90, 3, 6, 2)
+    v = spark.createDataFrame(rows, "obs_id long, features array<double>")
+    o = clustering.OneStep(k=8, low=-1e9, thresholds=clustering.DEThresholds(q1=None, cluster_size=2, qdiff=None, lfc=0.1, score=5, low=0.0), seed=1)
+    found, _ = clustering.iterate(matrix.long_form(v), v, o, min_samples=40, latent=v)
+    parts = partition(found.collect())
+    assert sorted(i for p in parts for i in p) == list(range(90)) and len(parts) >= 3 and all(len({i % 3 for i in p}) == 1 for p in parts)
+    none, markers = clustering.iterate(matrix.long_form(v).limit(0), v.limit(0), o, latent=v)
+    assert none.count() == 0 and markers == set()
+
+
+def test_final_merge_without_markers_changes_nothing(spark):
+    v = spark.createDataFrame(gaussians(30), "obs_id long, features array<double>")
+    assign = v.select("obs_id", (F.col("obs_id") % 2).cast("int").alias("cluster"))
+    expr = matrix.long_form(v).withColumn("gene", F.col("gene").cast("string"))
+    for known in (set(), {"0", "1", "2"}):
+        same = assign if not known else assign.withColumn("cluster", F.lit(4))
+        out, markers = clustering.final_merge(expr, same, known, clustering.OneStep())
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, same.collect())) and markers == set()
+
+
+def test_final_merge_joins_parts_of_a_group(spark):
+    """Two groups, each cut in two without reason: the parts find each other, the groups stay apart."""
+    rng = np.random.default_rng(7)
+    rows = [(i, f"g{j}", float(np.log1p(rng.poisson(80 if (j < 6) == (i < 60) else 1)))) for i in range(120) for j in range(12)]
+    expr = spark.createDataFrame(rows, "obs_id long, gene string, x double").where("x > 0")
+    assign = spark.createDataFrame([(i, 2 * (i // 60) + i % 2) for i in range(120)], "obs_id long, cluster int")
+    out, _ = clustering.final_merge(expr, assign, {f"g{j}" for j in range(12)}, clustering.OneStep(n_comps=4, pc_method=None, max_pcs=3))
+    label = {r.obs_id: r.cluster for r in out.collect()}
+    assert len(label) == 120 and all(len({label[i] for i in part}) == 1 for part in (range(60), range(60, 120))) and len(set(label.values())) == 2
+
+
 @pytest.mark.parametrize("dtype", sorted(fbm.DTYPES))
 @pytest.mark.parametrize("target", [1e6, None, "raw"])
 def test_binary_matrices(spark, tmp_path, dtype, target):

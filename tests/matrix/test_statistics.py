@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from obsmat.functions import special as sp
-from obsmat.functions.multitest import bh_array, holm_array
+from obsmat.functions.multitest import bh_array, holm_array, holm_rows
 from obsmat.operators import de, hvg, merging
 from obsmat.operators.de import DEThresholds, Stats
 
@@ -58,6 +58,29 @@ def test_chi_square_of_pairs_in_frames_and_arrays(spark):
     assert abs(r.score - 34.29963735220708) < 1e-9 and list(r.up_genes) == ["gene_a", "gene_c"]
 
 
+@pytest.mark.parametrize("method", ["ebayes", "chisq"])
+@pytest.mark.parametrize("names", [False, True])
+def test_blocks_of_clusters_give_the_pairs(spark, method, names):
+    """Thirty clusters in blocks of four against the join of pairs, and the local form with its markers."""
+    rng = np.random.default_rng(5)
+    k, genes = 30, [f"g{i:02d}" for i in range(25)]
+    s = Stats([f"c{i}" for i in range(k)] if names else list(range(k)), genes, rng.integers(3, 60, k), rng.gamma(2, 2, (k, 25)), rng.random((k, 25)), rng.gamma(2, 1, (k, 25)))
+    s.mean[3], s.present[3], s.var[3] = s.mean[4], s.present[4], s.var[4]
+    t = DEThresholds(q1=0.3, q2=None, cluster_size=2, qdiff=0.1, padj=0.6, lfc=0.2)
+    frame = as_frame(spark, s)
+    want = {(r.a, r.b): r for r in de.de_pairs(frame, de.cluster_pairs(frame), t, method).collect()}
+    rows = de.de_pairs_in_blocks(frame, t, method, block=4).collect()
+    assert len(rows) == len(want) == k * (k - 1) // 2
+    local = {(d["a"], d["b"]): d for d in s.de(list(want), t, method)}
+    for r in rows:
+        w, d = want[r.a, r.b], local[r.a, r.b]
+        assert all(abs(r[c] - w[c]) < 1e-8 and abs(d[c] - w[c]) < 1e-8 for c in ("score", "up_score", "down_score"))
+        assert all(r[c] == w[c] == d[c] for c in ("num", "up_num", "down_num")) and all(list(r[c]) == list(w[c]) == d[c] for c in ("up_genes", "down_genes"))
+    assert sum(r.num for r in rows) > 0
+    assert s.first_genes(t, method, 2) == {r.gene for r in de.marker_genes(de.de_pairs_in_blocks(frame, t, method), 2).collect()}
+    assert de.de_pairs_in_blocks(frame.limit(0), t, method).count() == 0
+
+
 def test_tails_against_integrals():
     x = np.linspace(1.3, 60, 2_000_001)
     density = lambda df: math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
@@ -81,6 +104,7 @@ def test_adjusted_p_values():
     p = np.array([0.01, 0.04, 0.03, 0.005, 0.2])
     assert np.allclose(holm_array(p), [0.04, 0.09, 0.09, 0.025, 0.2])
     assert np.allclose(bh_array(p), [0.025, 0.05, 0.05, 0.025, 0.2])
+    assert np.allclose(holm_rows(np.array([p, p[::-1]])), [holm_array(p), holm_array(p[::-1])])
     assert len(holm_array(p[:0])) == len(bh_array(p[:0])) == 0
 
 
