@@ -333,6 +333,15 @@ def pca_loadings(spark, d):
     return pca.loadings_frame(spark, list(range(len(v))), v)
 
 
+@query()
+def pca_loadings_sparse(spark, d):
+    """The order matrix, by passes over its sparse rows."""
+    x = kept(m1(spark, d))
+    genes = sorted(r.gene for r in x.select("gene").distinct().collect())  # brands
+    v, _, _, _ = pca.sparse_pca(x, x.select("obs_id").distinct().count(), genes, 5)
+    return pca.loadings_frame(spark, genes, v)
+
+
 _W = "w AS (SELECT g.i::INT AS gene, p.k::INT AS pc, (((g.i * 7 + p.k * 3) % 11) - 5) / 10e0 AS w FROM range(64) g(i), range(5) p(k))"
 
 

@@ -130,28 +130,64 @@ def relabel(assign: DataFrame, into: dict) -> DataFrame:
 
 
 def linkage(means: np.ndarray) -> np.ndarray:
-    """Average linkage of the rows: left, right, distance, size a step; new clusters are numbered from len(means)."""
+    """Average linkage of the rows: left, right, distance, size a step; new clusters are numbered from len(means).
+
+    By chains of nearest neighbours: a chain is followed until two are each other's nearest, which are joined whatever else
+    there is; so each step costs a row of distances, the whole the square of their number. Steps are then sorted by distance."""
     n = len(means)
     if n < 2:
         raise ValueError("fewer than two clusters")
-    d = np.sqrt(((means[:, None, :] - means[None, :, :]) ** 2).sum(2))
+    x = means - means.mean(0)
+    if n <= 512:
+        d = np.stack([np.sqrt(((x - row) ** 2).sum(1)) for row in x])
+    else:
+        square = (x * x).sum(1)
+        d = np.sqrt(np.maximum(0, square[:, None] + square[None, :] - 2 * x @ x.T))
     np.fill_diagonal(d, np.inf)
-    ids, size, out = list(range(n)), [1] * n, []
-    for step in range(n - 1):
-        i, j = np.unravel_index(int(np.argmin(d)), d.shape)
-        i, j = min(i, j), max(i, j)
-        a, b = sorted((ids[i], ids[j]))
-        out.append((a, b, d[i, j], size[i] + size[j]))
-        with np.errstate(invalid="ignore"):
-            row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        row[i] = np.inf
-        d[i], d[:, i] = row, row
-        d = np.delete(np.delete(d, j, 0), j, 1)
+    size, live, chain, steps = np.ones(n), np.ones(n, bool), [], []
+    while len(steps) < n - 1:
+        if not chain:
+            chain = [int(live.argmax())]
+        while True:
+            here = chain[-1]
+            near = int(d[here].argmin())
+            if len(chain) > 1 and d[here, chain[-2]] <= d[here, near]:
+                break
+            chain.append(near)
+        i, j = sorted((chain.pop(), chain.pop()))
+        steps.append((d[i, j], i, j))
+        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        row[i] = row[j] = np.inf
+        d[i], d[:, i], d[j], d[:, j] = row, row, np.inf, np.inf
         size[i] += size[j]
-        ids[i] = n + step
-        ids.pop(j)
-        size.pop(j)
-    return np.array(out)
+        live[j] = False
+    up, leaves, out = list(range(2 * n - 1)), [1] * (2 * n - 1), []
+    for step, (far, i, j) in enumerate(sorted(steps, key=lambda s: s[0])):
+        a, b = (_top(up, v) for v in (i, j))
+        up[a] = up[b] = n + step
+        leaves[n + step] = leaves[a] + leaves[b]
+        out.append((*sorted((a, b)), far, leaves[n + step]))
+    return np.array(out, float)
+
+
+def _top(up: list[int], v: int) -> int:
+    """The cluster that v has come to be part of; ways are shortened as they are walked."""
+    while up[v] != v:
+        up[v] = up[up[v]]
+        v = up[v]
+    return v
+
+
+def cut(tree: np.ndarray, height: float) -> list[int]:
+    """The group (0, 1, ... by smallest leaf) of each leaf after all steps of at most this height."""
+    n = len(tree) + 1
+    up = list(range(n + len(tree)))
+    for step, (a, b, far, _) in enumerate(tree):
+        if far <= height:
+            up[int(a)] = up[int(b)] = n + step
+    tops = [_top(up, v) for v in range(n)]
+    first = {t: k for k, t in enumerate(dict.fromkeys(tops))}
+    return [first[t] for t in tops]
 
 
 def hclust(stats: DataFrame) -> DataFrame:

@@ -21,7 +21,9 @@ def variance(m2: Column, n: Column, ddof: int) -> Column:
 
 
 def gene_moments(expr: DataFrame, n_obs: int | Column, *, low: float = 1.0, ddof: int = 1, back: bool = True) -> DataFrame:
-    """gene, n_present (rows with x > low), mean, var; back: moments of exp(x) - 1."""
+    """gene, n_present (rows with x > low), mean, var; back: moments of exp(x) - 1. A null x is a missing entry, as if it were 0; an
+    empty table gives an empty one."""
+    expr = expr.where("x is not null")
     y = F.expm1("x") if back else F.col("x")
     n = (F.lit(n_obs) if isinstance(n_obs, int) else n_obs).cast("double")
     g = expr.groupBy("gene").agg(F.count("*").alias("k"), F.avg(y).alias("m"), F.var_pop(y).alias("v"), F.sum((F.col("x") > low).cast("long")).alias("n_present"))
@@ -40,8 +42,10 @@ def cluster_sizes(assign: DataFrame) -> DataFrame:
 def cluster_stats(expr: DataFrame, assign: DataFrame, genes: DataFrame | None = None, *, low: float = 1.0) -> DataFrame:
     """cluster, gene, n, mean, present (share of x > low), var (sample variance; 0 for one row), for all clusters x genes.
 
-    The grid of clusters and genes is small; observations are aggregated before they meet it. low must not be negative.
+    The grid of clusters and genes is small; observations are aggregated before they meet it. low must not be negative. A null x
+    is a missing entry, as if it were 0; rows without a cluster count nowhere; a null cluster is left out.
     """
+    expr, assign = expr.where("x is not null"), assign.where("cluster is not null")
     genes = (expr if genes is None else genes).select("gene").distinct()
     sizes = cluster_sizes(assign)
     found = expr.join(assign, "obs_id").groupBy("cluster", "gene").agg(F.count("*").alias("k"), F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.sum((F.col("x") > low).cast("long")).alias("above"))
@@ -58,8 +62,3 @@ def merge_stats(stats: DataFrame, mapping: DataFrame) -> DataFrame:
     square = F.sum((F.col("n") - 1) * F.col("var") + F.col("n") * F.col("mean") * F.col("mean"))
     g = s.groupBy("cluster", "gene").agg(n.alias("n"), mean.alias("mean"), (F.sum(F.col("n") * F.col("present")) / n).alias("present"), square.alias("sq"))
     return g.select("cluster", "gene", "n", "mean", "present", F.greatest(F.lit(0e0), variance(F.col("sq") - F.col("n") * F.col("mean") * F.col("mean"), F.col("n"), 1)).alias("var"))
-
-
-def suggest_partitions(rows: int, columns: int, target_mb: int = 128, bytes_each: int = 8) -> int:
-    """Partitions of about target_mb for a dense block of rows x columns."""
-    return max(1, -(-rows * columns * bytes_each // (target_mb << 20)))

@@ -8,7 +8,12 @@ from pyspark.sql.window import Window
 
 
 def normalize(counts: DataFrame, target_sum: float | None = 1e6) -> DataFrame:
-    """counts: obs_id, gene, count. A row of zeros stays zero. target_sum None: the median of the positive row totals."""
+    """counts: obs_id, gene, count. A row of zeros stays zero. target_sum None: the median of the positive row totals.
+
+    A null count is a missing entry and goes; a null obs_id is one row of the matrix; repeated entries of a row and gene stay apart, each with its
+    own share of the total. An empty table gives an empty one; other columns are left out.
+    """
+    counts = counts.where("count is not null")
     total = F.sum("count").over(Window.partitionBy("obs_id"))
     rows = counts.withColumn("total", total)
     if target_sum is None:

@@ -8,6 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from obsmat.sources import matrix
+from obsmat.sources.scratch import kept
+
+def added_rows(parts: DataFrame) -> np.ndarray:
+    """The sum of matrices that tasks give row by row (i, row), in the order of i; one matrix row is added in one place."""
+
+    def add(batches):
+        held: dict = {}
+        for b in batches:
+            for i, row in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), strict=True):
+                held[i] = held[i] + row if i in held else np.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["i", "row"])
+
+    out = parts.repartition("i").mapInArrow(add, "i int, row array<double>").toPandas().sort_values("i")
+    return np.stack(out.row.to_list()) if len(out) else np.zeros((0, 0))
+
 
 def gramian(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """(rows, column sums, X'X) of the features. Each task adds up its rows; the partial rows of the matrix are then added
@@ -24,17 +40,9 @@ def gramian(vectors: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
 
-    def add(batches):
-        held: dict = {}
-        for b in batches:
-            for i, row in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), strict=True):
-                held[i] = held[i] + row if i in held else np.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["i", "row"])
-
-    out = vectors.select("features").mapInArrow(part, "i int, row array<double>").repartition("i").mapInArrow(add, "i int, row array<double>").toPandas().sort_values("i")
-    if not len(out):
+    g = added_rows(vectors.select("features").mapInArrow(part, "i int, row array<double>"))
+    if not len(g):
         raise ValueError("no rows")
-    g = np.stack(out.row.to_list())
     return int(round(g[0, 0])), g[0, 1:], g[1:, 1:]
 
 
@@ -56,6 +64,54 @@ def components(n: int, sums: np.ndarray, xx: np.ndarray, n_comps: int | None = N
     return vector, value[:n_comps], value[:n_comps] / value.sum(), mean
 
 
+def sparse_pca(expr: DataFrame, n_obs: int, genes: list, n_comps: int = 50, *, spare: int = 10, rounds: int = 30, tolerance: float = 1e-7, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As pca, of n_obs rows of which expr (obs_id, gene, x) holds the non-zeros: for many genes, without a genes x genes matrix.
+
+    A random range of n_comps + spare directions is multiplied again and again by the covariance, which takes one pass over
+    the rows, until the variances along it change by less than the tolerance, or for `rounds` passes. Rows stay sparse between
+    passes; a task holds a slab of them and genes x directions. The driver holds genes x directions. Values of one row and gene add up.
+    """
+    rows = matrix.sparse_rows(expr, genes).transform(kept)
+    spark, width = expr.sparkSession, len(genes)
+    most = max(1, min(n_obs, width) - 1)
+    n_comps = min(n_comps, most)
+    wide = min(n_comps + spare, min(n_obs, width))
+    one = rows.select(F.explode(F.arrays_zip("at", "x")).alias("e")).groupBy("e.at").agg(F.sum("e.x").alias("s"), F.sum(F.col("e.x") * F.col("e.x")).alias("ss")).toPandas()  # a row for each gene
+    mean, square = np.zeros(width), np.zeros(width)
+    mean[one["at"].to_numpy(int)] = one["s"].to_numpy() / n_obs
+    square[one["at"].to_numpy(int)] = one["ss"].to_numpy()
+    total = float((square - n_obs * mean * mean).sum() / max(1, n_obs - 1))
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, wide)))[0]
+    before = np.zeros(n_comps)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(q)
+
+        def part(batches):
+            basis = shared.value  # noqa: B023
+            shift, total_, step = mean @ basis, np.zeros_like(basis), max(1, (1 << 23) // max(1, width))
+            for b in batches:
+                ends = b.column(0).offsets.to_numpy()
+                at, x = b.column(0).values.to_numpy(), b.column(1).values.to_numpy()
+                for i in range(0, b.num_rows, step):
+                    slab = ends[i : i + step + 1] if i + step < len(ends) else ends[i:]
+                    dense = np.zeros((len(slab) - 1, width))
+                    np.add.at(dense, (np.repeat(np.arange(len(slab) - 1), np.diff(slab)), at[slab[0] : slab[-1]]), x[slab[0] : slab[-1]])
+                    total_ += dense.T @ (dense @ basis - shift)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(list(total_), pa.list_(pa.float64()))], ["i", "row"])
+
+        z = added_rows(rows.select("at", "x").mapInArrow(part, "i int, row array<double>")) / max(1, n_obs - 1)
+        shared.unpersist()
+        value, turn = np.linalg.eigh((q.T @ z + z.T @ q) / 2)
+        order = np.argsort(value)[::-1]
+        value, vector = value[order], q @ turn[:, order]
+        if np.abs(value[:n_comps] - before).max() <= tolerance * max(value[0], 1e-300):
+            break
+        before, q = value[:n_comps], np.linalg.qr(z)[0]
+    value, vector = np.clip(value[:n_comps], 0, None), vector[:, :n_comps]
+    vector = vector * np.sign(vector[np.abs(vector).argmax(0), np.arange(n_comps)])
+    return vector, value, value / total if total > 0 else value, mean
+
+
 def loadings_frame(spark, genes: list, loadings: np.ndarray) -> DataFrame:
     kind = "string" if isinstance(genes[0], str) else "long"
     return spark.createDataFrame([(g, k, float(v)) for g, row in zip(genes, loadings, strict=True) for k, v in enumerate(row)], f"gene {kind}, pc int, w double")

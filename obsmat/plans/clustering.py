@@ -16,7 +16,7 @@ from obsmat.operators import community, hvg, merging, moments, pca
 from obsmat.operators.de import DEThresholds, Stats, de_pairs_in_blocks, marker_genes
 from obsmat.plans import local
 from obsmat.sources.scratch import kept, written
-from obsmat.sources.matrix import row_form, sample_key, select_genes
+from obsmat.sources.matrix import row_form, sample_key, select_cells, select_genes
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,7 @@ class OneStep:
     max_genes: int = 3000
     n_comps: int | None = None
     pca_cells: int | None = None
+    pc_solver: str = "gram"
     pc_method: str | None = "zscore"
     pc_z: float = 2.0
     max_pcs: int | None = 20
@@ -81,7 +82,8 @@ def merge_clusters(expr: DataFrame, reduced: DataFrame, assign: DataFrame, o: On
 def onestep(expr: DataFrame, obs: DataFrame, o: OneStep, *, known: DataFrame | None = None, latent: DataFrame | None = None) -> tuple[DataFrame, set]:
     """(obs_id, cluster) and the marker genes. expr: normalised; latent: obs_id, features, instead of genes and components.
 
-    pca_cells: components are those of a seeded sample of that many rows (all, if None); all rows are projected.
+    pca_cells: components are those of a seeded sample of that many rows (all, if None); all rows are projected. pc_solver: gram
+    (exact, a genes x genes matrix on the driver) or subspace (for many genes).
     """
     if latent is None:
         n = obs.count()
@@ -93,7 +95,12 @@ def onestep(expr: DataFrame, obs: DataFrame, o: OneStep, *, known: DataFrame | N
         rows = obs.select("obs_id").join(row_form(select_genes(expr, chosen), genes), "obs_id", "left")
         rows = rows.select("obs_id", F.coalesce("features", F.array_repeat(F.lit(0e0), len(genes))).alias("features")).transform(kept)
         seen = rows if o.pca_cells is None else rows.orderBy(F.xxhash64(F.lit(o.seed or 0), "obs_id"), "obs_id").limit(o.pca_cells)
-        loadings, ev, evr, mean = pca.pca(seen, o.n_comps)
+        if o.pc_solver == "subspace":
+            values = select_genes(expr, chosen)
+            values = values if o.pca_cells is None else select_cells(values, seen)
+            loadings, ev, evr, mean = pca.sparse_pca(values, n if o.pca_cells is None else seen.count(), genes, 50 if o.n_comps is None else o.n_comps, seed=o.seed or 0)
+        else:
+            loadings, ev, evr, mean = pca.pca(seen, o.n_comps)
         keep = kept_components(ev, evr, o)
         if not keep:
             return none

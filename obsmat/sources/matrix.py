@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,17 +37,31 @@ def long_form(vectors: DataFrame, *keep: str) -> DataFrame:
     return vectors.select("obs_id", *keep, F.posexplode("features").alias("gene", "x"))
 
 
+def sparse_rows(expr: DataFrame, genes: list, most: int = 200_000) -> DataFrame:
+    """obs_id, at (places in genes), x: a row's values over the given genes, in order. The gene table is broadcast, its size checked."""
+    if len(genes) > most:
+        raise ValueError(f"more than {most} genes")
+    table = expr.sparkSession.createDataFrame([(g, i) for i, g in enumerate(genes)], f"gene {expr.schema['gene'].dataType.simpleString()}, at int")
+    found = expr.join(F.broadcast(table), "gene").where("x is not null")
+    rows = found.groupBy("obs_id").agg(F.sort_array(F.collect_list(F.struct("at", F.col("x").cast("double").alias("x")))).alias("s"))  # a row holds its genes at most
+    return rows.select("obs_id", F.col("s.at").alias("at"), F.col("s.x").alias("x"))
+
+
 def row_form(expr: DataFrame, genes: list) -> DataFrame:
-    """obs_id, features in the order of genes; absent elements are 0. For a bounded number of genes."""
-    at = F.create_map(*[v for i, g in enumerate(genes) for v in (F.lit(g), F.lit(i))])
-    pairs = expr.where(F.col("gene").isin(genes)).groupBy("obs_id").agg(F.map_from_entries(F.collect_list(F.struct(at[F.col("gene")].alias("i"), F.col("x").cast("double").alias("x")))).alias("m"))
-    return pairs.select("obs_id", F.transform(F.sequence(F.lit(0), F.lit(len(genes) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0e0))).alias("features"))
+    """obs_id, features in the order of genes; absent and null elements are 0, repeated ones add up. For a bounded number of genes."""
+    kind, width = expr.schema["obs_id"].dataType.simpleString(), len(genes)
 
+    def dense(batches):
+        step = max(1, (1 << 22) // max(1, width))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy())
+                out = np.zeros((b.num_rows, width))
+                np.add.at(out, (row, b.column(1).flatten().to_numpy()), b.column(2).flatten().to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * width, pa.int32()), pa.array(out.ravel()))], ["obs_id", "features"])
 
-def densify(expr: DataFrame, obs: DataFrame, genes: DataFrame) -> DataFrame:
-    """All elements of obs x genes with zeros filled in; genes is a small table."""
-    grid = obs.crossJoin(F.broadcast(genes))
-    return grid.join(expr, ["obs_id", "gene"], "left").fillna(0e0, ["x"])
+    return sparse_rows(expr, genes).mapInArrow(dense, f"obs_id {kind}, features array<double>")
 
 
 def select_genes(expr: DataFrame, genes: DataFrame) -> DataFrame:
@@ -102,6 +119,11 @@ def write_assignments(assign: DataFrame, path: str, kind: str = "csv") -> None:
         assign.groupBy("cluster").agg(F.sort_array(F.collect_list("obs_id")).alias("members")).write.mode("overwrite").json(path)
 
 
+def write_markers(spark: SparkSession, markers: set, path: str) -> None:
+    """A CSV of one column, marker, in order."""
+    spark.createDataFrame([(str(m),) for m in sorted(markers, key=str)], "marker string").coalesce(1).sortWithinPartitions("marker").write.mode("overwrite").csv(path, header=True)
+
+
 def read_known_modes(spark: SparkSession, path: str, obs: DataFrame, key: str = "obs_id") -> DataFrame:
     """Modes by observation from a CSV with a header, aligned to obs; missing ones are null."""
     return obs.select("obs_id").join(spark.read.csv(path, header=True, inferSchema=True).withColumnRenamed(key, "obs_id"), "obs_id", "left")

@@ -7,8 +7,9 @@ import pytest
 
 from obsmat.functions import special as sp
 from obsmat.functions.multitest import bh_array, holm_array, holm_rows
-from obsmat.operators import de, hvg, merging
+from obsmat.operators import de, hvg, merging, pca
 from obsmat.operators.de import DEThresholds, Stats
+from obsmat.sources import matrix
 
 VARIANCES = np.array([20, 25, 10, 15, 25, 30, 110, 30, 15, 20, 20, 25, 30, 15, 25, 20, 20, 25, 15, 10], float)
 MEANS = np.array([100, 150, 100, 90, 110, 50, 75, 125, 130, 140, 70, 150, 60, 50, 110, 100, 90, 120, 80, 100], float)
@@ -174,3 +175,53 @@ def test_markers_of_five_clusters(spark):
     t = DEThresholds(q1=0.5, q2=None, cluster_size=3, qdiff=0.7, padj=0.01, lfc=1.0, score=150)
     found = de.marker_genes(de.de_pairs(frame, de.cluster_pairs(frame.select("cluster").distinct()), t), 6)
     assert {r.gene for r in found.collect()} == {"Gene_0", "Gene_1", "Gene_3", "Gene_4"}
+
+
+def by_steps(means):
+    """Average linkage by searching all pairs at each step."""
+    groups, out = {i: [i] for i in range(len(means))}, []
+    dist = lambda a, b: np.mean([np.linalg.norm(means[i] - means[j]) for i in groups[a] for j in groups[b]])
+    for step in range(len(means) - 1):
+        far, a, b = min((dist(a, b), a, b) for a in groups for b in groups if a < b)
+        groups[len(means) + step] = groups.pop(a) + groups.pop(b)
+        out.append((a, b, far, len(groups[len(means) + step])))
+    return np.array(out)
+
+
+def test_linkage_by_chains_is_that_of_all_pairs():
+    for seed in range(4):
+        means = np.random.default_rng(seed).normal(size=(24, 5))
+        assert np.allclose(merging.linkage(means), by_steps(means), atol=1e-9)
+    tree = merging.linkage(np.array([[0.0], [1.0], [10.0], [11.5], [30.0]]))
+    assert merging.cut(tree, 2) == [0, 0, 1, 1, 2] and merging.cut(tree, 0.5) == [0, 1, 2, 3, 4] and merging.cut(tree, 99) == [0] * 5
+    big = np.random.default_rng(9).normal(size=(1500, 12))
+    tree = merging.linkage(big)
+    assert tree[-1, 3] == 1500 and (np.diff(tree[:, 2]) >= 0).all()
+
+
+def test_many_genes_without_their_square(spark):
+    """Against the eigenvectors of all genes, on few; and planted directions among thirty thousand genes."""
+    rng = np.random.default_rng(1)
+    low = rng.normal(size=(150, 6)) * [9, 7, 5, 4, 3, 2] @ rng.normal(size=(6, 40))
+    x = np.maximum(0, low + rng.normal(0, 0.3, low.shape))
+    rows = [(i, f"g{j:02d}", float(v)) for i, row in enumerate(x) for j, v in enumerate(row) if v > 0]
+    expr = spark.createDataFrame(rows, "obs_id long, gene string, x double").repartition(4)
+    w, ev, evr, mean = pca.sparse_pca(expr, 152, [f"g{j:02d}" for j in range(40)], 6)
+    full = np.vstack([x, np.zeros((2, 40))])
+    value, vector = np.linalg.eigh(np.cov(full.T))
+    assert np.allclose(mean, full.mean(0)) and np.allclose(ev, value[::-1][:6], rtol=1e-5) and np.allclose(evr, value[::-1][:6] / value.sum(), rtol=1e-5)
+    assert (np.abs((w * vector[:, ::-1][:, :6]).sum(0)) > 1 - 1e-4).all()
+    assert all(w[np.abs(w[:, k]).argmax(), k] > 0 for k in range(6))
+    n, genes = 120, 30_000
+    sign = rng.choice([-1.0, 1.0], (n, 2))
+    at = [(i, 100 * k + j, float(5.0 + (3 - k) * sign[i, k])) for i in range(n) for k in range(2) for j in range(50)] + [(int(i), int(j), 1.0) for i, j in zip(rng.integers(0, n, 2000), rng.integers(1000, genes, 2000), strict=True)]
+    wide = spark.createDataFrame(at, "obs_id long, gene int, x double")
+    w, ev, _, _ = pca.sparse_pca(wide, n, list(range(genes)), 2, spare=4)
+    assert np.square(w[:50, 0]).sum() > 0.95 and np.square(w[100:150, 1]).sum() > 0.95 and ev[0] > ev[1]
+
+
+def test_row_form_adds_up_and_fills(spark):
+    expr = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (1, "z", 9.0), (2, "b", None), (2, "c", 4.0)], "obs_id long, gene string, x double")
+    got = {r.obs_id: list(r.features) for r in matrix.row_form(expr, ["b", "a", "c"]).collect()}
+    assert got == {1: [0.0, 3.0, 0.0], 2: [0.0, 0.0, 4.0]}
+    assert matrix.row_form(expr.limit(0), ["a"]).count() == 0
