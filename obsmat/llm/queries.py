@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from obsmat.llm.common import read
 from obsmat.llm.host_reputation import SECOND_LABELS, SHARED_DOMAINS
 
@@ -28,6 +30,14 @@ def op3_quality_rules(spark, sf_dir):
     return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_rules_low_limits(spark, sf_dir):
+    """The rules with limits that small tables reach: lines in over two documents of a host, and over 2 % of them, go."""
+    from obsmat.llm.line_quality import quality
+
+    q = quality(read(spark, sf_dir, "documents"), max_docs=2, max_percent=2)
+    return q.select("doc_id", "n_words", "base_failed", F.round("lost", 9).alias("lost"), "kept")
+
+
 def op7_url_filters(spark, sf_dir):
     from obsmat.llm.host_reputation import judge
 
@@ -113,7 +123,7 @@ dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 texts AS (SELECT r, host, [y FOR y IN [lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) FOR x IN string_split(t, chr(10))] IF y <> ''] AS ls FROM d),
 normal AS (SELECT r, host, md5(array_to_string(ls, chr(10))) AS whole, unnest(ls) AS line FROM texts),
 hosts AS (SELECT host, count(DISTINCT whole) AS all_docs FROM normal GROUP BY host),
-common AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT whole) AS n FROM normal GROUP BY host, line) JOIN hosts USING (host) WHERE n > 30 AND 100 * n > 5 * all_docs),
+common AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT whole) AS n FROM normal GROUP BY host, line) JOIN hosts USING (host) WHERE n > {max_docs} AND 100 * n > {max_percent} * all_docs),
 lost AS (SELECT r, sum(CASE WHEN c.line IS NOT NULL THEN n ELSE 0 END)::DOUBLE / sum(n) AS share FROM
   (SELECT r, host, line, len(string_split(line, ' ')) AS n FROM normal) x LEFT JOIN common c USING (host, line) GROUP BY r),
 base AS (SELECT w.doc_id, w.r, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
@@ -124,6 +134,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 FROM base LEFT JOIN lost USING (r)
 """
 
+
+
+def _op3_sql(max_docs: int = 30, max_percent: int = 5) -> str:
+    return _OP3_SQL.replace("{max_docs}", str(max_docs)).replace("{max_percent}", str(max_percent))
+
+
+_LOW_LIMITS_SQL = _op3_sql(2, 2).replace("kept\nFROM base", "kept, round(coalesce(share, 0), 9) + 0e0 AS lost\nFROM base")
+
 _STRENGTH = """CASE WHEN n = 0 THEN 2e0 WHEN k > 1 AND bad > 0 AND bad < n AND n - nn / n - (k - 1) > 0 AND (bb - bad * (bad / n::DOUBLE)) / ((bad / n::DOUBLE) * (1 - bad / n::DOUBLE)) - (k - 1) > 0
   THEN greatest(2e0, least(200e0, (n - nn / n - (k - 1)) / ((bb - bad * (bad / n::DOUBLE)) / ((bad / n::DOUBLE) * (1 - bad / n::DOUBLE)) - (k - 1)) - 1)) ELSE 200e0 END"""
 _SUMS = """sum(n) AS n, sum(bad) AS bad, count(*) FILTER (n > 0) AS k, sum(n::DOUBLE * n) AS nn, sum(CASE WHEN n > 0 THEN bad::DOUBLE * bad / n ELSE 0e0 END) AS bb"""
@@ -225,8 +243,8 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_fingerprints, op3_quality_rules, op4_mixing, op5_lm_scoring, op6_chat_formatting, op7_url_filters, op8_simhash_near_dedup, op9_packing, op10_suffix_array_dedup, op11_vector_codes, op12_conversation_repair, op13_byte_pairs, pipeline)}
+    return {f.__name__: f for f in (op1_license_scan, op2_fingerprints, op3_quality_rules, quality_rules_low_limits, op4_mixing, op5_lm_scoring, op6_chat_formatting, op7_url_filters, op8_simhash_near_dedup, op9_packing, op10_suffix_array_dedup, op11_vector_codes, op12_conversation_repair, op13_byte_pairs, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": _OP3_SQL, "op7_url_filters": _OP7_SQL, "op11_vector_codes": _OP11_SQL, "op12_conversation_repair": _OP12_SQL}
+    return {"op3_quality_rules": _op3_sql(), "quality_rules_low_limits": f"SELECT doc_id, n_words, base_failed, lost, kept FROM ({_LOW_LIMITS_SQL})", "op7_url_filters": _OP7_SQL, "op11_vector_codes": _OP11_SQL, "op12_conversation_repair": _OP12_SQL}
