@@ -110,7 +110,7 @@ def latent_project(spark, d):
 def known_modes_left_join(spark, d):
     c = matrix.read(spark, d, "customer")
     modes = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("obs_id"), F.col("c_acctbal").alias("mode"))
-    return c.select(F.col("c_custkey").alias("obs_id")).join(modes, "obs_id", "left")
+    return matrix.aligned_modes(c.select(F.col("c_custkey").alias("obs_id")), modes)
 
 
 @query("SELECT p_partkey AS pos, CASE WHEN n = 0 THEN p_brand ELSE p_brand || '-' || n END AS gene FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part)")
@@ -164,23 +164,18 @@ def small_clusters(spark, d):
 
 @query("SELECT c_nationkey AS cluster, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS members FROM customer GROUP BY 1")
 def cluster_members(spark, d):
-    c = matrix.read(spark, d, "customer").groupBy(F.col("c_nationkey").alias("cluster"))
-    return c.agg(F.array_join(F.sort_array(F.collect_list("c_custkey")).cast("array<string>"), ",").alias("members"))
+    assign = matrix.read(spark, d, "customer").select(F.col("c_custkey").alias("obs_id"), F.col("c_nationkey").alias("cluster"))
+    return moments.cluster_members(assign).select("cluster", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
 @query("SELECT c_custkey AS obs_id, (c_mktsegment = 'AUTOMOBILE') AS automobile, (c_mktsegment = 'BUILDING') AS building, (c_mktsegment = 'FURNITURE') AS furniture, (c_mktsegment = 'HOUSEHOLD') AS household, (c_mktsegment = 'MACHINERY') AS machinery FROM customer")
 def one_hot_clusters(spark, d):
-    seg = matrix.customer_segments(spark, d)
-    return seg.select("obs_id", *[(F.col("cluster") == c).alias(c.lower()) for c in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")])
+    return moments.one_hot(matrix.customer_segments(spark, d))
 
 
 @query("SELECT c_custkey AS obs_id, dense_rank() OVER (ORDER BY c_mktsegment)::INT AS cluster_id FROM customer")
 def cluster_dict_ids(spark, d):
-    from pyspark.sql.window import Window
-
-    seg = matrix.customer_segments(spark, d)
-    ids = seg.select("cluster").distinct().withColumn("cluster_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("cluster")))  # a row for each cluster
-    return seg.join(F.broadcast(ids), "cluster").select("obs_id", "cluster_id")
+    return moments.cluster_ids(matrix.customer_segments(spark, d))
 
 
 @query(f"WITH {_STATS} SELECT gene, n, {_r('mean')} AS mean, {_r('var')} AS var FROM (SELECT gene, count(*) AS n, avg(x) AS mean, var_samp(x) AS var FROM dense WHERE cluster IN ('BUILDING', 'MACHINERY') GROUP BY gene)")
@@ -428,9 +423,7 @@ def most_similar_pair(spark, d):
 
 @query(f"WITH {_CENTRE} SELECT a.cluster AS a, b.cluster AS b, {_r('sqrt(sum(pow(a.mean - b.mean, 2)))')} AS dist FROM centre a JOIN centre b ON a.gene = b.gene AND a.cluster < b.cluster GROUP BY 1, 2")
 def pairwise_centroid_distance(spark, d):
-    c = m2_centres(spark, d)
-    a, b = c.select(F.col("cluster").alias("a"), "gene", F.col("mean").alias("x")), c.select(F.col("cluster").alias("b"), "gene", F.col("mean").alias("y"))
-    return a.join(b, "gene").where("a < b").groupBy("a", "b").agg(rounded(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))))).alias("dist"))
+    return merging.centroid_distances(m2_centres(spark, d)).select("a", "b", rounded(F.col("dist")).alias("dist"))
 
 
 @query()

@@ -48,7 +48,7 @@ def cluster_pairs(clusters: DataFrame) -> DataFrame:
 def pair_frame(stats: DataFrame, pairs: DataFrame) -> DataFrame:
     """A row for each pair and gene: a, b, gene, and n, mean, present, var of both, lfc, q1, q2, qdiff."""
     side = lambda s: stats.select(F.col("cluster").alias(s), "gene", *[F.col(c).alias(f"{c}_{s}") for c in ("n", "mean", "present", "var")])
-    both = side("a").join(F.broadcast(pairs), "a").join(side("b"), ["b", "gene"])
+    both = side("a").join(pairs, "a").join(side("b"), ["b", "gene"])
     return both.withColumns({"lfc": F.col("mean_a") - F.col("mean_b"), "q1": F.col("present_a"), "q2": F.col("present_b"), "qdiff": qdiff(F.col("present_a"), F.col("present_b"))})
 
 

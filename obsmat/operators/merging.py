@@ -25,10 +25,19 @@ def similarity(means: DataFrame) -> DataFrame:
 def normalized_distance(both: DataFrame) -> DataFrame:
     """1 - distance / largest distance over the whole block of src x dst."""
     d = both.groupBy("src", "dst").agg(F.sqrt(F.sum((F.col("x") - F.col("y")) * (F.col("x") - F.col("y")))).alias("d"))
-    top = F.max("d").over(Window.partitionBy(F.lit(0)))
+    top = F.col("_top")
+    d = d.crossJoin(F.broadcast(d.agg(F.max("d").alias("_top"))))  # one row
     return d.select("src", "dst", F.when(top > 0, 1 - F.col("d") / F.when(top > 0, top)).otherwise(1e0).alias("sim"))
 
 
+def centroid_distances(means: DataFrame) -> DataFrame:
+    """means: cluster, gene, mean for all clusters x genes. a, b, dist (euclidean) of each pair a < b; null means are an error of the
+    caller, an empty table gives an empty one."""
+    a, b = means.select(F.col("cluster").alias("a"), "gene", F.col("mean").alias("x")), means.select(F.col("cluster").alias("b"), "gene", F.col("mean").alias("y"))
+    gap = F.col("x") - F.col("y")
+    return a.join(b, "gene").where("a < b").groupBy("a", "b").agg(F.sqrt(F.sum(gap * gap)).alias("dist"))
+
+
 def most_similar(sim: DataFrame) -> DataFrame:
     return sim.where("sim is not null").orderBy(F.desc("sim"), "src", "dst").limit(1)
 
@@ -126,7 +135,7 @@ def pair_markers(stats: Stats, o) -> set:
 def relabel(assign: DataFrame, into: dict) -> DataFrame:
     kind = dict(assign.dtypes)["cluster"]
     m = assign.sparkSession.createDataFrame([(k, v) for k, v in into.items()] or [], f"cluster {kind}, _into {kind}")
-    return assign.join(F.broadcast(m), "cluster", "left").select("obs_id", F.coalesce("_into", "cluster").alias("cluster"))
+    return assign.join(m, "cluster", "left").select("obs_id", F.coalesce("_into", "cluster").alias("cluster"))
 
 
 def linkage(means: np.ndarray) -> np.ndarray:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsmat.sources.scratch import numbered
+
 
 def complete(k: Column, m: Column, v: Column, n: Column) -> tuple[Column, Column]:
     """(mean, M2) over n rows of which k have entries."""
@@ -39,6 +41,27 @@ def cluster_sizes(assign: DataFrame) -> DataFrame:
     return assign.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+def cluster_ids(assign: DataFrame, name: str = "cluster_id") -> DataFrame:
+    """obs_id and the number (int, from 1) of its cluster in the clusters' order. Rows without a cluster have no number."""
+    ids = numbered(assign.select("cluster").where("cluster is not null").distinct(), "cluster").select("cluster", (F.col("_n") + 1).cast("int").alias(name))
+    return assign.join(ids, "cluster", "left").select("obs_id", name)
+
+
+def cluster_members(assign: DataFrame) -> DataFrame:
+    """cluster, members (its obs_ids, sorted): one row a cluster, as long as the cluster is large. Null ids are left out; rows
+    without a cluster are one row."""
+    return assign.groupBy("cluster").agg(F.sort_array(F.collect_list("obs_id")).alias("members"))
+
+
+def one_hot(assign: DataFrame, most: int = 1000) -> DataFrame:
+    """obs_id and a boolean column for each cluster, named as it is in lower case; false in all for rows without a cluster. Clusters become columns,
+    so their number is checked."""
+    names = [r.cluster for r in assign.select("cluster").where("cluster is not null").distinct().orderBy("cluster").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} clusters")
+    return assign.select("obs_id", *[F.coalesce(F.col("cluster") == c, F.lit(False)).alias(str(c).lower()) for c in names])
+
+
 def cluster_stats(expr: DataFrame, assign: DataFrame, genes: DataFrame | None = None, *, low: float = 1.0) -> DataFrame:
     """cluster, gene, n, mean, present (share of x > low), var (sample variance; 0 for one row), for all clusters x genes.
 
@@ -56,7 +79,7 @@ def cluster_stats(expr: DataFrame, assign: DataFrame, genes: DataFrame | None =
 
 def merge_stats(stats: DataFrame, mapping: DataFrame) -> DataFrame:
     """Statistics of merged clusters from those of their parts (exact, by sums of squares). mapping: cluster, into."""
-    s = stats.join(F.broadcast(mapping), "cluster", "left").withColumn("cluster", F.coalesce("into", "cluster")).drop("into")
+    s = stats.join(mapping, "cluster", "left").withColumn("cluster", F.coalesce("into", "cluster")).drop("into")
     n = F.sum("n")
     mean = F.sum(F.col("n") * F.col("mean")) / n
     square = F.sum((F.col("n") - 1) * F.col("var") + F.col("n") * F.col("mean") * F.col("mean"))

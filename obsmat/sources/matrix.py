@@ -126,4 +126,9 @@ def write_markers(spark: SparkSession, markers: set, path: str) -> None:
 
 def read_known_modes(spark: SparkSession, path: str, obs: DataFrame, key: str = "obs_id") -> DataFrame:
     """Modes by observation from a CSV with a header, aligned to obs; missing ones are null."""
-    return obs.select("obs_id").join(spark.read.csv(path, header=True, inferSchema=True).withColumnRenamed(key, "obs_id"), "obs_id", "left")
+    return aligned_modes(obs, spark.read.csv(path, header=True, inferSchema=True).withColumnRenamed(key, "obs_id"))
+
+
+def aligned_modes(obs: DataFrame, modes: DataFrame) -> DataFrame:
+    """obs_id of each row of obs with the columns of modes (obs_id, ...), null where modes has no such row."""
+    return obs.select("obs_id").join(modes, "obs_id", "left")

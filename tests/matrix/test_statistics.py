@@ -7,7 +7,7 @@ import pytest
 
 from obsmat.functions import special as sp
 from obsmat.functions.multitest import bh_array, holm_array, holm_rows
-from obsmat.operators import de, hvg, merging, pca
+from obsmat.operators import de, hvg, merging, moments, pca
 from obsmat.operators.de import DEThresholds, Stats
 from obsmat.sources import matrix
 
@@ -225,3 +225,18 @@ def test_row_form_adds_up_and_fills(spark):
     got = {r.obs_id: list(r.features) for r in matrix.row_form(expr, ["b", "a", "c"]).collect()}
     assert got == {1: [0.0, 3.0, 0.0], 2: [0.0, 0.0, 4.0]}
     assert matrix.row_form(expr.limit(0), ["a"]).count() == 0
+
+
+def test_clusters_as_numbers_columns_and_lists(spark):
+    rows = [(1, "B"), (2, "A"), (3, None), (4, "B"), (None, "A"), (4, "B")]
+    assign = spark.createDataFrame(rows, "obs_id long, cluster string")
+    key = lambda r: str(tuple(r))
+    assert sorted(map(tuple, moments.cluster_ids(assign).collect()), key=str) == sorted([(1, 2), (2, 1), (3, None), (4, 2), (None, 1), (4, 2)], key=str)
+    assert {r.cluster: list(r.members) for r in moments.cluster_members(assign).collect()} == {"A": [2], "B": [1, 4, 4], None: [3]}
+    hot = moments.one_hot(assign)
+    assert hot.columns == ["obs_id", "a", "b"] and [tuple(r) for r in sorted(hot.collect(), key=key)][:2] == [(1, False, True), (2, True, False)]
+    assert moments.one_hot(assign.limit(0)).columns == ["obs_id"] and moments.cluster_ids(assign.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        moments.one_hot(assign, most=1)
+    means = spark.createDataFrame([("A", "g", 0.0), ("A", "h", 0.0), ("B", "g", 3.0), ("B", "h", 4.0)], "cluster string, gene string, mean double")
+    assert [tuple(r) for r in merging.centroid_distances(means).collect()] == [("A", "B", 5.0)]
