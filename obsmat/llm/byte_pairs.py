@@ -11,6 +11,7 @@ So a word costs time in proportion to its length, however long it is, and ids ar
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,7 @@ class Vocabulary:
         self.pairs: dict[int, bool] = {}
         self.automaton = SuffixAutomaton([(b, i) for b, i in self.id_of.items() if whole.get(i)])
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._own = None
         self.path = path
         self._splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -154,27 +156,32 @@ class Vocabulary:
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
-        automaton = self.automaton
+        automaton, pairs = self.automaton, self.pairs
         ways, link, ends, shorter, length = automaton.next, automaton.link, automaton.ends, automaton.shorter, automaton.length
-        last, state, matched, compatible = [-1], 0, 0, self.compatible
-        for at, byte in enumerate(word, 1):
-            while byte not in ways[state]:
+        last, sizes, state, matched, at = [-1], [0], 0, 0, 0
+        for byte in word:
+            at += 1
+            while (to := ways[state].get(byte)) is None:
                 state = link[state]
                 matched = length[state]
-            state = ways[state][byte]
+            state = to
             matched += 1  # bytes before here that some token holds; the state's longest string may be longer
             s = state if ends[state] >= 0 and length[state] == matched else shorter[state]
             while True:
-                token = ends[s]
-                before = at - length[s]
-                if before == 0 or compatible(last[before], token):
+                token, size = ends[s], length[s]
+                if size == at:
+                    break
+                before = last[at - size]
+                fits = pairs.get(before << 20 | token)
+                if fits or (fits is None and self.compatible(before, token)):
                     break
                 s = shorter[s]
             last.append(token)
-        out, at = [], len(word)
+            sizes.append(size)
+        out = []
         while at:
             out.append(last[at])
-            at -= len(self.bytes_of[last[at]])
+            at -= sizes[at]
         return out[::-1]
 
     def _cut(self, text: str) -> list[str]:
@@ -187,19 +194,23 @@ class Vocabulary:
         return [text[a:b] for _, (a, b) in self._own.pre_tokenize_str(text)]
 
     def _word_ids(self, word: str) -> bytes:
-        ids = np.array(self.encode_word(word.encode()), "<i4").tobytes()
+        """A word's ids. Remembered words are in two halves; the older one goes when the newer is full, but for what was used since."""
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("i", self.encode_word(word.encode())).tobytes()
         if len(word) <= LONGEST:
-            if len(self.words) >= WORDS:
-                self.words.clear()
+            if len(self.words) >= WORDS // 2:
+                self.older, self.words = self.words, {}
             self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, 4 bytes each. Added tokens stand for themselves where their string occurs."""
         out, at = [], 0
-        get, make = self.words.get, self._word_ids
+        make = self._word_ids
         for m in [*(self._splitter.finditer(text) if self._splitter else ()), None]:
             piece = text[at : m.start() if m else len(text)]
+            get = self.words.get
             out += [get(w) or make(w) for w in self._cut(piece)]
             if m:
                 out.append(self.special[m.group()].to_bytes(4, "little"))
