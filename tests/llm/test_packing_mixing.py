@@ -1,6 +1,7 @@
 """Packing, mixing, chat formatting and license scans."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -109,6 +110,65 @@ def test_flow_by_brute_force():
         assert (met, cost) == brute_cost(supply, quota)
 
 
+def test_flow_with_limits():
+    """Least cost by trying every split of two patterns' tokens, no source getting more of a pattern than its limit."""
+    rng = np.random.default_rng(5)
+    ab, a, b = frozenset("ab"), frozenset("a"), frozenset("b")
+    for _ in range(40):
+        n = {k: int(rng.integers(1, 4)) for k in ("aa", "bb", "sa", "sb")}
+        supply = {ab: n["sa"] + n["sb"], a: n["aa"], b: n["bb"]}
+        limits = {(ab, "a"): 3 * n["sa"], (ab, "b"): 3 * n["sb"], (a, "a"): 3 * n["aa"], (b, "b"): 3 * n["bb"]}
+        quota = {"a": int(rng.integers(0, 3 * (n["sa"] + n["aa"]) + 1)), "b": int(rng.integers(0, 3 * (n["sb"] + n["bb"]) + 1))}
+        flow = mixing.min_cost_flow(supply, quota, limits=limits)
+        price = lambda p, k: sum((0, 1, 3)[i // supply[p]] for i in range(k))
+        want = min(price(ab, x + y) + price(a, quota["a"] - x) + price(b, quota["b"] - y) for x in range(limits[ab, "a"] + 1) for y in range(limits[ab, "b"] + 1)
+                   if 0 <= quota["a"] - x <= 3 * n["aa"] and 0 <= quota["b"] - y <= 3 * n["bb"])
+        assert flow[ab]["a"] + flow[a]["a"] == quota["a"] and flow[ab]["b"] + flow[b]["b"] == quota["b"]
+        assert all(flow[p][s] <= k for (p, s), k in limits.items())
+        assert sum(price(p, sum(f.values())) for p, f in flow.items()) == want
+
+
+def test_flow_of_many_patterns_ends():
+    rng = np.random.default_rng(9)
+    names = [f"s{i}" for i in range(60)]
+    supply = {frozenset(rng.choice(names, rng.integers(1, 4), replace=False).tolist()): int(rng.integers(1, 1000)) for _ in range(20_000)}
+    quota = {s: int(rng.integers(1, 400_000)) for s in names}
+    began = time.monotonic()
+    flow = mixing.min_cost_flow(supply, quota)
+    assert time.monotonic() - began < 30
+    assert all(sum(f.values()) <= 3 * supply[p] for p, f in flow.items())
+    assert all(sum(f.get(s, 0) for f in flow.values()) <= q for s, q in quota.items())
+
+
+def test_equal_texts_are_shared_by_their_sources(spark):
+    """b has a heavy target and few words: it takes the uses of shared texts that a leaves before it repeats its own."""
+    rows = [(i, prose(40, i), "en", "a", 0) for i in range(200)]
+    rows += [(1000 + i, prose(40, 100 + i), "en", "b", 0) for i in range(100)] + [(2000 + i, prose(40, 5000 + i), "en", "b", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix(df, weights=(1, 2)).collect()
+    taken = lambda s, n: sum(r.taken for r in out if r.source == s and r.n_sources == n)
+    assert {(r.source, r.n_sources) for r in out} == {("a", 1), ("a", 2), ("b", 1), ("b", 2)}
+    goal = {r.source: r.target for r in out}  # 4800 and 9600 of 14400 words; b holds 6400, 4000 of them shared
+    assert goal == {"a": 4800.0, "b": 9600.0}
+    assert all(abs(sum(taken(s, n) for n in (1, 2)) - goal[s]) <= 40 for s in "ab")
+    assert taken("b", 1) <= 2400 + 40 < taken("b", 2)  # 8000 shared words are free to either, so b's own aren't repeated
+    assert max(r.copies for r in out) <= 3
+
+
+def test_rare_patterns_stay_with_their_own_source(spark):
+    rows = [(i, prose(20, i // 2), "en", f"s{i % 2 + 2 * (i // 2 % 3)}", 0) for i in range(60)] + odd_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sized = mixing.sized_documents(df)
+    every, some, none = (mixing.with_sources(sized, max_arcs=n).collect() for n in (100, 2, 1))
+    assert len(every) == len(some) == len(none) == len(rows)
+    assert all(r.sources == [r.source] for r in none)
+    assert len({tuple(map(str, r.sources)) for r in some if len(r.sources) > 1}) == 1 < len({tuple(map(str, r.sources)) for r in every if len(r.sources) > 1})
+    by = defaultdict(set)
+    for r in every:
+        by[r.text_hash].add(r.source)
+    assert all(set(r.sources) == (by[r.text_hash] if r["size"] else {r.source}) for r in every)
+
+
 def test_mix_meets_targets(spark):
     rows = [(i, prose(5 + i * 13 % 60, i), "en", f"s{i * i % 7 % 4}" if i % 9 else None, 0) for i in range(400)] + odd_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
