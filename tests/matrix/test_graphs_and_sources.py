@@ -292,6 +292,45 @@ def test_binary_matrices(spark, tmp_path, dtype, target):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+@pytest.mark.parametrize("dtype", sorted(fbm.DTYPES))
+def test_binary_matrices_in_parts(spark, tmp_path, dtype):
+    rng = np.random.default_rng(6)
+    x = rng.poisson(0.7, (101, 13)).astype(fbm.DTYPES[dtype])
+    x.tofile(tmp_path / "m.bin")
+    (tmp_path / "g.csv").write_text("gene\n" + "".join(f"g{i}\n" for i in range(13)))
+    (tmp_path / "c.csv").write_text("cell\n" + "".join(f"cell{i}\n" for i in range(101)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "250")  # a few cells of the matrix, a part of the names
+    try:
+        for path in (str(tmp_path / "m.bin"), f"file:{tmp_path}/m.bin", f"file://{tmp_path}/m.bin"):
+            for some in (None, ["g12", "g3"]):
+                got = fbm.read_fbm(spark, path, str(tmp_path / "g.csv"), str(tmp_path / "c.csv"), dtype, genes=some)
+                got = {(r.obs_id, r.gene): r.x for r in got.collect()}
+                assert got == {(f"cell{i}", f"g{j}"): float(x[i, j]) for i in range(101) for j in range(13) if x[i, j] and (some is None or f"g{j}" in some)}
+        part = fbm.ColumnMajorReader({"path": str(tmp_path / "m.bin"), "dtype": dtype, "n_genes": "13", "part_bytes": "250"})
+        assert len(part.partitions()) > 3 and sum(b - a for a, b in (p.value for p in part.partitions())) == 101
+        part.BLOCK = 26  # two cells at a time
+        assert sum(b.num_rows for p in part.partitions() for b in part.read(p)) == np.count_nonzero(x)
+        assert [r.at for r in fbm.numbered_as_read(spark.read.csv(str(tmp_path / "c.csv"), header=True)).sort("at").collect()] == list(range(101))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_binary_matrices_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "m.bin").write_bytes(b"\0" * 40)
+    (tmp_path / "e.bin").write_bytes(b"")
+    (tmp_path / "g.csv").write_text("gene\na\nb\n")
+    (tmp_path / "c.csv").write_text("cell\nx\ny\n")
+    files = str(tmp_path / "g.csv"), str(tmp_path / "c.csv")
+    assert fbm.read_fbm(spark, str(tmp_path / "e.bin"), *files).count() == 0
+    with pytest.raises(Exception, match="multiple"):
+        fbm.read_fbm(spark, str(tmp_path / "m.bin"), *files).count()
+    with pytest.raises(ValueError, match="no such genes"):
+        fbm.read_fbm(spark, str(tmp_path / "m.bin"), *files, genes=["z"])
+    with pytest.raises(ValueError, match="more than 1"):
+        fbm.read_fbm(spark, str(tmp_path / "m.bin"), *files, max_genes=1)
+
+
 def test_sinks(spark, tmp_path):
     expr = spark.createDataFrame([(i, g, float(i + 1)) for i in range(6) for g in "ab"], "obs_id long, gene string, x double")
     assign = spark.createDataFrame([(i, i % 2) for i in range(6)], "obs_id long, cluster int")
