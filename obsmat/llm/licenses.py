@@ -2,7 +2,7 @@
 
 Candidate blocks (sentences with a licence cue, and runs of neighbouring sentences in licence vocabulary) are compressed
 alone and with each template as a raw zstandard dictionary; templates are ranked by how much smaller they make the block,
-and those that make it smaller are confirmed by their exact wording differences. Sentences much longer than any template
+and those that do not make it larger (a notice of a few words has nothing to save) are confirmed by their exact wording differences. Sentences much longer than any template
 are searched in windows around their cues. Texts without a cue never leave the JVM; nothing is
 shuffled; a worker remembers what it found for a block, so a notice that stands in a third of all documents is cheap.
 """
@@ -52,15 +52,54 @@ TEMPLATES = {
     "All rights reserved": ("proprietary", "All rights reserved."),
     "Copyright line": ("proprietary", "Copyright {} {}. All rights reserved."),
 }
-CUE = r"(?i)licen[cs]e|copyright|rights reserved|public domain|permission (?:is hereby|to use)|redistribution|creative commons|free software"
+#: Names by which licences are referred to, as in "released under the terms of the ISC License".
+NAMES = {
+    "Apache-2.0": ("Apache License 2.0", "Apache License version 2.0", "Apache 2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License version 1.0"),
+    "CC0-1.0": ("CC0 1.0", "CC0"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License version 2.0", "EPL 2.0"),
+    "EUPL-1.2": ("EUPL 1.2", "EUPL version 1.2", "EUPL v1.2"),
+    "ISC": ("ISC License",),
+    "MIT": ("MIT License", "Expat License"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License version 2.0", "MPL 2.0"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+}
+#: Families whose names follow a rule, with their versions.
+GNU = {"GPL": ("GNU General Public License", ("2", "3")), "LGPL": ("GNU Lesser General Public License", ("2.1", "3")), "AGPL": ("GNU Affero General Public License", ("3",))}
+CC = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+
+
+def referred() -> dict[str, tuple[str, str]]:
+    """Templates for tags and for bare names: "under", at most four words, and a name."""
+    names = {k: list(v) for k, v in NAMES.items()} | {f"CC-{k}-4.0": [f"CC {k} 4.0"] for k in CC}
+    tags = {k: [k] for k in names}
+    for short, (long, versions) in GNU.items():
+        for v in versions:
+            forms, full = [f"{short} version {v}", f"GNU {short} version {v}", f"{short}v{v}", f"{long} version {v}", f"{long} v{v}"], f"{short}-{v if '.' in v else v + '.0'}"
+            names |= {full: forms, f"{full}-or-later": [f"{f} or {{}} later" for f in forms]}
+            tags |= {full: [full, f"{full}-only"], f"{full}-or-later": [f"{full}-or-later"]}
+    return {f"{k} name {i}": (k, f"under {{}} {n}") for k, ns in names.items() for i, n in enumerate(ns)} | {f"{k} tag {i}": (k, f"SPDX-License-Identifier: {n}") for k, ns in tags.items() for i, n in enumerate(ns)}
+
+
+TEMPLATES |= referred()
+_HEADS = sorted({n.lower().split()[0] for ns in NAMES.values() for n in ns} | {"cc", "gnu"} | {f"{s.lower()}{v}" for s, (_, vs) in GNU.items() for v in ("", *(f"v{x}" for x in vs))})
+CUE = r"(?i)licen[cs]e|copyright|rights reserved|public domain|permission (?:is hereby|to use)|redistribution|creative commons|free software|spdx|\bunder (?:[^ \n]+ ){0,4}?(?:" + "|".join(map(re.escape, _HEADS)) + r")\b"
 _CUE = re.compile(CUE)
+_GOES_ON = re.compile(r"-\w|\+")
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*|\{\}", re.UNICODE)
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?:;](?=[ \t\r]+\S)|(?=\n)|\Z)", re.UNICODE)
+_SENTENCE = re.compile(r"[^\n]+?(?:[.!?:;](?<!dentifier:)(?=[ \t\r]+\S)|(?=\n)|\Z)", re.UNICODE)
 #: Words that name another licence if they differ.
-DECISIVE = frozenset("nc nd sa by cc0 mit apache gnu lesser affero general mozilla bsd isc noncommercial noderivatives sharealike not no".split())
+DECISIVE = frozenset("nc nd sa by cc0 mit apache gnu lesser affero general mozilla bsd isc noncommercial noderivatives sharealike not no spdx only later gpl lgpl agpl gplv2 gplv3 lgplv3 agplv3 boost eclipse epl eupl mpl unlicense zlib expat".split())
 SCHEMA = "doc_id long, start long, end long, template string, license string, reduction double, verdict string, missing long, extra long, differences string"
 
 
+def decides(word: str) -> bool:
+    return word in DECISIVE or any(ch.isdigit() for ch in word)
+
+
 def normal(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -107,15 +146,18 @@ class Templates:
         return missing, extra, said, lo + ops[inner[0]][3], lo + ops[inner[-1]][4]
 
     def _classify(self, block: tuple[str, ...], tolerance: float = 0.15):
-        """The confirmed winner for a block, of all templates that make it smaller: (template, reduction, verdict, missing, extra,
+        """The confirmed winner for a block, of all templates that do not make it larger: (template, reduction, verdict, missing, extra,
         differences, first and last + 1 of its words), or None."""
-        best = None
+        best, here = None, set(block)
         for gain, name in self.ranked(list(block)):
-            if gain <= 0:
+            if gain < 0:
                 break
             n = len(self.words[name])
+            absent = [w for w in self.words[name] if w not in here and w != "{}"]
+            if len(absent) > tolerance * n or any(map(decides, absent)):
+                continue  # these are missing wherever the rest stands
             missing, extra, said, first, last = self.differences(name, list(block))
-            other = any(w[1:] in DECISIVE or any(ch.isdigit() for ch in w) for w in said)
+            other = any(decides(w[1:]) for w in said)
             if missing + extra and (other or missing + extra > tolerance * n):
                 continue
             key = ((missing + extra) / n, -n, -gain, name)
@@ -181,6 +223,8 @@ class Templates:
                     continue
                 spans, (first, last) = [s for p in parts[i:k] for s in p[0]], got[6:]
                 end = spans[last - 1][1]
+                if self.words[got[0]][0] == "spdx" and _GOES_ON.match(text, end):
+                    continue  # another identifier that begins like this one
                 out.append((spans[first][0], end + (text[end : end + 1] in tuple(".!?")), got[:6]))
                 before, at = [], 0
                 for p in parts[i:k]:  # whole sentences and parts of sentences before the notice's first word
@@ -208,7 +252,8 @@ def scan(docs: DataFrame, templates=None) -> DataFrame:
     """A row for each confirmed notice: doc_id, start and end (code points), template, license, reduction, verdict (exact or
     modified), missing, extra, differences. Texts without one have no row: null and empty ones, and an empty table.
     Repeated rows are scanned each; null doc_ids stay null; very long texts are read whole, sentence by sentence. Of templates
-    that fit alike the longest is named. Words inside a notice are its own: notices never overlap.
+    that fit alike the longest is named. A notice is confirmed if at most 15 % of its template's words are missing or added (`tolerance`),
+    none of them a number or a word that names another licence; templates that make a block larger are not looked at. Words inside a notice are its own: notices never overlap.
     """
 
     def each(batches):

@@ -37,6 +37,27 @@ def test_a_grant_in_one_long_line_is_found():
     assert [x for x, _ in got] == ["MIT", "MIT"] and len(got[0][1]) > 0.9 * len(grant) and got[1][1] == "released under the MIT License"
 
 
+#: Notices that aren't made from the templates.
+REFERENCES = {
+    "SPDX-License-Identifier: MIT": "MIT", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "Released under the GPL, version 3.": "GPL-3.0", "licensed under GPLv3 or later": "GPL-3.0-or-later",
+    "Licensed under the Boost Software License, Version 1.0.": "BSL-1.0", "Distributed under the Eclipse Public License 2.0.": "EPL-2.0", "Licensed under the EUPL, version 1.2.": "EUPL-1.2",
+    "Released under the Unlicense.": "Unlicense", "This work is available under CC BY-SA 4.0.": "CC-BY-SA-4.0", "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+    "// SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "You may use it under the terms of the GNU LGPL version 2.1.": "LGPL-2.1", "Data are shared under a CC BY-NC-ND 4.0 licence.": "CC-BY-NC-ND-4.0",
+    "Everything here is made available under the terms of the GNU Affero General Public License v3 or any later version.": "AGPL-3.0-or-later", "Code under MPL 2.0, see COPYING.": "MPL-2.0", "It is free to use under the ISC License": "ISC",
+}
+
+
+def test_tags_and_names():
+    for text, licence in REFERENCES.items():
+        for around in ("{}", "Some prose here today.\n{}\nAnd more.", "Some prose here today. {} And more of it."):
+            assert [x for x, _ in found(around.format(text))] == [licence], (around, text)
+
+
+def test_other_licences_and_plain_words_are_not_named():
+    for text in ("Released under the GPL, version 4.", "SPDX-License-Identifier: MIT-0", "SPDX-License-Identifier: GPL-2.0+", "under the Software License, Version 1.0.", "We met under the MIT dome.", "Sie fuhr mit dem Bus.", "under CC BY-SA 3.0", "under the Eclipse we saw stars", "SPDX documents list packages."):
+        assert found(text) == [], text
+
+
 def by_brute_force(block):
     """The best of all templates by wording alone, without compression."""
     best = None
