@@ -39,21 +39,113 @@ def exact_distances(q: np.ndarray, p: np.ndarray, metric: str) -> np.ndarray:
     return np.abs(gap).sum(-1) if metric == "manhattan" else (gap != 0).sum(-1).astype(float) if metric == "hamming" else np.sqrt((gap * gap).sum(-1))
 
 
-def nearest_rows(q: np.ndarray, p: np.ndarray, k: int, metric: str, spare: int = 8) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rows of p, distances, neighbours each) of each row of q, flat, by distance and then by row number."""
-    n, seen = min(k, len(p)), min(k + spare, len(p))
-    middle = p.mean(0) if metric == "euclidean" else np.zeros(p.shape[1])  # far from the origin, squares would lose digits
-    to, far = [], []
-    step = max(1, (1 << 22) // len(p))
-    for i in range(0, len(q), step):
-        d = distances(q[i : i + step] - middle, p - middle, metric)
-        at = np.argpartition(d, seen - 1, axis=1)[:, :seen] if seen < len(p) else np.broadcast_to(np.arange(len(p)), d.shape)
-        at = np.sort(at, axis=1)
-        d = exact_distances(q[i : i + step, None, :], p[at], metric)
-        first = np.argsort(d, axis=1, kind="stable")[:, :n]
-        to.append(np.take_along_axis(at, first, 1).ravel())
-        far.append(np.take_along_axis(d, first, 1).ravel())
-    return np.concatenate(to), np.concatenate(far), n
+class _Bounds:
+    """Lower bounds of the distances between rows of q and of p, cheap to work out for a block of pairs: `below` gives the
+    pairs that may be nearer than each query's limit. A bound allows for its own rounding, so no nearer pair is left out."""
+
+    def __init__(self, q: np.ndarray, p: np.ndarray, metric: str):
+        self.metric, width = metric, q.shape[1]
+        if metric == "manhattan":  # whole steps, whose sum fits 16 bits (32 in more dimensions); cutting off far values only lowers a bound
+            kind = np.uint16 if width <= 512 else np.uint32
+            self.most = np.iinfo(kind).max
+            levels = self.most // max(1, width)
+            low, mid, high = np.quantile(p, [0.001, 0.5, 0.999], axis=0)
+            low, high = mid - 2 * (mid - low), mid + 2 * (high - mid)
+            self.step = max(1e-300, float((high - low).max(initial=0.0)) / levels)
+            steps = lambda x: np.ascontiguousarray(np.rint(np.clip((np.clip(x, low, high) - low) / self.step, 0, levels)).astype(kind).T)
+            self.q, self.p, self.shape, self.width = steps(q), steps(p), (64, 1024), width
+            self.sums = self.q.sum(0, dtype=kind), self.p.sum(0, dtype=kind)
+        elif metric == "hamming":
+            self.q, self.p, self.shape = np.ascontiguousarray(q.T), np.ascontiguousarray(p.T), (64, 1024)
+        else:
+            if metric == "angular":
+                q, p = (x / np.maximum(1e-300, np.linalg.norm(x, axis=1))[:, None] for x in (q, p))
+            middle = p.mean(0) if metric == "euclidean" else np.zeros(width)  # far from the origin, squares would lose digits
+            self.q, self.p = (x - middle for x in (q, p))
+            self.qq, self.pp = ((x * x).sum(1) for x in (self.q, self.p))
+            self.q, self.p, self.shape = self.q.astype(np.float32), self.p.astype(np.float32), (256, 2048)
+            self.slack = 4 * (width + 16) * np.finfo(np.float32).eps * (self.qq + self.pp.max(initial=0.0))
+
+    def block(self, i: slice, j: slice) -> np.ndarray:
+        """Numbers in the order of the bounds, for the queries i and the points j."""
+        if self.metric == "hamming":
+            out = np.zeros((len(self.q[0, i]), len(self.p[0, j])), np.int32)
+            for x, y in zip(self.q[:, i], self.p[:, j], strict=True):
+                out += x[:, None] != y[None, :]
+            return out
+        if self.metric == "manhattan":  # |x - y| is twice the larger less both; sums of that wrap round to the right number
+            q, p = self.q[:, i], self.p[:, j]
+            out, larger = (np.zeros((q.shape[1], p.shape[1]), q.dtype) for _ in range(2))
+            for x, y in zip(q, p, strict=True):
+                np.maximum(x[:, None], y[None, :], out=larger)
+                np.add(out, larger, out=out)
+            return out + out - self.sums[0][i, None] - self.sums[1][None, j]
+        product = self.q[i] @ self.p[j].T
+        return -product if self.metric == "dot" else self.pp[j].astype(np.float32)[None, :] - 2 * product
+
+    def limit(self, i: slice, far: np.ndarray) -> np.ndarray:
+        """The least number of `block` from which on a pair of query i isn't nearer than far, for each query."""
+        if self.metric == "manhattan":
+            return np.minimum(np.floor(far / self.step * (1 + 1e-9)) + self.width + 1, self.most).astype(self.q.dtype)
+        if self.metric == "hamming":
+            return far
+        far = far + self.slack[i] if self.metric == "dot" else far * far * (1 + 1e-9) - self.qq[i] + self.slack[i]
+        return np.nextafter(far.astype(np.float32), np.float32(np.inf))
+
+
+def nearest_rows(q: np.ndarray, p: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows of p, distances, neighbours each) of each row of q, flat, by distance and then by row number.
+
+    Points pass by in blocks. Of a block's pairs only those whose lower bound is below the query's k-th distance so far are worked
+    out exactly. Of equal points only the first k can be among the nearest, so others are left out before.
+    """
+    n = min(k, len(p))
+    at = _first_copies(p, n)
+    p = p[at]
+    far_, to_ = np.full((len(q), n), np.inf), np.full((len(q), n), len(at))
+    if metric == "manhattan" and q.shape[1] > np.iinfo(np.uint16).max or not (np.abs(q).max(initial=0.0) < 1e15 and np.abs(p).max(initial=0.0) < 1e15):
+        for i in range(len(q)):  # infinite, missing or huge numbers have no bounds
+            d = exact_distances(q[i], p, metric)
+            to_[i] = np.argsort(d, kind="stable")[:n]
+            far_[i] = d[to_[i]]
+        return at[to_.ravel()], far_.ravel(), n
+    bounds = _Bounds(q, p, metric)
+    rows, wide = bounds.shape
+    for i in range(0, len(q), rows):
+        far, to, mine = far_[i : i + rows], to_[i : i + rows], slice(i, i + rows)
+        for j in range(0, len(p), wide):
+            b = bounds.block(mine, slice(j, j + wide))
+            if j == 0 and n < b.shape[1]:  # the distances of any n points are limits
+                some = np.argpartition(b, n - 1, axis=1)[:, :n]
+                most = exact_distances(q[mine][:, None, :], p[some], metric).max(1)
+            else:
+                most = far[:, -1] - (metric == "hamming")  # whole numbers; equally far points come later in the order
+            r, c = np.divmod(np.flatnonzero(b <= bounds.limit(mine, most)[:, None]), b.shape[1])
+            if not len(r):
+                continue
+            d = np.concatenate([exact_distances(q[i + r[s : s + 16384]], p[j + c[s : s + 16384]], metric) for s in range(0, len(r), 16384)])
+            good = d < far[r, -1]
+            r, c, d = r[good], c[good] + j, d[good]
+            if not len(r):
+                continue
+            open_ = np.unique(r)
+            row, dist, col = np.concatenate([np.repeat(open_, n), r]), np.concatenate([far[open_].ravel(), d]), np.concatenate([to[open_].ravel(), c])
+            order = np.lexsort((col, dist, row))
+            start = np.searchsorted(row[order], open_)
+            best = order[start[:, None] + np.arange(n)]
+            far[open_], to[open_] = dist[best], col[best]
+    return at[to_.ravel()], far_.ravel(), n
+
+
+def _first_copies(p: np.ndarray, n: int) -> np.ndarray:
+    """The rows of p, in order, of which fewer than n rows before are the same."""
+    if not len(p) or not p.shape[1]:
+        return np.arange(min(n, len(p)))
+    whole = np.ascontiguousarray(p + 0.0).view(np.dtype((np.void, p.shape[1] * p.itemsize))).ravel()
+    order = np.argsort(whole, kind="stable")
+    new = np.append(True, whole[order][1:] != whole[order][:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
+    return np.sort(order[np.arange(len(p)) - first < n])
 
 
 def nearest(left: pa.Table, right: pa.Table, k: int, metric: str) -> tuple:
@@ -65,15 +157,24 @@ def nearest(left: pa.Table, right: pa.Table, k: int, metric: str) -> tuple:
     return left.column("obs_id").combine_chunks(), ids.take(pa.array(to)), far, n
 
 
-def knn(vectors: DataFrame, k: int, metric: str = "euclidean", *, block_rows: int = 4096, n_rows: int | None = None) -> DataFrame:
+def block_count(n: int, width: int, block_rows: int, block_mb: int) -> int:
+    """Blocks of n rows: of block_rows rows, or larger, up to block_mb, where that would be more than eight."""
+    most = (block_mb << 20) // (8 * max(1, width))
+    return max(1, math.ceil(n / max(block_rows, min(math.ceil(n / 8), most))))
+
+
+def knn(vectors: DataFrame, k: int, metric: str = "euclidean", *, block_rows: int = 4096, block_mb: int = 16, n_rows: int | None = None) -> DataFrame:
     """src, dst, rank (from 1), distance: the k nearest rows of each row, itself included; ties by dst.
 
     Exact. Rows are dealt into blocks; each pair of blocks is one small group, whose best k for each row are ranked again
-    over all blocks. The shuffle is rows x blocks, the memory two blocks. For very many rows use approximate_knn.
+    over all blocks. The shuffle is rows x blocks, the memory two blocks. A block has block_rows rows; where that would be more
+    than eight blocks, they get larger, up to block_mb. For very many rows use approximate_knn.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
-    blocks = max(1, math.ceil((vectors.count() if n_rows is None else n_rows) / block_rows))
+    n = vectors.count() if n_rows is None else n_rows
+    width = vectors.agg(F.max(F.size("features"))).first()[0] if n > 8 * block_rows else 1
+    blocks = block_count(n, width, block_rows, block_mb)
     kind = vectors.schema["obs_id"].dataType.simpleString()
     side = vectors.select("obs_id", "features", F.pmod(F.xxhash64("obs_id"), F.lit(blocks)).cast("int").alias("block"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))

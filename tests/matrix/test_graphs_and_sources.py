@@ -362,3 +362,28 @@ def test_streams_give_the_batch_result(spark, tmp_path):
 def test_the_entry_imports_and_names_agree():
     names, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(names) and len(names) >= 70
+
+
+@pytest.mark.parametrize("metric", knn.METRICS)
+def test_neighbours_of_many_copies_come_in_the_order_of_their_rows(metric):
+    """Far more copies than neighbours, blocks of pairs that end within rows, and numbers that have no bounds."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.integers(0, 3, (900, 3)).astype(float), np.tile([[1.0, 2.0, 0.0]], (1300, 1)), rng.normal(size=(300, 3)) * [1, 1e-3, 1e6] + 1e4])
+    odd = x[:200].copy()
+    odd[7, 1], odd[9, 0] = np.nan, np.inf
+    for points in (x, odd):
+        with np.errstate(all="ignore"):
+            got = knn.nearest_rows(points[::5], points, 7, metric)
+            want = [np.argsort(knn.exact_distances(q, points, metric), kind="stable")[:7] for q in points[::5]]
+            far = [np.take(knn.exact_distances(q, points, metric), w) for q, w in zip(points[::5], want, strict=True)]
+        assert got[2] == 7 and got[0].tolist() == np.concatenate(want).tolist()
+        assert np.array_equal(got[1], np.concatenate(far), equal_nan=True)
+
+
+def test_blocks_of_neighbours_grow_with_the_rows(spark):
+    assert [knn.block_count(n, 64, 4096, 16) for n in (10, 32_768, 51_282, 262_144, 615_360)] == [1, 8, 8, 8, 19]
+    assert knn.block_count(100_000, 5000, 4096, 16) == 25  # a block of wide rows stays as it is
+    x = np.random.default_rng(4).normal(size=(300, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "obs_id long, features array<double>")
+    rows = lambda n: sorted((r.src, r["rank"], r.dst) for r in knn.knn(df, 5, "manhattan", block_rows=n).collect())
+    assert rows(4096) == rows(20)
