@@ -218,30 +218,35 @@ def sized_documents(docs: DataFrame) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(again)).withColumn("id", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text_hash").cast("string"), F.coalesce("source", F.lit("")), F.col("nth").cast("string")))
 
 
-def with_sources(sized: DataFrame, *, max_shared: int = 10_000, max_arcs: int = 50_000) -> DataFrame:
+def with_sources(sized: DataFrame, *, max_shared: int | None = None, max_arcs: int | None = None) -> DataFrame:
     """sized with `sources`, the sources in which a row's text stands: its membership pattern. Texts of size 0 have their own only.
 
-    The patterns of most words count, at most `max_shared` of several sources with `max_arcs` members together; rows of others
-    stay with their own source alone, and no row goes. Texts are salted, as one may hold a third of all rows.
+    Every pattern counts, unless the caller sets a limit: then those of most words do, at most `max_shared` of several sources
+    with `max_arcs` members together; rows of others stay with their own source alone, and no row goes. Texts are salted, as
+    one may hold a third of all rows.
     """
     texts = sized.where("size > 0").groupBy("text_hash").agg(F.sum("size").alias("words"), F.collect_set(F.struct("source")).alias("sources"))
     texts = texts.where(F.size("sources") > 1).select("text_hash", "words", F.array_sort(F.transform("sources", lambda s: s["source"])).alias("sources"))
-    texts = texts.withColumn("key", F.xxhash64("sources"))
-    top = texts.groupBy("key", F.size("sources").alias("n")).agg(F.sum("words").alias("words")).orderBy(F.desc("words"), "key").limit(max_shared)
-    top = top.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("words"), "key").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= max_arcs)
-    shared = texts.join(F.broadcast(top.select("key")), "key").select("text_hash", "sources", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    if max_shared is not None or max_arcs is not None:
+        most = 1 << 62
+        texts = texts.withColumn("key", F.xxhash64("sources"))
+        top = texts.groupBy("key", F.size("sources").alias("n")).agg(F.sum("words").alias("words")).orderBy(F.desc("words"), "key").limit(100_000 if max_shared is None else max_shared)
+        top = top.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("words"), "key").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= (most if max_arcs is None else max_arcs))
+        texts = texts.join(F.broadcast(top.select("key")), "key")
+    shared = texts.select("text_hash", "sources", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     rows = sized.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(shared, ["text_hash", "salt"], "left")
     return rows.select(*sized.columns, F.coalesce("sources", F.array("source")).alias("sources"))
 
 
-def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), seed: int = 17, max_sources: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), seed: int = 17, max_sources: int = 20_000, max_patterns: int = 300_000) -> DataFrame:
     """doc_id, text_hash, nth, size, source, source_size, target, copies, taken and n_sources of each row of docs.
 
     A row counts for its source; its pattern is that of all sources in which its text stands, so sources that share texts
     share their free uses: one that has too few words takes those that another doesn't want before it repeats its own.
 
     Null texts have size 0, null sources are a source of their own (last), repeated rows are documents of their own,
-    an empty table gives an empty one. More than max_sources sources raise an error.
+    an empty table gives an empty one. More than max_sources sources, or max_patterns patterns and sources they count for,
+    raise an error; no pattern is left out.
     """
     sized = table(sized_documents(docs), "mix-sizes")
     spark = docs.sparkSession
@@ -251,7 +256,7 @@ def mix(docs: DataFrame, *, weights: Sequence[float] = (5, 2, 1), seed: int = 17
     by_source = {r.source: int(r["size"]) for r in found}
     goal = targets(by_source, weights)
     patterns = table(with_sources(sized), "mix-patterns")
-    chosen = copies(patterns, goal, own="source", seed=seed)
+    chosen = copies(patterns, goal, own="source", seed=seed, max_patterns=max_patterns)
     facts = F.broadcast(spark.createDataFrame([(s, by_source[s], float(goal[s])) for s in by_source] or [(None, 0, 0.0)], "source string, source_size long, target double"))
     rows = patterns.join(facts, patterns["source"].eqNullSafe(facts["source"])).drop(facts["source"])
     times = F.coalesce("copies", F.lit(0)).cast("long")

@@ -169,6 +169,19 @@ def test_rare_patterns_stay_with_their_own_source(spark):
     assert all(set(r.sources) == (by[r.text_hash] if r["size"] else {r.source}) for r in every)
 
 
+def test_no_pattern_is_left_out(spark):
+    """Twelve thousand different sets of sources, with more members together than a limit used to let through."""
+    rng, sets = np.random.default_rng(4), set()
+    while len(sets) < 12_000:
+        sets.add(tuple(sorted(rng.choice(30, rng.integers(3, 7), replace=False).tolist())))
+    rows = [(i, f"s{x}") for i, one in enumerate(sorted(sets)) for x in one]
+    assert len(rows) > 50_000
+    sized = spark.createDataFrame(rows, "text_hash long, source string").selectExpr("concat(text_hash, source) as id", "text_hash", "source", "1L as size")
+    out = mixing.with_sources(sized)
+    assert out.count() == len(rows) and out.where("size(sources) = 1").count() == 0
+    assert out.select("sources").distinct().count() == len(sets)
+
+
 def test_mix_meets_targets(spark):
     rows = [(i, prose(5 + i * 13 % 60, i), "en", f"s{i * i % 7 % 4}" if i % 9 else None, 0) for i in range(400)] + odd_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
