@@ -20,7 +20,7 @@ def quality_rules(spark, docs, sf_dir):
 
 def near_dedup(spark, docs, sf_dir):
     """One document of each group of near copies (five-word shingles, Jaccard of 0.8 or more): of the smallest doc_id, null last,
-    then of the smallest text hash. Of repeated rows one stays. See README for why candidates aren't SimHash neighbours here."""
+    then of the smallest text hash. Of repeated rows one stays. Candidates are the neighbours that op8's search finds and texts that share a key."""
     return simhash.first_of_each(docs)
 
 

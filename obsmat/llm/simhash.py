@@ -324,10 +324,22 @@ def links_of_labels(bands: DataFrame, sets: DataFrame, roots: DataFrame, percent
     return queries.groupBy("band", "q", "p").cogroup(points.groupBy("in_band", "in_q", "in_p")).applyInArrow(compare, "a long, b long").distinct()
 
 
+def simhash_pairs(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a, b: pairs of texts (node, text) to be confirmed, whose fingerprints are equal or linked: each text and the first of its
+    fingerprint, and the first ones of linked fingerprints."""
+    marked = table(fingerprints(texts.select(F.col("node").alias("doc_id"), "text")).distinct().withColumnRenamed("doc_id", "node"), "near-simhash")
+    firsts = table(marked.groupBy("fp").agg(F.min("node").alias("first")), "near-firsts")
+    copies = marked.join(firsts, "fp").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    a, b = (firsts.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}")) for side in ("a", "b"))
+    linked = links(firsts.select("fp"), radius).join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return copies.union(linked)
+
+
 def near_groups(docs: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) -> DataFrame:
     """node, root for each different text of docs: its hash and that of its group. Null counts as ''.
 
-    Texts that share a band key are candidates. All members of a bucket are first held against one of them, another in each
+    Texts whose SimHash fingerprints are equal or linked by the search of `links` are candidates, and texts that share a band
+    key, as fingerprints of texts at `percent` are often further apart than the search goes. All members of a bucket are first held against one of them, another in each
     band, which joins most of a group of near copies at one comparison a member and band. Then whatever of a bucket isn't one
     group yet is compared with all of it. So no pair of a bucket is left out; each link is confirmed by the exact sets.
     """
@@ -339,7 +351,8 @@ def near_groups(docs: DataFrame, percent: int = SIMILAR, shingle: int = WIDE) ->
 
     bands = table(banded_texts(texts, shingle), "near-bands")
     heads = bands.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "node").alias("o"), F.col("node").alias("a"))).alias("head"), F.count("*").alias("n")).where("n > 1").select("band", F.col("head")["a"].alias("a"))
-    pairs = table(bands.join(heads, "band").where("a != node").select("a", F.col("node").alias("b")).distinct(), "near-pairs")
+    by_band = bands.join(heads, "band").where("a != node").select("a", F.col("node").alias("b"))
+    pairs = table(by_band.union(simhash_pairs(texts)).distinct(), "near-pairs")
     named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     once = texts.groupBy("node").agg(F.first("text").alias("text"))
     sets = table(once.join(named, "node", "left_semi").select("node", "text").mapInArrow(as_sets, "node long, set binary"), "near-sets")

@@ -3,6 +3,7 @@
 import numpy as np
 import xxhash
 from llm_helpers import clashing, empty_docs, odd_docs, odd_rows, prose
+from pyspark.sql import functions as F
 
 from obsmat.llm import simhash as sh
 
@@ -177,3 +178,15 @@ def test_buckets_are_compared_in_blocks(spark):
     label = [0 if i % 3 == 0 else i for i in range(300)]
     got = [merged.get(x, x) for x in label]
     assert len(set(jaccard_groups(texts).tolist())) == 1 and set(got) == {0}
+
+
+def test_stage_asks_the_simhash_search(spark, monkeypatch):
+    """Without any shared band key, near copies within the radius are still found, and confirmed by their sets."""
+    words = prose(400, 77).split()
+    rows = [(i, " ".join(words[:-1] + [f"end{i}"])) for i in range(6)] + [(10 + i, prose(60, 4000 + i)) for i in range(5)] + [(20, ""), (21, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = sh.near_duplicates(df).where("doc_id < 6").select("component_id").distinct().count()
+    assert marked < 6  # some are within the radius
+    monkeypatch.setattr(sh, "banded_texts", lambda texts, shingle=5: texts.select("node", F.col("node").alias("band")).distinct())
+    kept = {r.doc_id for r in sh.first_of_each(df).collect()}
+    assert len(kept & set(range(6))) == marked and kept - set(range(6)) == {10, 11, 12, 13, 14, 20}
