@@ -97,6 +97,12 @@ def local_communities(edges: list[tuple], nodes: list, resolution: float = 1.0,
     return {v: first[where[i]] for v, i in at.items()}
 
 
+def _dealt(labels: DataFrame) -> DataFrame:
+    """labels to be joined by shuffles: their number grows with the graph, so round after round would pass them through the driver
+    wherever one table is small enough to be broadcast."""
+    return labels.hint("merge")
+
+
 def spread_labels(graph: DataFrame, resolution: float = 1.0, *, rounds: int = 40, least_gain: float = 1e-4) -> DataFrame:
     """node, community by parallel moves on the cluster: in each round half of the nodes, another half each time, may go to the
     neighbouring community that raises modularity most.
@@ -114,9 +120,9 @@ def spread_labels(graph: DataFrame, resolution: float = 1.0, *, rounds: int = 40
     best, best_q, idle = lab, -1.0, 0
     for r in range(rounds):
         totals = lab.groupBy("community").agg(F.sum("degree").alias("total"))
-        to = arcs.join(lab.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("w"))
+        to = arcs.join(lab.select(F.col("node").alias("v"), "community").transform(_dealt), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("w"))
         to = to.unionByName(lab.select("node", "community", F.lit(0e0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
-        seen = to.join(totals, "community").join(lab.withColumnRenamed("community", "own"), "node")
+        seen = to.join(totals.transform(_dealt), "community").join(lab.withColumnRenamed("community", "own").transform(_dealt), "node")
         stay = F.col("community") == F.col("own")
         gain = F.col("w") - resolution * F.col("degree") * (F.col("total") - F.when(stay, F.col("degree")).otherwise(0e0)) / two_m
         each = seen.groupBy("node", "degree", "own").agg(F.max(F.struct(gain.alias("g"), stay.alias("stay"), F.col("community").alias("c"))).alias("b"), F.sum(F.when(stay, F.col("w")).otherwise(0e0)).alias("inside"))
@@ -138,14 +144,14 @@ def connected_parts(graph: DataFrame, lab: DataFrame, rounds: int = 100) -> Data
     """node, community with communities split into their connected parts, each named by its smallest node: passes of the smallest name
     over the edges inside communities, with jumps to the name's own name, until none changes."""
     a, b = (lab.select(F.col("node").alias(s), F.col("community").alias(f"c{s}")) for s in ("a", "b"))
-    inside = graph.where("a != b").join(a, "a").join(b, "b").where("ca = cb")
+    inside = graph.where("a != b").join(a.transform(_dealt), "a").join(b.transform(_dealt), "b").where("ca = cb")
     arcs = inside.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(inside.select(F.col("b").alias("u"), F.col("a").alias("v"))).transform(kept)
     part = lab.select("node", F.col("node").alias("part"))
     for _ in range(rounds):
-        near = arcs.join(part.select(F.col("node").alias("v"), "part"), "v").groupBy(F.col("u").alias("node")).agg(F.min("part").alias("near"))
-        step = part.join(near, "node", "left").select("node", F.col("part").alias("old"), F.least("part", F.coalesce("near", "part")).alias("part")).transform(kept)
+        near = arcs.join(part.select(F.col("node").alias("v"), "part").transform(_dealt), "v").groupBy(F.col("u").alias("node")).agg(F.min("part").alias("near"))
+        step = part.join(near.transform(_dealt), "node", "left").select("node", F.col("part").alias("old"), F.least("part", F.coalesce("near", "part")).alias("part")).transform(kept)
         jump = step.select(F.col("node").alias("part"), F.col("part").alias("far"))
-        new = step.join(jump, "part").select("node", F.col("far").alias("part"), (F.col("far") != F.col("old")).alias("moved")).transform(kept)
+        new = step.join(jump.transform(_dealt), "part").select("node", F.col("far").alias("part"), (F.col("far") != F.col("old")).alias("moved")).transform(kept)
         part = new.select("node", "part")
         if not new.agg(F.max("moved")).first()[0]:
             return part.withColumnRenamed("part", "community")
@@ -179,7 +185,7 @@ def communities(edges: DataFrame, method: str = "louvain", *, resolution: float
     graph = nn.undirected(edges.where("src is not null and dst is not null and w is not null"), "collapse" if method == "louvain" else "sum").transform(kept)
     resolution = resolution if method == "louvain" else 1.0
     kind, whole, size = dict(edges.dtypes)["src"], None, graph.count()
-    into = lambda w, lab: lab if w is None else w.join(lab.select(F.col("node").alias("community"), F.col("community").alias("_to")), "community").select("node", F.col("_to").alias("community"))
+    into = lambda w, lab: lab if w is None else w.join(lab.select(F.col("node").alias("community"), F.col("community").alias("_to")).transform(_dealt), "community").select("node", F.col("_to").alias("community"))
     while size > local_edges:
         lab = spread_labels(graph, resolution)
         if method == "leiden":
@@ -189,7 +195,7 @@ def communities(edges: DataFrame, method: str = "louvain", *, resolution: float
             return into(lab if whole is None else whole, names)
         whole = into(whole, lab).transform(kept)
         a, b = (lab.select(F.col("node").alias(s), F.col("community").alias(f"c{s}")) for s in ("a", "b"))
-        graph = graph.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")).transform(kept)
+        graph = graph.join(a.transform(_dealt), "a").join(b.transform(_dealt), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")).transform(kept)
         size = graph.count()
     return into(whole, _in_one_task(graph, kind, resolution, seed, method == "leiden").transform(kept))
 

@@ -387,3 +387,11 @@ def test_blocks_of_neighbours_grow_with_the_rows(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "obs_id long, features array<double>")
     rows = lambda n: sorted((r.src, r["rank"], r.dst) for r in knn.knn(df, 5, "manhattan", block_rows=n).collect())
     assert rows(4096) == rows(20)
+
+
+def test_labels_of_rounds_are_not_broadcast(spark, monkeypatch):
+    graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "a long, b long, w double")
+    plans, real = [], community.kept
+    monkeypatch.setattr(community, "kept", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    community.spread_labels(graph, rounds=1).collect()
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
