@@ -14,7 +14,8 @@ A gate (depth, how well the contexts are known, how the last matches went) picks
 odds; a correction by the mixed odds refines the result. Weights, correction and the document's own frequencies go on
 learning inside each document, in rounds of 32 words at first, from a start that all documents share. So a document's
 score doesn't depend on the others of its task, and the probabilities of all word sequences sum to one at most (hashes of
-the longest context's successors have 28 bits). Decisions deeper than the first DEPTH of a path have their own frequency alone.
+the longest context's successors have 28 bits). Decisions deeper than the first DEPTH of a path are mixed too, by gates of their own,
+from their frequency, the word before, both endings and this document so far (by a hash of the node).
 
 What grows with the corpus stays on the cluster: the counts of the longest contexts are sharded by the context's hash, shards
 follow the number of training words, and documents get back one byte for each place. A shard gets each context and
@@ -46,11 +47,14 @@ from obsmat.llm.common import table
 DEPTH, UPPER, CONTEXTS, PAGE = 7, 4, 1 << 14, 8192
 NODES = (1 << DEPTH) - 1
 #: log2 of the slots: word before, word two before, both endings; three bytes, five bytes.
-BITS = (21, 21, 21, 20, 20)
+BITS = (22, 21, 21, 20, 20)
 SCALE = 511.0
-#: Predictors and the bias; gates of paths (depth, knowledge), of matches (count, purity, last matches) and of bytes.
-INPUTS, PATHS, MATCHES, SPELLED = 6, DEPTH * 4, 15 * 4, 16
-OWN = PATHS + MATCHES
+#: Predictors and the bias; gates of paths (depth, knowledge), of matches (count, purity, last matches), of deeper decisions (depth, knowledge) and of bytes.
+INPUTS, PATHS, MATCHES, DEEPER, SPELLED = 6, DEPTH * 4, 15 * 4, 4 * 4, 16
+DEEP = PATHS + MATCHES
+OWN = DEEP + DEEPER
+#: Counters of a document's own deeper decisions.
+OWN_DEEP = 1 << 10
 GATES = OWN + SPELLED
 ENDED = 1 << 30
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -102,7 +106,8 @@ def logit(n1, n0):
 @dataclass
 class Code:
     """Words 0 to n - 1, the escape n, the end n + 1: the first DEPTH bits of the code word, left-aligned, how many of them
-    there are, log2 of what the deeper ones cost, and the log odds of the nodes above. Then the code of bytes."""
+    there are, log2 of what the deeper ones cost by their frequencies, and the log odds of the nodes above. Then the code of bytes, and the
+    deeper decisions: where a symbol's begin and how many there are, and of each its node's hash with the bit as the last one and its log odds."""
 
     n: int
     head: np.ndarray
@@ -113,6 +118,10 @@ class Code:
     byte_length: np.ndarray
     byte_nodes: np.ndarray
     byte_bits: np.ndarray
+    deep_at: np.ndarray
+    deep_length: np.ndarray
+    deep_marks: np.ndarray
+    deep_odds: np.ndarray
 
     @classmethod
     def from_counts(cls, counts: np.ndarray, rest: int, ends: int, spelled: list[tuple[bytes, int]]) -> Code:
@@ -134,7 +143,24 @@ class Code:
         of_bytes = huffman(pairs + 1e-4 * max(1.0, pairs.sum()))  # so no code word has more than 20 bits
         steps = np.array([d for d, _ in of_bytes], np.int64)
         nodes, bits = ([f(d, b, k) for d, b in of_bytes for k in range(d)] for f in (lambda d, b, k: (1 << k) - 1 + (b >> (d - k)), lambda d, b, k: b >> (d - 1 - k) & 1))
-        return cls(len(counts), head, length.astype(np.uint8), tail, logit(inner[:, 1], inner[:, 0]).astype(np.float32), np.cumsum(steps) - steps, steps, np.array(nodes, np.uint32), np.array(bits, np.int32))
+        return cls(len(counts), head, length.astype(np.uint8), tail, logit(inner[:, 1], inner[:, 0]).astype(np.float32), np.cumsum(steps) - steps, steps, np.array(nodes, np.uint32), np.array(bits, np.int32), *deeper(paths, mass))
+
+
+def deeper(paths: list[tuple[int, int]], mass: np.ndarray):
+    """(where each symbol's decisions beyond the first DEPTH begin, how many they are, their marks, their log odds times SCALE)."""
+    depth, whole = np.array(paths, np.int64).T  # fewer than 63 bits: more would take 10^13 words
+    many = np.maximum(depth - DEPTH, 0)
+    at = np.cumsum(many) - many
+    marks, odds = np.zeros(int(many.sum()), np.uint32), np.zeros(int(many.sum()), np.int16)
+    for d in range(DEPTH, int(depth.max())):
+        on = np.flatnonzero(depth > d)
+        bit = whole[on] >> (depth[on] - d - 1) & 1
+        _, node = np.unique(whole[on] >> (depth[on] - d), return_inverse=True)  # numbered by depth, in the order of their bits
+        sides = np.bincount(2 * node + bit, mass[on], 2 * (node.max() + 1)).reshape(-1, 2)
+        hashed = ((node.astype(np.uint64) << np.uint64(8)) + np.uint64(d)) * _M3 * _M1 >> np.uint64(32)
+        marks[at[on] + d - DEPTH] = (hashed.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | bit.astype(np.uint32)
+        odds[at[on] + d - DEPTH] = np.rint(logit(sides[:, 1], sides[:, 0]) * SCALE).astype(np.int16)[node]
+    return at, many, marks, odds
 
 
 @dataclass
@@ -266,6 +292,27 @@ def path_slots(text: Text, t: np.ndarray, code: Code):
     return node, bit, code.length[text.symbol[t]][None, :] > depth, slots
 
 
+def deep_slots(text: Text, t: np.ndarray, code: Code):
+    """(which of tokens t each decision beyond the first DEPTH belongs to, its depth, its bit, log odds, its node's number among
+    OWN_DEEP, slots in the tables of the word before and of both endings), flat."""
+    symbol = text.symbol[t]
+    many = code.deep_length[symbol]
+    of = np.repeat(np.arange(len(t)), many)
+    level = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    flat = code.deep_at[symbol][of] + level
+    mark, slots = code.deep_marks[flat], []
+    bit = (mark & np.uint32(1)).astype(np.int32)
+    mark = mark & np.uint32(0xFFFFFFFE)
+    for k in (0, 2):
+        h = text.contexts[k][t][of] ^ mark
+        h *= np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0xC2B2AE35)
+        h >>= np.uint32(32 - BITS[k])
+        slots.append(h)
+    return of, level, bit, code.deep_odds[flat].astype(np.float32) * np.float32(1 / SCALE), (mark >> np.uint32(22)).astype(np.int64), slots
+
+
 def byte_slots(words: list[bytes], code: Code):
     """(word of each decision, its bit, slots in the two tables of bytes) of spelled words."""
     raw = np.frombuffer(b" ".join([b"", *words, b""])[1:], np.uint8).astype(np.int64)
@@ -305,7 +352,8 @@ def first_weights() -> np.ndarray:
     """Weights (inputs, gates) before anything is learned."""
     w = np.zeros((INPUTS, GATES), np.float32)
     w[:5, :PATHS] = np.array([0.5, 0.4, 0.2, 0.2, 0.1])[:, None]
-    w[0, PATHS:OWN], w[4, PATHS:OWN] = 0.7, 0.3
+    w[0, PATHS:DEEP], w[4, PATHS:DEEP] = 0.7, 0.3
+    w[:5, DEEP:OWN] = np.array([0.7, 0.3, 0.2, 0.0, 0.3])[:, None]
     w[:2, OWN:] = 0.5
     return w
 
@@ -365,9 +413,10 @@ class Model:
         spelled_at = np.flatnonzero((match[text.spelled_at] == 0) | (match[text.spelled_at] & 1 == 1))  # not told by a match
         of_spelled = self.spelled([text.words[i] for i in spelled_at.tolist()], sums)
         w = np.repeat(self.weights[:, None, :OWN], n, axis=1).reshape(INPUTS, n * OWN)
-        fix = np.zeros(n * 66, np.float32)
+        fix = np.zeros(n * 99, np.float32)
         seen = np.zeros((2, n * NODES))
         own = np.zeros(n * NODES, np.float32)
+        seen_deep, own_deep = np.zeros((2, n * OWN_DEEP), np.float32), np.zeros(n * OWN_DEEP, np.float32)
         hits = np.zeros((2, n))
         sizes, starts = text.sizes[order], text.starts[order]
         run_of = self.runs(text, match)
@@ -392,12 +441,19 @@ class Model:
             (x1, k1), (x2, _), (x3, _) = (self.looked_up(k, s) for k, s in enumerate(slots))
             gate = np.arange(DEPTH, dtype=np.int32)[:, None] * 4 + _CLASS[k1]
             jobs.append((at, gate, [self.code.odds.take(node), x1, x2, x3, own.take(at * NODES + node)], bit, valid, 0))
+            of, level, deep_bit, odds, mark, slots = deep_slots(text, t[rest], self.code)
+            deep_at = doc[rest][of]
+            deep_key = deep_at * OWN_DEEP + mark
+            if len(of):
+                (x1, k1), (x2, _) = (self.looked_up(k, s) for k, s in zip((0, 2), slots, strict=True))
+                gate = DEEP + np.minimum(level >> 1, 3).astype(np.int32) * 4 + _CLASS[k1]
+                jobs.append((deep_at, gate, [odds, x1, x2, np.zeros(len(of), np.float32), own_deep.take(deep_key)], deep_bit, None, 66))
             for d, gate, x, bit_, ok, shift in jobs:
                 place = d * OWN + gate
                 z = w[5].take(place)
                 for k in range(5):
                     z += w[k].take(place) * x[k]
-                box = d * 66 + shift + (np.clip(z, -8, 8) * np.float32(2) + np.float32(16.5)).astype(np.int32)
+                box = d * 99 + shift + (np.clip(z, -8, 8) * np.float32(2) + np.float32(16.5)).astype(np.int32)
                 refined = z + fix.take(box)
                 sign = (1 - 2 * bit_).astype(np.float32)
                 e = np.exp(np.minimum(sign * refined, 80))
@@ -408,28 +464,26 @@ class Model:
                 if sums is not None:
                     sums.add(gate, x, z, bit_, ok)
                     continue
-                some = (..., slice(None, None, 1 if a < 512 else 4))
-                p, box_ = place[some].ravel(), box[some].ravel()
-                miss = e[some] / (1 + e[some]) * -sign[some]
+                p, box_ = place.ravel(), box.ravel()
+                miss = e / (1 + e) * -sign
                 if ok is not None:
-                    miss = miss * ok[some]
+                    miss = miss * ok
                 miss = miss.ravel()
                 step = (self.rate / np.sqrt(np.bincount(p, minlength=live * OWN) + 4)).astype(np.float32)
                 for k in range(INPUTS):
-                    w[k, : live * OWN] += step * np.bincount(p, miss if k == 5 else miss * x[k][some].ravel(), live * OWN).astype(np.float32)
-                fix[: live * 66] += (self.fix_rate * np.bincount(box_, miss, live * 66) / np.sqrt(np.bincount(box_, minlength=live * 66) + 4)).astype(np.float32)
+                    w[k, : live * OWN] += step * np.bincount(p, miss if k == 5 else miss * x[k].ravel(), live * OWN).astype(np.float32)
+                fix[: live * 99] += (self.fix_rate * np.bincount(box_, miss, live * 99) / np.sqrt(np.bincount(box_, minlength=live * 99) + 4)).astype(np.float32)
             key = (at * NODES + node)[valid]
             total, ones = np.bincount(key, minlength=live * NODES), np.bincount(key, bit[valid], live * NODES)
             seen[1, : live * NODES] += ones
             seen[0, : live * NODES] += total - ones
             own[: live * NODES] = logit(seen[1, : live * NODES], seen[0, : live * NODES])
+            np.add.at(seen_deep.ravel(), deep_bit * np.int64(n * OWN_DEEP) + deep_key, np.float32(1))
+            own_deep[deep_key] = logit(seen_deep[1].take(deep_key), seen_deep[0].take(deep_key))
             hits[1, :live] += np.bincount(doc[on], hit[on], live)
             hits[0, :live] += np.bincount(doc[on], ~hit[on], live)
         log2 = np.empty(n)
         log2[order] = out / np.log(2)
-        deeper = self.code.tail[text.symbol]
-        deeper[(match > 0) & (match & 1 == 0)] = 0
-        log2 += np.bincount(text.doc, deeper, n)
         return log2 + np.bincount(text.doc[text.spelled_at[spelled_at]], of_spelled, n)
 
     @staticmethod
@@ -568,6 +622,9 @@ def _tables(blocks: DataFrame, shared) -> tuple[list[np.ndarray], list[np.ndarra
                         at = (s << 1) + bit
                         np.add.at(into[k], at.ravel(), np.uint32(1))
                         np.subtract.at(into[k], at[~valid], np.uint32(1))
+                    _, _, bit, _, _, slots = deep_slots(text, np.arange(a, min(a + (1 << 14), len(text.ids))), v.code)
+                    for k, s in zip((0, 2), slots, strict=True):
+                        np.add.at(into[k], (s.astype(np.int64) << 1) + bit, np.uint32(1))
                 for a in range(0, len(text.words), 1 << 13):
                     _, bit, slots = byte_slots(text.words[a : a + (1 << 13)], v.code)
                     for k, s in enumerate(slots):
@@ -717,11 +774,12 @@ def scores(docs: DataFrame, **options) -> DataFrame:
     empty tables.
     """
     shared, model, base, counts, matched, shards = train(docs, **options)
-    learned = docs.sparkSession.sparkContext.broadcast(model)
+    learned = docs.sparkSession.sparkContext.broadcast((model.tables, model.weights))  # the code is in the vocabulary
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_bytes", "rare"]
 
     def each(batches):
-        v, m = shared.value, learned.value
+        v = shared.value
+        m = Model(v.code, *learned.value)
         for b in batches:
             for row in _pylist(b):
                 text = _text(row, v)

@@ -270,3 +270,35 @@ def test_learning_inside_documents_helps():
     none = np.zeros(len(t.ids), np.uint8)
     still, learns = (cm.Model(v.code, tables, cm.first_weights(), rate=r, fix_rate=r).documents(t, none)[0] for r in (0.0, 0.03))
     assert learns > still
+
+
+def test_deeper_decisions_are_mixed_too():
+    """Words of long paths that the word before tells: by their frequencies alone each costs its whole code word."""
+    rng = np.random.default_rng(7)
+    follower = rng.permutation(600)
+    pairs = lambda picks: " ".join(f"a{i} b{follower[i]}" for i in picks)
+    train = [pairs(rng.integers(0, 600, 40)) for _ in range(300)]
+    v, tables = small_model(train, 1200)
+    learned = as_text(train, v)
+    counts = [np.zeros(2 << b, np.uint32) for b in cm.BITS]
+    _, bit, valid, slots = cm.path_slots(learned, np.arange(len(learned.ids)), v.code)
+    for k, s in enumerate(slots):
+        np.add.at(counts[k], (s[valid] << 1) + bit[valid], 1)
+    _, _, bit, _, _, slots = cm.deep_slots(learned, np.arange(len(learned.ids)), v.code)
+    for k, s in zip((0, 2), slots, strict=True):
+        np.add.at(counts[k], (s.astype(np.int64) << 1) + bit, 1)
+    t = as_text([pairs(rng.integers(0, 600, 40))], v)
+    none = np.zeros(len(t.ids), np.uint8)
+    tell, still = (cm.Model(v.code, x, cm.first_weights(), rate=0.0, fix_rate=0.0).documents(t, none)[0] for x in ([cm.packed(c.reshape(-1, 2)) for c in counts], tables))
+    by_frequency = v.code.tail[t.symbol].sum()
+    assert by_frequency < -100 and tell - still > -0.2 * by_frequency  # the same upper tables, the deeper ones empty in `still`
+
+
+def test_deeper_odds_are_the_frequencies():
+    """With the frequency's weight alone a code word's deeper decisions cost what `tail` says."""
+    counts = np.sort(np.random.default_rng(3).integers(1, 5000, 900))[::-1]
+    code = cm.Code.from_counts(counts, 7, 9, [])
+    for s in range(0, len(counts) + 2, 13):
+        at = slice(code.deep_at[s], code.deep_at[s] + code.deep_length[s])
+        bit, odds = code.deep_marks[at] & 1, code.deep_odds[at] / cm.SCALE
+        assert abs(-np.log2(1 + np.exp(-(2.0 * bit - 1) * odds)).sum() - code.tail[s]) < 0.1 + 0.02 * len(bit)
