@@ -103,9 +103,9 @@ def _dealt(labels: DataFrame) -> DataFrame:
     return labels.hint("merge")
 
 
-def spread_labels(graph: DataFrame, resolution: float = 1.0, *, rounds: int = 40, least_gain: float = 1e-4) -> DataFrame:
+def spread_labels(graph: DataFrame, resolution: float = 1.0, *, start: DataFrame | None = None, rounds: int = 40, least_gain: float = 1e-4) -> DataFrame:
     """node, community by parallel moves on the cluster: in each round half of the nodes, another half each time, may go to the
-    neighbouring community that raises modularity most.
+    neighbouring community that raises modularity most. start: node, community of each node to begin with, instead of each by itself.
 
     Each round is joins of edges with labels and sums by (node, community), checkpointed. It stops where nothing moves any more
     or where two rounds have raised modularity by less than least_gain, and gives the labels of the best round.
@@ -116,7 +116,7 @@ def spread_labels(graph: DataFrame, resolution: float = 1.0, *, rounds: int = 40
     degree = sides.groupBy("node").agg(F.sum("w").alias("degree")).transform(kept)
     two_m = degree.agg(F.sum("degree")).first()[0] or 1.0
     loops = 2 * (graph.where("a = b").agg(F.sum("w")).first()[0] or 0.0)
-    lab = degree.select("node", "degree", F.col("node").alias("community"))
+    lab = degree.select("node", "degree", F.col("node").alias("community")) if start is None else degree.join(start.transform(_dealt), "node").select("node", "degree", "community")
     best, best_q, idle = lab, -1.0, 0
     for r in range(rounds):
         totals = lab.groupBy("community").agg(F.sum("degree").alias("total"))
@@ -140,6 +140,30 @@ def spread_labels(graph: DataFrame, resolution: float = 1.0, *, rounds: int = 40
     return best.select("node", "community")
 
 
+def united(graph: DataFrame, resolution: float = 1.0, seed: int = 0) -> DataFrame:
+    """node, community after one round in which nodes unite with the neighbour that raises modularity most, if any does.
+
+    Two nodes that name each other are a pair, named by the smaller one; others whose neighbour is in a pair follow it. Of the rest half,
+    by a seeded hash, go to their neighbour where that is of the other half; so a fixed share of the nodes that can unite does, however
+    long the chains of best neighbours are. Communities are connected, as all unite along edges.
+    """
+    sides = graph.select(F.col("a").alias("node"), "w").unionByName(graph.select(F.col("b").alias("node"), "w"))
+    degree = sides.groupBy("node").agg(F.sum("w").alias("degree")).transform(kept)
+    two_m = degree.agg(F.sum("degree")).first()[0] or 1.0
+    da, db = (degree.select(F.col("node").alias(s), F.col("degree").alias(f"d{s}")).transform(_dealt) for s in ("a", "b"))
+    gain = F.col("w") - resolution * F.col("da") * F.col("db") / two_m  # the same from both ends
+    told = graph.where("a != b").join(da, "a").join(db, "b").select("a", "b", gain.alias("g"), F.xxhash64("a", "b").alias("h")).where("g > 1e-12")
+    ends = [told.select(F.col(u).alias("node"), F.struct("g", "h", F.col(v).alias("to")).alias("k")) for u, v in (("a", "b"), ("b", "a"))]
+    best = ends[0].unionByName(ends[1]).groupBy("node").agg(F.max("k").alias("k")).select("node", F.col("k.to").alias("to")).transform(kept)
+    back = best.select(F.col("node").alias("to"), F.col("to").alias("back"))
+    both = best.join(back.transform(_dealt), "to").select("node", "to", (F.col("back") == F.col("node")).alias("pair")).transform(kept)
+    of = both.select(F.col("node").alias("to"), F.col("pair").alias("of_pair"), F.col("to").alias("other"))
+    away = lambda c: F.pmod(F.xxhash64(F.lit(seed), c), F.lit(2)) == 0
+    pair = F.when(F.col("pair"), F.least("node", "to")).when(F.col("of_pair"), F.least("to", "other"))
+    moved = both.join(of.transform(_dealt), "to").select("node", F.coalesce(pair, F.when(away("node") & ~away("to"), F.col("to"))).alias("community"))
+    return degree.select("node").join(moved.transform(_dealt), "node", "left").select("node", F.coalesce("community", "node").alias("community")).transform(kept)
+
+
 def connected_parts(graph: DataFrame, lab: DataFrame, rounds: int = 100) -> DataFrame:
     """node, community with communities split into their connected parts, each named by its smallest node: passes of the smallest name
     over the edges inside communities, with jumps to the name's own name, until none changes."""
@@ -174,9 +198,10 @@ def communities(edges: DataFrame, method: str = "louvain", *, resolution: float
     """node, community (int) of directed weighted edges (src, dst, w).
 
     louvain: an edge and its reverse are one; leiden: they add up, the resolution is 1, and every community is connected, at
-    any size of the graph. While a graph has more than local_edges edges its nodes move in parallel on the cluster until
-    modularity no longer rises; with leiden, communities are then split into their connected parts, which are united later if that is
-    worth it. Communities become the nodes of a smaller graph, and so on until nothing is united any more or the graph is small enough for one task.
+    any size of the graph. While a graph has more than local_edges edges its nodes unite in parallel on the cluster with their best neighbours
+    and become the nodes of a smaller graph, and so on until nothing is united any more or the graph is small enough for one task. Where
+    that was done, nodes of the first graph then move between the communities found, a few rounds; with leiden, communities are split into
+    their connected parts; and what that leaves is united in the same way again, if that is worth it.
     Nodes and edges never pass through the driver. Isolated nodes are not in the edges and have no community; edges with null ends
     or weights are ignored, repeated ones count as `undirected` says; an empty graph gives an empty table.
     """
@@ -184,20 +209,38 @@ def communities(edges: DataFrame, method: str = "louvain", *, resolution: float
         raise ValueError(f"unknown method {method}")
     graph = nn.undirected(edges.where("src is not null and dst is not null and w is not null"), "collapse" if method == "louvain" else "sum").transform(kept)
     resolution = resolution if method == "louvain" else 1.0
-    kind, whole, size = dict(edges.dtypes)["src"], None, graph.count()
+    kind, refine = dict(edges.dtypes)["src"], method == "leiden"
+    found, in_one_task = _united_to_the_end(graph, None, kind, resolution, seed, refine, local_edges)
+    if in_one_task:
+        return found
+    found = found.transform(kept)
+    names = found.groupBy("community").agg(F.min("node").alias("name"))
+    lab = spread_labels(graph, resolution, start=found.join(names.transform(_dealt), "community").select("node", F.col("name").alias("community")), rounds=8, least_gain=1e-3)
+    if refine:
+        lab = connected_parts(graph, lab)
+    lab = lab.transform(kept)
+    return _united_to_the_end(_contracted(graph, lab), lab, kind, resolution, seed, refine, local_edges)[0]
+
+
+def _contracted(graph: DataFrame, lab: DataFrame) -> DataFrame:
+    """The graph of the communities."""
+    a, b = (lab.select(F.col("node").alias(s), F.col("community").alias(f"c{s}")) for s in ("a", "b"))
+    return graph.join(a.transform(_dealt), "a").join(b.transform(_dealt), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")).transform(kept)
+
+
+def _united_to_the_end(graph: DataFrame, whole: DataFrame | None, kind: str, resolution: float, seed: int | None, refine: bool, local_edges: int) -> tuple[DataFrame, bool]:
+    """(node, community (int); whether one task has done it all) of the nodes of `whole` (node, community: a node of graph), or of graph."""
     into = lambda w, lab: lab if w is None else w.join(lab.select(F.col("node").alias("community"), F.col("community").alias("_to")).transform(_dealt), "community").select("node", F.col("_to").alias("community"))
+    level, size = 0, graph.count()
     while size > local_edges:
-        lab = spread_labels(graph, resolution)
-        if method == "leiden":
-            lab = connected_parts(graph, lab)
+        lab, level = united(graph, resolution, level), level + 1
         if lab.where("node != community").limit(1).count() == 0:
             names = numbered(lab.select("community").distinct(), "community").select(F.col("community").alias("node"), F.col("_n").cast("int").alias("community"))
-            return into(lab if whole is None else whole, names)
+            return into(lab if whole is None else whole, names), False
         whole = into(whole, lab).transform(kept)
-        a, b = (lab.select(F.col("node").alias(s), F.col("community").alias(f"c{s}")) for s in ("a", "b"))
-        graph = graph.join(a.transform(_dealt), "a").join(b.transform(_dealt), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")).transform(kept)
+        graph = _contracted(graph, lab)
         size = graph.count()
-    return into(whole, _in_one_task(graph, kind, resolution, seed, method == "leiden").transform(kept))
+    return into(whole, _in_one_task(graph, kind, resolution, seed, refine).transform(kept)), level == 0
 
 
 def split_outliers(labels: DataFrame, order: str = "pos", label: str = "label") -> DataFrame:

@@ -395,3 +395,24 @@ def test_labels_of_rounds_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(community, "kept", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
     community.spread_labels(graph, rounds=1).collect()
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_nodes_unite_along_edges_whatever_the_chains(spark):
+    """A path whose edges get heavier: each node's best neighbour is the next, so only the last two name each other."""
+    graph = spark.createDataFrame([(i, i + 1, 1.0 + i) for i in range(400)], "a long, b long, w double")
+    rows = community.united(graph).collect()
+    label = {r.node: r.community for r in rows}
+    assert len(rows) == len(label) == 401 and len(set(label.values())) < 340  # a quarter of the nodes, about
+    assert connected([(i, i + 1, 1.0) for i in range(400)], label)
+
+
+def test_rounds_on_the_cluster_are_few(spark, monkeypatch):
+    """A ring of 60 cliques of six: at most a few rounds of uniting and eight of moves, with the modularity of one task."""
+    edges = [(6 * c + i, 6 * c + j, 1.0) for c in range(60) for i in range(6) for j in range(i)] + [(6 * c, 6 * c + 9, 1.0) for c in range(59)]
+    df = spark.createDataFrame(edges, "src long, dst long, w double")
+    calls, real = [], community.united
+    monkeypatch.setattr(community, "united", lambda *a: (calls.append(1), real(*a))[1])
+    monkeypatch.setattr(community, "connected_parts", lambda *a: pytest.fail("louvain splits nothing"))
+    graph = knn.undirected(df).cache()
+    q = [knn.modularity(graph, community.communities(df, "louvain", seed=1, local_edges=n)).first().q for n in (10**6, 100)]
+    assert 0 < len(calls) <= 10 and q[1] >= 0.98 * q[0]
