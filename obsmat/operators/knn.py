@@ -6,9 +6,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 METRICS = ("euclidean", "angular", "manhattan", "hamming", "dot")
 
@@ -150,7 +150,7 @@ def _first_copies(p: np.ndarray, n: int) -> np.ndarray:
 
 def nearest(left: pa.Table, right: pa.Table, k: int, metric: str) -> tuple:
     """(src, dst, distance, neighbours each) of each row of left, flat, by distance and dst, among the rows of right (obs_id, features)."""
-    q, p = (np.stack([np.asarray(v) for v in t.column("features").to_numpy()]) for t in (left, right))
+    q, p = (np.stack([np.asarray(v, float) for v in t.column("features").to_numpy()]) for t in (left, right))
     order = np.argsort(right.column("obs_id").to_numpy(zero_copy_only=False), kind="stable")
     ids = right.column("obs_id").combine_chunks().take(pa.array(order))
     to, far, n = nearest_rows(q, p[order], k, metric)
@@ -163,34 +163,46 @@ def block_count(n: int, width: int, block_rows: int, block_mb: int) -> int:
     return max(1, math.ceil(n / max(block_rows, min(math.ceil(n / 8), most))))
 
 
-def knn(vectors: DataFrame, k: int, metric: str = "euclidean", *, block_rows: int = 4096, block_mb: int = 16, n_rows: int | None = None) -> DataFrame:
+def knn(vectors: DataFrame, k: int, metric: str = "euclidean", *, block_rows: int = 4096, block_mb: int = 64, n_rows: int | None = None) -> DataFrame:
     """src, dst, rank (from 1), distance: the k nearest rows of each row, itself included; ties by dst.
 
-    Exact. Rows are dealt into blocks; each pair of blocks is one small group, whose best k for each row are ranked again
-    over all blocks. The shuffle is rows x blocks, the memory two blocks. A block has block_rows rows; where that would be more
-    than eight blocks, they get larger, up to block_mb. For very many rows use approximate_knn.
+    Exact. Rows are dealt into blocks; each two blocks are one task, where the rows of either find their best k in the other, and a row's
+    best of all blocks are ranked again. The shuffle is rows x blocks, once for both ways, the memory two blocks. There are eight blocks
+    (fewer of less than 1,024 rows) until one would have both more than block_rows rows and more than block_mb; so up to there the shuffle grows as
+    the rows do. Numbers that are floats travel as such. For very many rows use approximate_knn.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
-    n = vectors.count() if n_rows is None else n_rows
-    width = vectors.agg(F.max(F.size("features"))).first()[0] if n > 8 * block_rows else 1
-    blocks = block_count(n, width, block_rows, block_mb)
+    x = F.col("features")
+    floats = F.min(x.cast("array<float>").cast("array<double>") == x) if vectors.schema["features"].dataType.simpleString() == "array<double>" else F.lit(False)
+    told = vectors.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("width"), floats.alias("floats")).first()
+    n = told.n if n_rows is None else n_rows
+    blocks = max(block_count(n, told.width or 1, block_rows, block_mb), min(8, math.ceil(n / 1024)))
+    mixed = blocks * (blocks - 1) // 2  # pairs of two blocks come first, as they take twice as long
     kind = vectors.schema["obs_id"].dataType.simpleString()
-    side = vectors.select("obs_id", "features", F.pmod(F.xxhash64("obs_id"), F.lit(blocks)).cast("int").alias("block"))
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    queries = side.select("obs_id", "features", F.col("block").alias("qb"), F.explode(every).alias("pb"))
-    points = side.select("obs_id", "features", F.explode(every).alias("qb"), F.col("block").alias("pb"))
-
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("src", left.schema.field("obs_id").type), ("dst", left.schema.field("obs_id").type), ("distance", pa.float64())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        src, dst, far, n = nearest(left, right, k, metric)
-        return pa.table([src.take(pa.array(np.repeat(np.arange(left.num_rows), n))), dst, pa.array(far)], schema=schema)
-
-    found = queries.groupBy("qb", "pb").cogroup(points.groupBy("qb", "pb")).applyInArrow(best, f"src {kind}, dst {kind}, distance double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    dealt = vectors.select("obs_id", (x.cast("array<float>") if told.floats else x).alias("features"), F.pmod(F.xxhash64("obs_id"), F.lit(blocks)).cast("int").alias("block"))
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    pair = F.when(low == high, low + F.lit(mixed)).otherwise((high * (high - 1) / 2).cast("int") + low)
+    sides = both.select(pair.alias("pair"), (F.col("block") < F.col("other")).alias("lower"), "obs_id", "features").repartitionById(mixed + blocks, "pair")
+
+    def best(key: tuple, t: pa.Table) -> pa.Table:
+        item = t.schema.field("obs_id").type
+        schema = pa.schema([("src", item), ("dst", pa.list_(item)), ("distance", pa.list_(pa.float64()))])
+        a, b = t.filter(t.column("lower")), t.filter(pc.invert(t.column("lower")))
+        out = []
+        for left, right in [(t, t)] if key[0].as_py() >= mixed else [(a, b), (b, a)]:
+            if left.num_rows and right.num_rows:
+                src, dst, far, n = nearest(left, right, k, metric)
+                at = pa.array(np.arange(left.num_rows + 1) * n, pa.int32())
+                out.append(pa.table([src, pa.ListArray.from_arrays(at, dst), pa.ListArray.from_arrays(at, pa.array(far))], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    found = sides.groupBy("pair").applyInArrow(best, f"src {kind}, dst array<{kind}>, distance array<double>")
+    parts = found.groupBy("src").agg(F.collect_list(F.struct("distance", "dst")).alias("parts"))  # a row for each block
+    near = F.flatten(F.transform("parts", lambda p: F.arrays_zip(p["distance"].alias("distance"), p["dst"].alias("dst"))))
+    whole = parts.select("src", F.posexplode(F.slice(F.sort_array(near), 1, k)).alias("rank", "one"))
+    return whole.select("src", "one.dst", "one.distance", (F.col("rank") + 1).alias("rank"))
 
 
 def prepared(x: np.ndarray, metric: str, longest: float = 0.0) -> tuple[np.ndarray, np.ndarray]:

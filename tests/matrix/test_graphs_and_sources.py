@@ -5,6 +5,7 @@ import os
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,6 +390,53 @@ def test_blocks_of_neighbours_grow_with_the_rows(spark):
     assert rows(4096) == rows(20)
 
 
+def shuffled(spark, work):
+    """(records, bytes) that the stages of work() wrote to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def so_far():
+        sc.listenerBus().waitUntilEmpty()
+        some = spark.sparkContext._gateway
+        stages = sc.statusStore().stageList(None, False, False, some.new_array(some.jvm.double, 0), some.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): (stages.apply(i).shuffleWriteRecords(), stages.apply(i).shuffleWriteBytes()) for i in range(stages.size())}
+
+    before = so_far()
+    work()
+    return tuple(sum(v) for v in zip(*(v for k, v in so_far().items() if k not in before), strict=True))
+
+
+def test_shuffles_of_neighbours_grow_as_the_rows(spark):
+    """Four times the rows shuffle four times as much: a row goes to eight tasks, and one list of neighbours comes back of each."""
+    told = []
+    for n in (8200, 32800):
+        df = spark.createDataFrame(pa.table({"obs_id": np.arange(n), "features": list(np.random.default_rng(n).normal(size=(n, 3)))}))
+        told.append(shuffled(spark, lambda df=df: knn.knn(df, 4).write.format("noop").mode("overwrite").save()))
+        assert told[-1][0] < 16.1 * n
+    assert told[1][1] < 4.2 * told[0][1]
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_neighbours_of_pairs_of_blocks(spark, kind):
+    """Rows over several blocks, with names, copies and numbers that are floats or aren't, against all pairs."""
+    x = np.random.default_rng(6).normal(size=(2500, 5)).astype(kind).astype(float)
+    x[1200:1210] = x[7]
+    names = np.array([f"r{i:04d}" for i in range(len(x))])
+    df = spark.createDataFrame([(str(i), v.tolist()) for i, v in zip(names, x, strict=True)], "obs_id string, features array<double>").repartition(3)
+    got = {(r.src, r["rank"]): (r.dst, r.distance) for r in knn.knn(df, 6).collect()}
+    assert len(got) == 6 * len(x)
+    for i in range(0, len(x), 7):
+        d = knn.exact_distances(x[i], x, "euclidean")
+        assert [got[names[i], r + 1] for r in range(6)] == [(names[j], d[j]) for j in np.argsort(d, kind="stable")[:6]]
+
+
+def test_neighbours_where_blocks_are_empty(spark):
+    """More blocks than rows, fewer rows than neighbours asked for, and none."""
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "obs_id long, features array<double>")
+    rows = sorted((r.src, r["rank"], r.dst) for r in knn.knn(df, 9, block_rows=1).collect())
+    assert rows == [(i, r + 1, j) for i in range(5) for r, j in enumerate(sorted(range(5), key=lambda j: (abs(i - j), j)))]
+    assert knn.knn(df.limit(0), 3).count() == 0
+
+
 def test_labels_of_rounds_are_not_broadcast(spark, monkeypatch):
     graph = spark.createDataFrame([(i, i + 1, 1.0) for i in range(6)], "a long, b long, w double")
     plans, real = [], community.kept
