@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_helpers import clashing, empty_docs, odd_docs, odd_rows, prose
 from pyspark.sql import functions as F
@@ -228,6 +229,42 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_chat_in_pieces(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    talk = [(1, t, ("user", "assistant")[t % 2], f"{prose(150, t)} <|end|>\n\n é🙂 [\\INST]  {t}") for t in range(300)]
+    rows = [*talk, (2, 0, "assistant", "\n".join(t[3] for t in talk) + " </s>"), (2, 1, "user", "ok"), (3, 0, "user", "x" * 200_000), (3, 1, "assistant", "so  "), (4, 0, "assistant", "hi")]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7), path)
+    tok = chat.tokenizer(path)
+    by = defaultdict(list)
+    for r in formatted.collect():
+        by[r.conv_id].append(r)
+    for c in (1, 2, 3, 4):
+        pieces, turns = by[c], [(r[2], r[3]) for r in rows if r[0] == c]
+        whole = "".join(f"{chat.TURN}{a}{chat.TEXT}{chat.escape(b)}{chat.END}" for a, b in turns)
+        assert [p.piece for p in pieces] == list(range(len(pieces)))
+        assert "".join(p.formatted for p in pieces) == whole and sum(p.n_turns for p in pieces) == len(turns)
+        e = tok.encode(whole, add_special_tokens=False)
+        at = np.cumsum([0, *(len(p.formatted) for p in pieces)]).tolist()
+        assert [i for p in pieces for i in p.token_ids] == e.ids
+        assert [(s + a, t + a) for p, a in zip(pieces, at, strict=False) for s, t in zip(p.token_starts, p.token_ends, strict=True)] == e.offsets
+        assert c == 3 or max(len(p.formatted) for p in pieces) < chat.PIECE + 5000  # 3 has nowhere to be cut
+    assert len(by[1]) > 1 and len(by[2]) > 1 and len(by[4]) == 1
+    for r in chat.digests(formatted).collect():
+        turns = [(x[2], x[3]) for x in rows if x[0] == r.conv_id]
+        learned = "".join(b for a, b in turns if a == "assistant")
+        assert r.n_turns == len(turns) and r.formatted_chars == sum(len(p.formatted) for p in by[r.conv_id])
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert (r.loss_chars, r.loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    with pytest.raises(Exception, match="doesn't follow"):
+        chat.digests(formatted.filter("piece != 1")).collect()
+    # Rows are given on while turns still come, however many a batch has
+    turns = pa.RecordBatch.from_pydict({"conv_id": list(range(2000)), "role": ["assistant"] * 2000, "text": [prose(60, 1)] * 2000})
+    given = list(chat.formatted_batches([turns], path))
+    assert sum(g.num_rows for g in given) == 2000 and max(g.nbytes for g in given) < 4 << 20
+    # A tokenizer whose words may depend on what is around them is only cut between turns
+    assert not chat.cuts_at_gaps(chat.tokenizer(TOKENIZER)) and chat.cuts_at_gaps(tok)
+
+
 def test_mask_by_scan():
     rng = np.random.default_rng(1)
     for _ in range(50):
